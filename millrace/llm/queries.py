@@ -2,19 +2,77 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ._store import Scratch
+from .chat_format import format_conversations, read_back
+from .decontaminate import contaminated
+from .embedding_dedup import embedding_near_duplicates
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .sharding import shard_documents
+from .substring_dedup import substring_dedup
+from .token_counts import token_counts
+from .warc import assemble, page_digests, read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file: in the folder MILLRACE_TOKENIZERS names, else where the package of such files puts it."""
+    if folder := os.environ.get("MILLRACE_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24).drop("text")
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("text_key")
 
 
-QUERIES = {
-    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
-}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Scratch(spark, "warc").path("archives")
+    write_warc(_table(spark, sf_dir, "pages"), archives)
+    return page_digests(assemble(read_warc(spark, archives)))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.union(more)))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, tokenizer_path("word_bpe_49k.json")).drop("text")
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(_table(spark, sf_dir, "documents"))
+    return out.withColumn("rate", F.round("rate", 9))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources)}

@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .quality import classify
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -44,6 +45,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("text_key")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("text_key")
 
@@ -75,4 +80,4 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round("rate", 9))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op4_quality_classifier, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources)}

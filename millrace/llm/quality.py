@@ -22,7 +22,7 @@ from ._store import Scratch
 from ._words import ASCII_SPACE, LOWER_AZ, NOT_ALNUM, U64, mix, slices, words_of
 
 #: Features are hashed into so many cells.
-BITS = 18
+BITS = 20
 #: English insults: one of the toxicity labellers. Fixed values.
 INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "worthless", "pathetic", "disgusting")
 #: Votes: yes (bad), no, abstain. A pattern is a number with a base-3 digit per labeller.
@@ -128,9 +128,29 @@ def train_scorer(rows: list[np.ndarray], target: np.ndarray, passes: int = 3, ra
     return -(z - np.sign(z) * sparse) * rate / (1 + np.sqrt(n)) * (np.abs(z) > sparse), bias
 
 
-def learn_words(rows: list[np.ndarray], toxic: np.ndarray, least: int = 5, precision: float = 0.9) -> np.ndarray:
-    """Cells of words that stand in ``least`` rows given as toxic or more, and hardly in others."""
-    yes, no = (np.bincount(np.concatenate([x for x, t in zip(rows, toxic, strict=True) if t == v] or [np.zeros(0, np.int64)]), minlength=1 << BITS) for v in (YES, NO))
+def _first_of_kind(rows: list[np.ndarray]) -> np.ndarray:
+    """Whether each row is the first with its least hashes: copies and most near copies aren't."""
+    seen, out = set(), np.zeros(len(rows), bool)
+    for i, x in enumerate(rows):
+        key = tuple(int(mix(x.astype(U64) + U64(k << 40)).min()) if len(x) else 0 for k in (1, 2))
+        out[i] = not seen.intersection((key[0], ~key[1]))
+        seen.update((key[0], ~key[1]))
+    return out
+
+
+def learn_words(rows: list[np.ndarray], toxic: np.ndarray, precision: float = 0.95, chance: float = 0.5) -> np.ndarray:
+    """Cells of words that stand in rows given as toxic, and hardly in others, more often than luck explains.
+
+    A word must stand in so many different toxic rows that, were words and labels
+    unrelated, less than ``chance`` words in all would.
+    """
+    group = {v: [x for x, t in zip(rows, toxic, strict=True) if t == v] for v in (YES, NO)}
+    group = {v: [x for x, first in zip(g, _first_of_kind(g), strict=True) if first] for v, g in group.items()}
+    yes, no = (np.bincount(np.concatenate([*group[v], np.zeros(0, np.int64)]), minlength=1 << BITS) for v in (YES, NO))
+    share = len(group[YES]) / max(1, len(group[YES]) + len(group[NO]))
+    least = 2
+    while least < 64 and (yes + no >= least).sum() * share**least >= chance:
+        least += 1
     return np.flatnonzero((yes >= least) & (yes >= precision * (yes + no)))
 
 

@@ -190,10 +190,10 @@ def accuracy_rollup(t):
     return evaluation.accuracy(t.documents.join(t.labels, "doc_id"), "quality", "source").withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query("SELECT o_custkey, round(avg(o_totalprice), 3) AS mean, round(stddev_pop(o_totalprice), 1) AS std, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, round(avg(o_totalprice), 6) AS mean, round(stddev_pop(o_totalprice), 1) AS std, count(*) AS n FROM orders GROUP BY o_custkey")
 def rollout_matrix(t):
     out = evaluation.rollout_matrix(t.orders, "o_custkey", "o_orderkey", "o_totalprice")
-    return out.select("o_custkey", F.round("mean", 3).alias("mean"), F.round("std", 1).alias("std"), F.size("rewards").cast("bigint").alias("n"))
+    return out.select("o_custkey", F.round("mean", 6).alias("mean"), F.round("std", 1).alias("std"), F.size("rewards").cast("bigint").alias("n"))
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS pid, epoch_us(ts) AS begin_ts, epoch_us(ts) + 10 AS end_ts, 1 AS depth FROM (SELECT user_id, ts, event_id FROM events)")

@@ -93,7 +93,7 @@ def role_remap(t):
 SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ') AS normal, length(text) > 0 AS self_match FROM w""")
 def qa_exact_match(t):
     docs = t.documents.where("lang = 'en'")
-    gold = F.array(F.lit("something else"), F.upper("text"))
+    gold = F.array(F.lit("something else"), F.concat(F.lit("  The "), "text", F.lit("!")))
     return docs.select("doc_id", text.normalize_qa("text").alias("normal"), text.matches_any("text", gold).alias("self_match"))
 
 

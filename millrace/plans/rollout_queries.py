@@ -96,13 +96,13 @@ def ragged_metric_means(t):
 
 
 @query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT * FROM e WHERE k <= 32)
-SELECT a.user_id, CAST(a.k - 1 AS INT) AS step, round(sum(b.value * pow(0.9, b.k - a.k)), 4) AS future FROM f a JOIN f b ON a.user_id = b.user_id AND b.k >= a.k GROUP BY a.user_id, a.k""")
+SELECT a.user_id, CAST(a.k - 1 AS INT) AS step, round(sum(b.value * pow(0.9, b.k - a.k)) + 1e-9, 4) AS future FROM f a JOIN f b ON a.user_id = b.user_id AND b.k >= a.k GROUP BY a.user_id, a.k""")
 def discounted_return(t):
     """Trajectories are the first 32 events of each user: a fixed horizon of the rollout."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = t.events.withColumn("k", F.row_number().over(w)).where("k <= 32")
     rows = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]).alias("x"))
-    return rows.select("user_id", F.posexplode(discounted("x", 0.9)).alias("step", "future")).select("user_id", "step", F.round("future", 4).alias("future"))
+    return rows.select("user_id", F.posexplode(discounted("x", 0.9)).alias("step", "future")).select("user_id", "step", F.round(F.col("future") + 1e-9, 4).alias("future"))
 
 
 @query("WITH w AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) SELECT user_id, CAST(min(turn) FILTER (event_type = 'purchase') AS INT) AS won_at, CASE WHEN min(turn) FILTER (event_type = 'purchase') IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS reward, CAST(coalesce(min(turn) FILTER (event_type = 'purchase'), max(turn)) AS INT) AS turns FROM w WHERE turn <= 10 GROUP BY user_id")

@@ -29,9 +29,9 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that which names it. Documents without words all stay."""
     groups = ngram_jaccard_join(docs, n=5, percent=80)
     alone = groups.where("doc_id IS NULL OR n_shingles = 0 OR doc_id = component_id").select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    kept = keyed.join(alone, keyed["doc_id"].eqNullSafe(alone["doc_id"]) & keyed["_key"].eqNullSafe(alone["text_key"]), "left_semi")
-    return kept.drop("_key").select(COLUMNS)
+    keyed = docs.withColumn("__mr_key", F.xxhash64("text"))
+    kept = keyed.join(alone, keyed["doc_id"].eqNullSafe(alone["doc_id"]) & keyed["__mr_key"].eqNullSafe(alone["text_key"]), "left_semi")
+    return kept.drop("__mr_key").select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,5 +173,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
     """The documents that hold no copy of a test item, with all their columns; ``contaminated`` tells which do."""
-    bad = contaminated(docs, benchmark, n, least).select(F.col("text_key").alias("_text_key")).distinct()
-    return docs.withColumn("_text_key", F.xxhash64("text")).join(bad, "_text_key", "left_anti").drop("_text_key")
+    bad = contaminated(docs, benchmark, n, least).select(F.col("text_key").alias("__mr_text_key")).distinct()
+    return docs.withColumn("__mr_text_key", F.xxhash64("text")).join(bad, "__mr_text_key", "left_anti").drop("__mr_text_key")

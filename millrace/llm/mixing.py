@@ -65,10 +65,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     docs = docs.drop("rate", "copy", "shuffle_key")
     rates = source_rates(docs, weights, power, size, source)
     few = rates.agg(F.count("*"), F.coalesce(F.max("rate"), F.lit(0.0))).first()
-    rates = rates.select(F.col("source").alias("_source"), "rate", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias("_cdf"))
+    rates = rates.select(F.col("source").alias("__mr_source"), "rate", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias("__mr_cdf"))
     if few[0] <= BROADCAST_SOURCES and few[1] <= BROADCAST_RATE:
         rates = F.broadcast(rates)
-    joined = docs.withColumn("_u", hash_uniform(F.lit(seed), "doc_id")).join(rates, F.col(source).eqNullSafe(F.col("_source")))
-    copies = joined.withColumn("_n", F.size(F.filter("_cdf", lambda p: p <= F.col("_u")))).where("_n > 0").select(*docs.columns, "rate", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+    joined = docs.withColumn("__mr_u", hash_uniform(F.lit(seed), "doc_id")).join(rates, F.col(source).eqNullSafe(F.col("__mr_source")))
+    copies = joined.withColumn("__mr_n", F.size(F.filter("__mr_cdf", lambda p: p <= F.col("__mr_u")))).where("__mr_n > 0").select(*docs.columns, "rate", F.explode(F.sequence(F.lit(0), F.col("__mr_n") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -29,6 +29,8 @@ INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "worth
 ABSTAIN, NO, YES = 0, 1, 2
 QUALITY_LABELLERS = ("symbols", "repeats", "capitals", "separators", "monotony", "prose", "given")
 TOXIC_LABELLERS = ("insults", "learned", "given")
+#: Labels that are given are right this often.
+GIVEN_ACCURACY = 0.999
 _RATIOS = 5
 
 
@@ -85,11 +87,12 @@ def pattern_of(votes: np.ndarray) -> np.ndarray:
     return votes @ (3 ** np.arange(votes.shape[1]))
 
 
-def fit_labellers(counts: dict[int, int], labellers: int, prior: float, rounds: int = 100) -> np.ndarray:
+def fit_labellers(counts: dict[int, int], labellers: int, prior: float, trusted: float | None = None, rounds: int = 100) -> np.ndarray:
     """The posterior probability of yes for every pattern, by expectation-maximisation over pattern counts.
 
     Each labeller has its own chances of yes, no and abstaining on either class;
     to begin with it is right more often than wrong, and says yes to few of the good.
+    With ``trusted``, the last labeller's accuracy is that and isn't estimated.
     """
     patterns = np.array(list(product(range(3), repeat=labellers)))[:, ::-1]
     weight = np.array([counts.get(int(p), 0) for p in pattern_of(patterns)], float)
@@ -97,6 +100,9 @@ def fit_labellers(counts: dict[int, int], labellers: int, prior: float, rounds:
     chance[1, :, YES], chance[1, :, NO] = 0.3, 0.1
     chance[0, :, NO], chance[0, :, YES] = 0.38, 0.02
     for k in range(rounds):
+        if trusted is not None:
+            chance[1, -1, [ABSTAIN, NO, YES]] = 0.5, (1 - trusted) / 2, trusted / 2
+            chance[0, -1, [ABSTAIN, NO, YES]] = 0.5, trusted / 2, (1 - trusted) / 2
         log = np.stack([np.log(chance[c][np.arange(labellers), patterns]).sum(axis=1) for c in (0, 1)]) + np.log([1 - prior, prior])[:, None]
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         if k == rounds - 1 or not weight.sum():
@@ -169,8 +175,7 @@ def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[tuple[np.ndarray,
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, q, t = extract(part)
-                if len(learned):
-                    t[:, 1] = [YES if np.isin(x, learned, assume_unique=True).any() else NO for x in rows]
+                t[:, 1] = [YES if np.isin(x, learned, assume_unique=True).any() else ABSTAIN for x in rows]
                 scores = [[float(w[x].sum() + b) for x in rows] for w, b in scorers] or [[0.0] * len(rows)] * 2
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(pattern_of(q)), pa.array(pattern_of(t)), *map(pa.array, scores)], ["doc_id", "text_key", "quality", "toxic", "score_q", "score_t"])
 
@@ -185,8 +190,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
     fitted on at most ``sample`` documents, labelled ones first, then by hash of doc_id;
     labeller statistics come from all documents. Returns a row per
     input row: doc_id, p_low_quality and p_toxic (the weak labels'
-    posterior and the scorer's probability, averaged as log-odds), keep (both below
-    a half), text_key.
+    posterior and the scorer's probability, averaged as log-odds; the posterior
+    alone where a label is given), keep (both below a half), text_key.
 
     Null and empty texts give no evidence: heuristics abstain and the scorer's bias
     decides. Null labels abstain, null ids have no labels. Repeated rows are scored
@@ -226,27 +231,28 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
     for r in counts:
         count_q[r["quality"]] = count_q.get(r["quality"], 0) + r["count"]
         count_t[r["toxic"]] = count_t.get(r["toxic"], 0) + r["count"]
-    post_q = fit_labellers(count_q, len(QUALITY_LABELLERS), 0.2)
-    post_t = fit_labellers(count_t, len(TOXIC_LABELLERS), 0.1)
+    post_q = fit_labellers(count_q, len(QUALITY_LABELLERS), 0.2, GIVEN_ACCURACY)
+    post_t = fit_labellers(count_t, len(TOXIC_LABELLERS), 0.1, GIVEN_ACCURACY)
 
     if len(rows):
-        learned_vote = np.array([(YES if np.isin(x, learned, assume_unique=True).any() else NO) if len(learned) else ABSTAIN for x in rows])
+        learned_vote = np.array([YES if np.isin(x, learned, assume_unique=True).any() else ABSTAIN for x in rows])
         scorers = [train_scorer(rows, post_q[quality + given_q * last_q]), train_scorer(rows, post_t[toxic + 3 * learned_vote + given_t * last_t])]
     else:
         scorers = [(np.zeros(1 << BITS), 0.0)] * 2
     scored = with_given(_votes(docs, learned, scorers))
 
-    def chance(pattern: str, score: str, post: np.ndarray) -> Column:
+    def chance(pattern: str, score: str, given: str, post: np.ndarray) -> Column:
         odds = np.clip(np.log(np.clip(post, 1e-9, 1) / np.clip(1 - post, 1e-9, 1)), -6, 6)
-        both = (F.element_at(F.array(*[F.lit(round(float(x), 6)) for x in odds]), (F.col(pattern) + 1).cast("int")) + F.least(F.greatest(F.col(score), F.lit(-6.0)), F.lit(6.0))) / 2
-        return F.round(1 / (1 + F.exp(-both)), 6)
+        own = F.element_at(F.array(*[F.lit(round(float(x), 6)) for x in odds]), (F.col(pattern) + 1).cast("int"))
+        both = (own + F.least(F.greatest(F.col(score), F.lit(-6.0)), F.lit(6.0))) / 2
+        return F.round(1 / (1 + F.exp(-F.when(F.col(given) > ABSTAIN, own).otherwise(both))), 6)
 
-    out = scored.select("doc_id", "text_key", chance("quality", "score_q", post_q).alias("p_low_quality"), chance("toxic", "score_t", post_t).alias("p_toxic"))
+    out = scored.select("doc_id", "text_key", chance("quality", "score_q", "given_q", post_q).alias("p_low_quality"), chance("toxic", "score_t", "given_t", post_t).alias("p_toxic"))
     return out.select("doc_id", "p_low_quality", "p_toxic", ((F.col("p_low_quality") < 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"), "text_key")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """The documents that ``classify`` keeps, with all their columns."""
-    bad = classify(docs, labels, sample).where("NOT keep").select(F.col("doc_id").cast("long").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(bad, keyed["_key"].eqNullSafe(bad["_key"]) & keyed["doc_id"].eqNullSafe(bad["_id"]), "left_anti").drop("_key")
+    bad = classify(docs, labels, sample).where("NOT keep").select(F.col("doc_id").cast("long").alias("__mr_id"), F.col("text_key").alias("__mr_key")).distinct()
+    keyed = docs.withColumn("__mr_key", F.xxhash64("text"))
+    return keyed.join(bad, keyed["__mr_key"].eqNullSafe(bad["__mr_key"]) & keyed["doc_id"].eqNullSafe(bad["__mr_id"]), "left_anti").drop("__mr_key")

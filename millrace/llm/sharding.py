@@ -142,14 +142,14 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     docs = docs.drop(*added)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumns({"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "_key": F.md5(text.cast("binary")), "_cell": F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")})
-    groups = store.keep(rows.groupBy(F.col("_key").alias("key")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
-    placed = rows.withColumn("shard", _place(F.col("_key"), *cut_keys(groups, shards)))
+    rows = docs.withColumns({"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "__mr_key": F.md5(text.cast("binary")), "__mr_cell": F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")})
+    groups = store.keep(rows.groupBy(F.col("__mr_key").alias("key")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
+    placed = rows.withColumn("shard", _place(F.col("__mr_key"), *cut_keys(groups, shards)))
 
     # slots: rows are numbered within a cell, after the rows of the shard's earlier cells; at most shards * CELLS counts
-    cells = placed.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
-    cells = F.broadcast(cells.select("shard", "_cell", F.coalesce(before, F.lit(0)).alias("_before")))
-    within = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("doc_id", "_key"))
-    out = placed.withColumn("_within", within).join(cells, ["shard", "_cell"])
-    return out.select(*docs.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_before") + F.col("_within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    cells = placed.groupBy("shard", "__mr_cell").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("__mr_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = F.broadcast(cells.select("shard", "__mr_cell", F.coalesce(before, F.lit(0)).alias("__mr_before")))
+    within = F.row_number().over(Window.partitionBy("shard", "__mr_cell").orderBy("doc_id", "__mr_key"))
+    out = placed.withColumn("__mr_within", within).join(cells, ["shard", "__mr_cell"])
+    return out.select(*docs.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__mr_before") + F.col("__mr_within") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

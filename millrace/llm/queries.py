@@ -54,9 +54,13 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archives = Scratch(spark, "warc").path("archives")
-    write_warc(_table(spark, sf_dir, "pages"), archives)
-    return page_digests(assemble(read_warc(spark, archives)))
+    store = Scratch(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), store.path("archives"))
+    # the archives are parsed once; the digests need no bodies but those of metadata
+    records = read_warc(spark, store.path("archives"))
+    records = store.keep(records.withColumn("payload", F.when(F.col("record_type") == "metadata", F.col("payload"))), "records")
+    store.drop("archives")
+    return page_digests(assemble(records))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

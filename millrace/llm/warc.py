@@ -15,7 +15,7 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EOL = "\r\n"
@@ -34,8 +34,8 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*[group(i) for i in range(8)])
 
 
-def _urn(kind: str, *parts: str) -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(kind), *[F.coalesce(F.col(p).cast("string"), F.lit("null")) for p in parts]))
+def _urn(kind: str, *parts: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit(kind), *[p.cast("string") for p in parts]))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -51,26 +51,27 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
 
     Of payloads that are equal and of ``least_bytes`` or more, the one with the
     smallest page_id is a response and the others are revisits of it. Null html is
-    an empty payload, a null url gives no target, null ids come last. Repeated rows are
-    captures of their own. Other columns are ignored.
+    an empty payload, a null url gives no target, null ids come last. Repeated rows
+    give records with the same identifiers, which are read back as captures of their
+    own. Other columns are ignored.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")))
-    order = F.struct(F.coalesce("page_id", F.lit(_LAST)).alias("page_id"), "nth")
+    order = F.struct(F.coalesce("page_id", F.lit(_LAST)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"))
     first = rows.groupBy("digest").agg(F.min(order).alias("first"))
-    rows = rows.join(first, "digest").withColumns({"first_id": F.when(F.col("first.page_id") != _LAST, F.col("first.page_id")), "first_nth": F.col("first.nth")})
+    rows = rows.join(first, "digest")
     again = (order != F.col("first")) & (F.octet_length("html") >= least_bytes)
-    own, earlier = _urn("response", "page_id", "nth"), _urn("response", "first_id", "first_nth")
+    page, link = order["page_id"], order["url"]
+    own, earlier = _urn("response", page, link, F.col("digest")), _urn("response", F.col("first.page_id"), F.col("first.url"), F.col("digest"))
     common = [("WARC-Date", date), ("WARC-Target-URI", F.col("url"))]
     host = F.coalesce(F.nullif(F.regexp_extract("url", r"^\w+://([^/]*)", 1), F.lit("")), F.lit("unknown"))
     path_of = F.coalesce(F.nullif(F.regexp_extract("url", r"^\w+://[^/]*(/[^\r\n]*)", 1), F.lit("")), F.lit("/"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}Content-Length: "), F.octet_length("html").cast("string"), F.lit(EOL + EOL))
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
-    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _urn("request", "page_id", "nth")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], F.concat(F.lit("GET "), path_of, F.lit(f" HTTP/1.1{EOL}Host: "), host, F.lit(EOL + EOL)))
+    request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _urn("request", page, link, F.col("digest"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http;msgtype=request")], F.concat(F.lit("GET "), path_of, F.lit(f" HTTP/1.1{EOL}Host: "), host, F.lit(EOL + EOL)))
     response = _record([("WARC-Type", "response"), ("WARC-Record-ID", own), *common, digest, ("Content-Type", "application/http;msgtype=response")], F.concat(http, F.col("html")))
     revisit = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, digest, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", earlier), ("Content-Type", "application/http;msgtype=response")], http)
-    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", "page_id", "nth")), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(EOL)))
+    metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", page, link, F.col("digest"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(EOL)))
     records = rows.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
     records.write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
@@ -153,5 +154,5 @@ def page_digests(captures: DataFrame) -> DataFrame:
     """
     page = F.expr("try_cast(regexp_extract(cast(metadata.payload as string), 'page-id: (-?[0-9]+)', 1) as long)")
     own = captures.select("capture_id", page.alias("page_id"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers"))
-    first = own.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes"))
+    first = own.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes")).dropDuplicates(["refers"])
     return own.join(first, "refers", "left").select("page_id", F.coalesce("bytes", "first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -3,12 +3,15 @@
 A step that several later steps read is written once, as Parquet, under the
 folder the cluster names in ``spark.checkpoint.dir``: that cuts the lineage, and
 a lost executor costs only the tasks it was running. A local folder is used only
-where the setting is absent and the master is local, as in tests.
+where the setting is absent and the master is local, as in tests; what is in it
+goes when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +25,11 @@ def base_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/millrace-scratch"
+    return f"file://{_own_dir()}"
+
+
+def _own_dir() -> str:
+    return f"{tempfile.gettempdir()}/millrace-scratch"
 
 
 class Scratch:
@@ -31,6 +38,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.root = f"{base_dir(spark)}/millrace/{operator}-{uuid.uuid4().hex}"
+        if self.root.startswith(f"file://{_own_dir()}"):
+            atexit.register(shutil.rmtree, self.root.removeprefix("file://"), ignore_errors=True)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

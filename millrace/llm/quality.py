@@ -152,7 +152,7 @@ def learn_words(rows: list[np.ndarray], toxic: np.ndarray, precision: float = 0.
     """
     group = {v: [x for x, t in zip(rows, toxic, strict=True) if t == v] for v in (YES, NO)}
     group = {v: [x for x, first in zip(g, _first_of_kind(g), strict=True) if first] for v, g in group.items()}
-    yes, no = (np.bincount(np.concatenate([*group[v], np.zeros(0, np.int64)]), minlength=1 << BITS) for v in (YES, NO))
+    yes, no = _counts(group[YES]), _counts(group[NO])
     share = len(group[YES]) / max(1, len(group[YES]) + len(group[NO]))
     least = 2
     while least < 64 and (yes + no >= least).sum() * share**least >= chance:
@@ -160,6 +160,23 @@ def learn_words(rows: list[np.ndarray], toxic: np.ndarray, precision: float = 0.
     return np.flatnonzero((yes >= least) & (yes >= precision * (yes + no)))
 
 
+def _slices_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each row's list as a view of the column's own memory."""
+    out = []
+    for chunk in column.chunks:
+        values, at = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many of the rows hold each cell."""
+    out = np.zeros(1 << BITS, np.int32)
+    for x in rows:
+        out[x] += 1
+    return out
+
+
 def _given(labels: DataFrame, column: str, yes: int) -> Column:
     """The majority of the labels given for a document; abstains in a tie."""
     n = F.sum(F.when(F.col(column) == yes, 1).when(F.col(column) == 1 - yes, -1).otherwise(0))
@@ -215,7 +232,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
 
     # at most ``sample`` rows of cells, whatever the size of the corpus
     chosen = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "given_q", "given_t").mapInArrow(features, "given_q int, given_t int, quality long, toxic long, cells array<int>").limit(sample).toArrow()
-    rows = [x.values.to_numpy().astype(np.int64) for x in chosen.column("cells")]
+    rows = _slices_of(chosen.column("cells"))
     given_q, given_t, quality, toxic = (chosen.column(c).to_numpy() for c in ("given_q", "given_t", "quality", "toxic"))
     learned = learn_words(rows, given_t)
 
@@ -239,6 +256,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
         scorers = [train_scorer(rows, post_q[quality + given_q * last_q]), train_scorer(rows, post_t[toxic + 3 * learned_vote + given_t * last_t])]
     else:
         scorers = [(np.zeros(1 << BITS), 0.0)] * 2
+    del rows, chosen
+    pa.default_memory_pool().release_unused()
     scored = with_given(_votes(docs, learned, scorers))
 
     def chance(pattern: str, score: str, given: str, post: np.ndarray) -> Column:

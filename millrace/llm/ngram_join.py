@@ -7,9 +7,9 @@ filters drop most pairs from counts alone, and each pair left is verified once
 against the whole sets.
 
 Groups of mutually similar texts do not become all their pairs. Under a shared
-gram every text is first paired with one pivot; once the links found are
-components, only pairs across components are formed, so no link that could join
-two components is missed.
+gram every text is first paired with one pivot, then with a few others at random;
+once the links found are components, only pairs across components are formed, and
+of these, in the end, all: no link that could join two components is missed.
 """
 
 from __future__ import annotations
@@ -28,8 +28,13 @@ from ._words import ASCII_SPACE, LOWER_AZ, U64, sets_of, shingles, slices, words
 
 #: Gram frequencies are counted in 2**FREQ_BITS cells; the order needs no more than that.
 FREQ_BITS = 20
-#: Cells of the set histogram that the suffix filter compares.
-SUFFIX_CELLS = 16
+#: The suffix filter compares this many cells, 64 to a long: whether each holds an odd number of a set's grams.
+SKETCH_LONGS = 4
+SKETCH = [f"sketch{k}" for k in range(SKETCH_LONGS)]
+#: Rounds of looking for links between components; the last one tries all pairs.
+ROUNDS = 3
+#: Texts that meet at once in the other rounds.
+BUCKET = 8
 _PART = 1 << 14
 
 
@@ -70,31 +75,32 @@ def _ceil_div(a, b):
 
 
 def features(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """Per row of (rid, doc_id, text): set size, set histogram, and the prefix in the global order."""
+    """Per row of (rid, doc_id, text): set size, parity sketch, and the prefix in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(order.astype(np.uint32))
 
     def extract(batches):
         rank = shared.value
         for batch in batches:
             for part, sets in _gram_sets(batch, n):
-                sizes, prefixes, hists = [], [], []
+                sizes, prefixes, sketches = [], [], []
                 for s in sets:
                     size = len(s)
                     keep = size - _ceil_div(percent * size, 100) + 1 if size else 0
                     cell = (s >> U64(64 - FREQ_BITS)).astype(np.int64)
                     place = (rank[cell].astype(U64) << U64(40)) | (s & U64((1 << 40) - 1))
                     prefixes.append(s[np.argsort(place, kind="stable")[:keep]].view(np.int64))
-                    hists.append(np.bincount((s & U64(SUFFIX_CELLS - 1)).astype(np.int64), minlength=SUFFIX_CELLS))
+                    odd = np.bincount((s & U64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     sizes.append(size)
                 at = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("rid"), part.column("doc_id"), pa.array(sizes, pa.int32()),
-                     pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SUFFIX_CELLS, pa.array(np.concatenate(hists).astype(np.int32))),
+                     *[pa.array(np.array(sketches)[:, k]) for k in range(SKETCH_LONGS)],
                      pa.ListArray.from_arrays(at, pa.array(np.concatenate(prefixes)))],
-                    ["rid", "doc_id", "n", "hist", "prefix"],
+                    ["rid", "doc_id", "n", *SKETCH, "prefix"],
                 )
 
-    return docs.select("rid", "doc_id", "text").mapInArrow(extract, "rid long, doc_id long, n int, hist array<int>, prefix array<long>")
+    return docs.select("rid", "doc_id", "text").mapInArrow(extract, f"rid long, doc_id long, n int, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>")
 
 
 def needed_overlap(a: Column, b: Column, percent: int) -> Column:
@@ -108,12 +114,16 @@ def _possible(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> C
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most >= needed_overlap(na, nb, percent))
 
 
+def _near(a: str, b: str, na: Column, nb: Column, percent: int) -> Column:
+    """Suffix filter: a cell that is odd in one set only holds a gram that the other lacks, and few may be lacking."""
+    apart = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH), F.lit(0))
+    return apart <= na + nb - 2 * needed_overlap(na, nb, percent)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rids that are similar enough: the suffix filter on histograms, then the sets themselves."""
-    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("hist").alias(f"h{x}"))
-    apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = near.where(apart <= F.col("na") + F.col("nb") - 2 * needed_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    """Pairs (a, b) of rids that are similar enough: the suffix filter, then the sets themselves."""
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH])
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("a_", "b_", F.col("na"), F.col("nb"), percent)).select("a", "b")
     text = docs.select("rid", "text").groupBy("rid").agg(F.first("text").alias("text"))
     both = near.join(text.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -136,6 +146,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent:
     return both.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long")
 
 
+def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of grams that texts of several components share, with root and c, the gram's texts. ``found`` has a row for every text."""
+    rows = rows.join(found, "rid")
+    grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    return rows.join(grams.select("gram", "c"), "gram")
+
+
+def _candidates(x: DataFrame, y: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """Distinct pairs of different components that meet under a gram and may be similar enough."""
+    x = x.select(*on, *[F.col(c).alias(f"x_{c}") for c in ("rid", "n", "i", "root", *SKETCH)])
+    a, b = [F.col(f"x_{c}") for c in ("n", "i")], [F.col(c) for c in ("n", "i")]
+    # of two texts, the one with fewer grams (the lesser rid if equal) meets within a shorter prefix still
+    short_x = (a[0] < b[0]) | ((a[0] == b[0]) & (F.col("x_rid") < F.col("rid")))
+    within = lambda c: c[1] < c[0] - F.ceil(c[0] * F.lit(2 * percent) / F.lit(100.0 + percent) - F.lit(1e-9)) + 1
+    met = x.join(y, on).where("x_root <> root").where(_possible(*a, *b, percent)).where(_near("x_", "", a[0], b[0], percent)).where(F.when(short_x, within(a)).otherwise(within(b)))
+    return met.select(F.least("x_rid", "rid").alias("a"), F.greatest("x_rid", "rid").alias("b")).distinct()
+
+
+def _some_across(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs within buckets of about BUCKET texts. The bucket hangs on the text, not the gram, so that grams shared by the same texts give the same pairs."""
+    buckets = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("c") / F.lit(BUCKET), F.lit(1.0))))).cast("long")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid", F.lit(k)), buckets))
+    return _candidates(rows, rows, ["gram", "bucket"], percent)
+
+
+def _all_across(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs, from all but the largest component under each gram."""
+    main = rows.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", "count").alias("main"))
+    return _candidates(rows.join(main, "gram").where("root <> main"), rows, ["gram"], percent)
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by word n-gram Jaccard similarity of percent / 100 or more.
 
@@ -158,7 +199,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     store.release()
 
     # one row for each distinct text
-    sets = feats.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.first("prefix").alias("prefix"))
+    sets = feats.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix"))
     rows = store.keep(sets, "sets").select("rid", "n", F.posexplode("prefix").alias("i", "gram"))
     sets = spark.read.parquet(store.path("sets"))
     shared = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("rid").alias("pivot"), F.min_by("n", "rid").alias("pn"), F.min_by("i", "rid").alias("pi")).where("c > 1").drop("c")
@@ -167,28 +208,27 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # every text with the pivot of each of its shared grams
     star = rows.where("rid <> pivot").where(_possible(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"), percent))
-    star = store.keep(star.select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
-    links = store.keep(_verify(star, sets, docs, n, percent), "links1")
-    store.release()
-    found = store.keep(components(links, store, "cc1_"), "found1")
-
-    # then the pairs across components, from all but the largest component under each gram
-    rows = rows.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    mixed = rows.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("gram")
-    rows = store.keep(rows.join(mixed, "gram"), "mixed")
-    main = rows.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", "count").alias("main"))
-    rest = rows.join(main, "gram").where("root <> main").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("rid", "n", "i", "root")])
-    x, y = [F.col(f"x_{c}") for c in ("n", "i")], [F.col(c) for c in ("n", "i")]
-    # of two texts, the one with fewer grams (the lesser rid if equal) meets within a shorter prefix still
-    short_x = (x[0] < y[0]) | ((x[0] == y[0]) & (F.col("x_rid") < F.col("rid")))
-    within = lambda c: c[1] < c[0] - F.ceil(c[0] * F.lit(2 * percent) / F.lit(100.0 + percent) - F.lit(1e-9)) + 1
-    across = rest.join(rows, "gram").where("x_root <> root AND x_rid <> pivot AND rid <> pivot").where(_possible(*x, *y, percent)).where(F.when(short_x, within(x)).otherwise(within(y)))
-    across = across.select(F.least("x_rid", "rid").alias("a"), F.greatest("x_rid", "rid").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    across = store.keep(across, "across")
-    if across.head(1):
-        more = store.keep(_verify(across, sets, docs, n, percent), "links2")
-        found = store.keep(components(links.union(more), store, "cc2_"), "found2")
-    store.release()
+    checked = store.keep(star.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct(), "star")
+    links = store.keep(_verify(checked, sets, docs, n, percent), "links0")
+    found = store.keep(components(links, store, "cc0_"), "found0")
+    rows = rows.select("gram", "rid", "n", "i")
+
+    # then pairs across components: those that fall in one small bucket under a gram, anew each round while that finds links, and in the end all
+    for k in range(1, ROUNDS + 1):
+        of_each = sets.select("rid", *(SKETCH if k == 1 else [])).join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        rows = store.keep(_mixed(rows, of_each), f"mixed{k}")
+        last = k == ROUNDS or not links.head(1)
+        pairs = (_all_across if last else _some_across)(rows, k, percent).join(checked, ["a", "b"], "left_anti")
+        pairs = store.keep(pairs, f"pairs{k}")
+        links = store.keep(_verify(pairs, sets, docs, n, percent), f"links{k}")
+        if links.head(1):
+            found = store.keep(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links), store, f"cc{k}_"), f"found{k}")
+        rows, checked = rows.drop("root", "c"), checked.union(pairs)
+        store.release()
+        if last:
+            break
+    # the result below reads feats and the last found only
+    store.drop("sets", "rows", "star", "links0", *[f"{x}{j}" for j in range(1, k + 1) for x in ("mixed", "pairs", "links")])
 
     # names of components: the least doc_id among all copies of all members
     named = feats.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))

@@ -1,13 +1,13 @@
 """Benchmark decontamination (operator 3).
 
-Word n-grams of the test items that are rare in the corpus are seeds. A passage
-that shares a seed with an item is aligned with it by Smith-Waterman over words;
-the score tells edited and paraphrased copies from chance.
+Pairs of words that stand next to each other, or with one word between, are seeds.
+A passage that shares so many seeds with an item as any alignment of the wanted
+score must is aligned with it by Smith-Waterman over words; the score tells edited
+and paraphrased copies from chance. No seed is dropped, so none is missed.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 from typing import NamedTuple
 
@@ -17,56 +17,61 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
-from ._words import NOT_ALNUM, U64, Words, shingles, slices, words_of
+from ._words import NOT_ALNUM, RUN, U64, Words, mix, slices, words_of
 
 #: Test items whose seeds are held at once; more items are done in so many passes.
 ITEMS_AT_ONCE = 20_000
-#: An item uses this share of its n-grams, the rarest ones, but so many at least.
-RARE_SHARE, RARE_LEAST = 0.75, 8
+#: Places of seeds that are looked at together, unless one document has more.
+HITS_AT_ONCE = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 
 class Items(NamedTuple):
-    """Test items: ids, word hashes, and the sorted distinct seeds with their items and places."""
+    """Test items: ids, word hashes, and the sorted distinct seeds with their items."""
 
     ids: list[int | None]
     words: list[np.ndarray]
     seeds: np.ndarray
-    first: np.ndarray  # of each seed, its first place
-    item: np.ndarray  # of each place
-    at: np.ndarray
+    first: np.ndarray  # of each seed, its first item
+    item: np.ndarray
 
 
 def _words(texts: pa.Array) -> Words:
     return words_of(pc.utf8_lower(texts), NOT_ALNUM)
 
 
+def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all pairs of words of a row that are next to each other or have one between, and each pair's first word."""
+    out, at = [], []
+    for gap in (1, 2):
+        own = np.flatnonzero(w.row[gap:] == w.row[:-gap])
+        with np.errstate(over="ignore"):
+            out.append(mix(w.hash[own] * RUN[1] + w.hash[own + gap] * RUN[2]))
+        at.append(own)
+    return np.concatenate(out), np.concatenate(at)
+
+
 def load_items(rows: list[tuple[int | None, str | None]], n: int) -> Items:
     """Items of fewer than n words have no seeds: they match nothing."""
     w = _words(pa.array([t for _, t in rows], pa.string()))
     words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
-    whole = [i for i, x in enumerate(words) if len(x) >= n]
-    grams, row = shingles(w, n)
-    use = np.isin(row, whole)
-    grams, row = grams[use], row[use]
-    at = np.concatenate([np.arange(len(words[i]) - n + 1) for i in whole]) if whole else np.zeros(0, np.int64)
-    order = np.argsort(grams, kind="stable")
-    seeds, first = np.unique(grams[order], return_index=True)
-    return Items([i for i, _ in rows], words, seeds, np.append(first, len(order)), row[order], at[order])
-
-
-def rare_seeds(items: Items, frequency: np.ndarray) -> list[set[int]]:
-    """Each item's seeds, as places in ``seeds``, that are rarest in the corpus."""
-    own = defaultdict(set)
-    for s in range(len(items.seeds)):
-        for i in items.item[items.first[s] : items.first[s + 1]]:
-            own[int(i)].add(s)
-    out = []
-    for i in range(len(items.ids)):
-        ranked = sorted(own[i], key=lambda s: (frequency[s], s))
-        out.append(set(ranked[: max(RARE_LEAST, round(RARE_SHARE * len(ranked)))]))
-    return out
+    pairs, at = _pairs(w)
+    item = w.row[at]
+    use = np.array([len(x) >= n for x in words], bool)[item]
+    own = np.unique(np.stack([pairs[use], item[use].astype(U64)]), axis=1)
+    seeds, first = np.unique(own[0], return_index=True)
+    return Items([i for i, _ in rows], words, seeds, np.append(first, own.shape[1]), own[1].astype(np.int64))
+
+
+def bounds(size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For items of so many words: the fewest seeds in an alignment that reaches ``least``, and the most words of a passage it spans.
+
+    m matches and x other steps score 2 m - x >= T. Between matches that follow each other stands a
+    cost of two or more x / 2 times at most; the others, m - 1 - x / 2 >= T / 2 - 1, are seeds. The
+    passage has m + x <= 3 m - T words, and m is the item's size at most.
+    """
+    target = least * MATCH * size
+    return np.maximum(1, np.ceil(target / 2 - 1 - 1e-9)).astype(np.int64), np.floor(3 * size - target + 1e-9).astype(np.int64)
 
 
 def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -82,58 +87,67 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def _hits(docs: DataFrame, items: Items, n: int) -> DataFrame:
-    """A row for each document, item and stretch of the document with seeds of the item: the seeds, and the stretch's words."""
+def _passages(w: Words, items: Items, table: np.ndarray, fewest: np.ndarray, most: np.ndarray):
+    """(row, item, begin, end) of all stretches of words that hold enough seeds of an item close together; those that overlap are one."""
+    pairs, at = _pairs(w)
+    near = np.flatnonzero(table[pairs >> U64(64 - int(len(table)).bit_length() + 1)])
+    pairs, at = pairs[near], at[near]
+    seed = np.minimum(np.searchsorted(items.seeds, pairs), len(items.seeds) - 1)
+    hit = np.flatnonzero(items.seeds[seed] == pairs)
+    hit = hit[np.argsort(at[hit], kind="stable")]
+    seed, at = seed[hit], at[hit]
+    times = items.first[seed + 1] - items.first[seed]
+    upto = np.cumsum(times)
+    lo = 0
+    while lo < len(at):
+        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HITS_AT_ONCE, "right"))
+        if hi < len(at):  # back to the begin of a row, or else on to its end
+            row = w.row[at[hi]]
+            begin = int(np.searchsorted(at, w.first[row]))
+            hi = begin if begin > lo else int(np.searchsorted(at, w.first[row + 1]))
+        n, base = times[lo:hi], items.first[seed[lo:hi]]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(base, n)
+        key = np.unique(items.item[place] * len(w.hash) + np.repeat(at[lo:hi], n))
+        item, word = np.divmod(key, len(w.hash))
+        last = np.arange(len(key)) + fewest[item] - 1
+        inside = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        k = np.flatnonzero(inside & (item[last] == item) & (w.row[word[last]] == w.row[word]) & (word[last] - word <= most[item]))
+        if len(k):
+            row, item = w.row[word[k]], item[k]
+            begin = np.maximum(word[last[k]] + 1 - most[item], w.first[row])
+            end = np.minimum(word[k] + most[item], w.first[row + 1])
+            new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (begin[1:] > end[:-1]))))
+            yield from zip(row[new].tolist(), item[new].tolist(), begin[new].tolist(), end[np.append(new[1:], len(k)) - 1].tolist(), strict=True)
+        lo = hi
+
+
+def _aligned(docs: DataFrame, items: Items, least: float) -> DataFrame:
+    """A row for each passage of a document whose alignment with an item reaches ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
 
     def find(batches):
         items = Items(*shared.value)
+        fewest, most = bounds(np.array([len(x) for x in items.words]), least)
+        bits = min(26, max(16, len(items.seeds).bit_length() + 5))
+        table = np.zeros(1 << bits, bool)
+        table[items.seeds >> U64(64 - bits)] = True
         for batch in batches:
             for part in slices(batch, "text"):
                 w = _words(part.column("text"))
-                grams, row = shingles(w, n)
-                seed = np.minimum(np.searchsorted(items.seeds, grams), len(items.seeds) - 1)
-                found = np.flatnonzero(items.seeds[seed] == grams)
-                out = defaultdict(list)
-                if len(found):
-                    place = np.arange(len(grams)) - np.searchsorted(row, row)
-                    by = defaultdict(list)
-                    for g in found:
-                        s = seed[g]
-                        for k in range(items.first[s], items.first[s + 1]):
-                            by[int(row[g]), int(items.item[k])].append((int(place[g]), int(items.at[k]), int(s)))
-                    for (r, i), hits in by.items():
-                        size, own = len(items.words[i]), w.hash[w.first[r] : w.first[r + 1]]
-                        cuts = [0, *[j for j in range(1, len(hits)) if hits[j][0] - hits[j - 1][0] > size], len(hits)]
-                        for a, b in zip(cuts, cuts[1:], strict=False):
-                            lo = max(0, min(p - q for p, q, _ in hits[a:b]) - size // 2)
-                            hi = max(p - q for p, q, _ in hits[a:b]) + size + size // 2
-                            for name, x in (("row", r), ("item", i), ("lo", lo), ("seeds", sorted({s for *_, s in hits[a:b]})), ("passage", own[lo:hi].view(np.int64))):
-                                out[name].append(x)
-                took = pa.array(out["row"], pa.int64())
+                out = []
+                for r, i, a, b in _passages(w, items, table, fewest, most):
+                    score, end = alignment(items.words[i], w.hash[a:b])
+                    if score >= least:
+                        out.append((r, items.ids[i], score, a + end - int(w.first[r])))
+                row, ids, score, end = zip(*out, strict=True) if out else ([],) * 4
+                took = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(took), part.column("text_key").take(took), pa.array(out["item"], pa.int32()), pa.array(out["lo"], pa.int64()), pa.array(out["seeds"], pa.list_(pa.int32())), pa.array(out["passage"], pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "item", "lo", "seeds", "passage"],
+                    [part.column("doc_id").take(took), part.column("text_key").take(took), pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array(end, pa.int64())],
+                    ["doc_id", "text_key", "item_id", "score", "end_word"],
                 )
 
-    return docs.mapInArrow(find, "doc_id long, text_key long, item int, lo long, seeds array<int>, passage array<long>")
-
-
-def _aligned(hits: DataFrame, items: Items, rare: list[set[int]], least: float) -> DataFrame:
-    shared = hits.sparkSession.sparkContext.broadcast((items.ids, items.words, rare))
-
-    def align(batches):
-        ids, words, rare = shared.value
-        for batch in batches:
-            score, end = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            numbers = batch.column("item").to_pylist()
-            for r, i in enumerate(numbers):
-                if rare[i].intersection(batch.column("seeds")[r].values.to_pylist()):
-                    score[r], end[r] = alignment(words[i], batch.column("passage")[r].values.to_numpy().view(U64))
-            ends = pa.array(end + batch.column("lo").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([ids[i] for i in numbers], pa.int64()), pa.array(score), ends], ["doc_id", "text_key", "item_id", "score", "end_word"]).filter(pa.array(score >= least))
-
-    return hits.mapInArrow(align, "doc_id long, text_key long, item_id long, score double, end_word long")
+    return docs.mapInArrow(find, "doc_id long, text_key long, item_id long, score double, end_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
@@ -147,11 +161,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
 
     Null and empty texts and items of fewer than n words match nothing. Repeated
     rows give their pairs once; null ids stay null. An empty table on either side
-    gives an empty result. Seeds are counted over all documents. Items are held
-    on the executors ITEMS_AT_ONCE at a time; further items take further passes.
+    gives an empty result. Every pair that reaches ``least`` is found where
+    ``least`` times an item's words is above 1. Items are held on the executors
+    ITEMS_AT_ONCE at a time; further items take further passes.
     """
     spark = docs.sparkSession
-    store = Scratch(spark, "decontaminate")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     passes = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
@@ -160,11 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
         items = load_items([tuple(r) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()], n)
         if not len(items.seeds):
             continue
-        hits = store.keep(_hits(docs, items, n), f"hits{k}")
-        frequency = np.zeros(len(items.seeds), np.int64)
-        for r in hits.select(F.explode("seeds").alias("s")).groupBy("s").count().collect():
-            frequency[r["s"]] = r["count"]
-        found.append(_aligned(hits, items, rare_seeds(items, frequency), least))
+        found.append(_aligned(docs, items, least))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long, text_key long")
     best = reduce(DataFrame.union, found).groupBy("doc_id", "item_id", "text_key").agg(F.max("score").alias("score"), F.max_by("end_word", "score").alias("end_word"))

@@ -79,3 +79,22 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contaminated(docs.limit(0), items).count() == 0
     assert len(load_items([(1, "a b c")], 4).seeds) == 0
+
+
+def test_evenly_edited_copies_are_found(spark):
+    r = random.Random(11)
+    v = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(v) for _ in range(n))) for i, n in enumerate((15, 20, 38, 59))]
+    docs = []
+    for i, t in items:
+        own = t.split()
+        for k, every in enumerate((3, 4, 5)):
+            docs.append((10 * i + k, " ".join(["x"] * 30 + ["new" if j % every == every - 1 else w for j, w in enumerate(own)] + ["y"] * 30)))
+        docs.append((10 * i + 3, " ".join(f"{w} put" for w in own)))
+        docs.append((10 * i + 4, " ".join(w for j, w in enumerate(own) if j % 4)))
+        for k in range(5, 10):
+            docs.append((10 * i + k, " ".join(r.choice(v) if r.random() < 0.25 else w for w in own)))
+    got = {(x.doc_id, x.item_id): x.score for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, i): s for d, t in docs for i, q in items if (s := score(q.split(), t.split())) >= 0.5}
+    assert len(want) >= 30
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)

@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 from ._words import ASCII_SPACE, LOWER_AZ, RUN, U64, Words, mix, slices, words_of
 
-#: A sentence longer than this counts as several, cut after so many words.
+#: A sentence longer than this counts as several, cut after so many words or where its words say.
 SENTENCE_WORDS = 12
+#: Where words say: at the least hash of two words in any so many places.
+CUT_WINDOW = 6
+#: A run with part of a sentence has so many words at least.
+PART_WORDS = 25
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 #: Rank of a document without an id: after all others.
@@ -32,18 +36,43 @@ class Sentences(NamedTuple):
     words: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # of each row, its first sentence; and the number of sentences
+    opens: np.ndarray  # False for what goes on with the sentence before, by content
+
+
+def _content_cuts(w: Words, begin: np.ndarray) -> np.ndarray:
+    """Words inside long sentences at which a new part begins, decided by the words around: equal passages have equal cuts but for some words at their ends."""
+    n, size = len(w.hash), np.diff(np.append(begin, len(w.hash)))
+    end = np.repeat(np.where(size > SENTENCE_WORDS, begin + size, 0), size)
+    inner = np.ones(n, bool)
+    inner[begin] = False
+    at = np.flatnonzero(inner & (np.arange(n) + CUT_WINDOW <= end))
+    if not len(at):
+        return at
+    with np.errstate(over="ignore"):
+        two = mix(w.hash * RUN[24] + np.append(w.hash[:1], w.hash[:-1]) * RUN[25])
+    best, place = two[at], at.copy()
+    for j in range(1, CUT_WINDOW):
+        other = two[at + j]
+        less = other <= best
+        best[less], place[less] = other[less], at[less] + j
+    return np.unique(place)
 
 
-def sentences_of(w: Words) -> Sentences:
+def sentences_of(w: Words, by_content: bool = False) -> Sentences:
     """Sentences end at a line break, or at a word ending in a full stop, '!' or '?'."""
     n = len(w.hash)
     if not n:
         none = np.zeros(0, np.int64)
-        return Sentences(none, none, none, np.zeros(0, U64), np.zeros(len(w.offsets), np.int64))
+        return Sentences(none, none, none, np.zeros(0, U64), np.zeros(len(w.offsets), np.int64), np.zeros(0, bool))
     lines = np.cumsum(w.data == 10)
     last = _STOPS[w.data[w.end - 1]]
     last[:-1] |= (lines[w.start[1:]] > lines[w.end[:-1] - 1]) | (w.row[1:] != w.row[:-1])
     begin = np.concatenate(([0], np.flatnonzero(last[:-1]) + 1))
+    opens = np.ones(n, bool)
+    if by_content:
+        cuts = _content_cuts(w, begin)
+        opens[cuts] = False
+        begin = np.union1d(begin, cuts)
     place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
     begin = np.flatnonzero(place % SENTENCE_WORDS == 0)
     with np.errstate(over="ignore"):
@@ -51,32 +80,55 @@ def sentences_of(w: Words) -> Sentences:
     row = w.row[begin]
     stop = np.append(w.start[begin[1:]], len(w.data))
     stop = np.minimum(stop, w.offsets[row + 1])
-    return Sentences(w.start[begin], stop, np.diff(np.append(begin, n)), h, np.searchsorted(row, np.arange(len(w.offsets))))
+    return Sentences(w.start[begin], stop, np.diff(np.append(begin, n)), h, np.searchsorted(row, np.arange(len(w.offsets))), opens[begin])
+
 
+def runs_of(s: Sentences, row: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row's runs: hashes, and the parts at which each begins and ends.
 
-def runs_of(s: Sentences, row: int, length: int) -> np.ndarray:
-    """Hashes of a row's runs of so many sentences."""
-    h = s.hash[s.first[row] : s.first[row + 1]]
-    m = max(0, len(h) - length + 1)
+    Runs of so many sentences; and from every part runs of so many parts and PART_WORDS words, if
+    a sentence cut by content is among them.
+    """
+    lo, n = s.first[row], s.first[row + 1] - s.first[row]
+    h, opens = s.hash[lo : lo + n], s.opens[lo : lo + n]
+    bound = np.append(np.flatnonzero(opens), n)
+    m = max(0, len(bound) - length)
     out = np.zeros(m, U64)
     with np.errstate(over="ignore"):
+        if len(bound) - 1 < n:
+            k = np.arange(n) - np.repeat(bound[:-1], np.diff(bound))
+            whole = mix(np.add.reduceat(h * RUN[64 + k % 4000], bound[:-1]))
+        else:
+            whole = mix(h * RUN[64])
         for j in range(length):
-            out += h[j : j + m] * RUN[32 + j]
-        return mix(out)
+            out += whole[j : j + m] * RUN[32 + j]
+        out, start, stop = mix(out), bound[:m], bound[length : length + m]
+        if len(bound) - 1 == n:
+            return out, start, stop
+        words = np.append(0, np.cumsum(s.words[lo : lo + n]))
+        end = np.maximum(np.searchsorted(words, words[:-1] + PART_WORDS), np.arange(n) + length)
+        cut = ~opens
+        cut[:-1] |= cut[1:]  # the part that opens a cut sentence too
+        cuts = np.append(0, np.cumsum(cut))
+        at = np.flatnonzero((end <= n) & (cuts[np.minimum(end, n)] > cuts[:-1]))
+        size, more = end[at] - at, np.zeros(len(at), U64)
+        for j in range(int(size.max()) if len(at) else 0):
+            use = np.flatnonzero(size > j)
+            more[use] += h[at[use] + j] * RUN[128 + j]
+    return np.concatenate((out, mix(more + RUN[63]))), np.concatenate((start, at)), np.concatenate((stop, end[at]))
 
 
 def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated: np.ndarray, least_words: int) -> tuple[bytes, list[bytes], int, np.ndarray]:
     """The text without covered sentences, what went, how many sentences went, and the runs that made them go."""
-    runs = runs_of(s, row, length)
+    runs, start, stop = runs_of(s, row, length)
     lo, n = s.first[row], s.first[row + 1] - s.first[row]
     again = np.ones(len(runs), bool)
     again[np.unique(runs, return_index=True)[1]] = False
     hit = np.isin(runs, repeated) | again
     if not hit.any():
         return text, [], 0, runs[:0]
-    covered = np.zeros(n, bool)
-    for j in range(length):
-        covered[j : j + len(runs)] |= hit
+    depth = np.bincount(start[hit], minlength=n + 1) - np.bincount(stop[hit], minlength=n + 1)
+    covered = np.cumsum(depth)[:n] > 0
     edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
     kept, gone, count, pos = [], [], 0, 0
     by = np.zeros(len(runs), bool)
@@ -87,17 +139,21 @@ def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated:
         kept.append(text[pos:x])
         gone.append(text[x:y])
         count, pos = count + int(b - a), y
-        by[a : b - length + 1] |= hit[a : b - length + 1]
+        by |= hit & (start >= a) & (start < b)
     return b"".join([*kept, text[pos:]]), gone, count, runs[by]
 
 
-def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 25) -> DataFrame:
+def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 25, by_content: bool = False) -> DataFrame:
     """Remove sentences that a repeated run of sentences covers, other than where it first occurs.
 
     ``docs`` needs a long ``doc_id`` and a string ``text``. A run is ``run``
     consecutive sentences, A-Z lower-cased and white space aside. First is the
     smallest doc_id, and the earliest place within it. A covered stretch of fewer
-    than ``least_words`` words stays: short phrases recur by chance. Returns a row
+    than ``least_words`` words stays: short phrases recur by chance. A sentence of
+    over SENTENCE_WORDS words counts as several, cut after so many words from its
+    begin; with ``by_content`` its words decide the cuts, so that a passage of over
+    50 words is found wherever it begins in a sentence, and a run with part of a
+    sentence has PART_WORDS words at least. Returns a row
     per input row: doc_id, text (what is left), n_sentences, n_removed, removed
     (the stretches), first_in (doc_ids that keep them, ascending).
 
@@ -111,8 +167,8 @@ def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 25) -> Dat
     def emit(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                s = sentences_of(words_of(part.column("text"), ASCII_SPACE, LOWER_AZ))
-                each = [np.unique(runs_of(s, r, run)) for r in range(part.num_rows)]
+                s = sentences_of(words_of(part.column("text"), ASCII_SPACE, LOWER_AZ), by_content)
+                each = [np.unique(runs_of(s, r, run)[0]) for r in range(part.num_rows)]
                 ranks = np.repeat(part.column("rank").to_numpy(zero_copy_only=False), [len(x) for x in each])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), pa.array(ranks)], ["run", "rank"])
 
@@ -125,7 +181,7 @@ def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 25) -> Dat
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words_of(part.column("text"), ASCII_SPACE, LOWER_AZ)
-                s, data = sentences_of(w), w.data.tobytes()
+                s, data = sentences_of(w, by_content), w.data.tobytes()
                 texts, gone, counts, firsts = [], [], [], []
                 for r in range(part.num_rows):
                     at, end = int(w.offsets[r]), int(w.offsets[r + 1])

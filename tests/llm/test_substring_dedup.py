@@ -1,3 +1,4 @@
+import random
 import re
 
 from millrace.llm.substring_dedup import SENTENCE_WORDS, substring_dedup
@@ -61,3 +62,23 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shared_passages_are_found_wherever_they_begin(spark, tmp_path):
+    from millrace.llm.queries import op1_substring_dedup
+
+    r = random.Random(3)
+    new = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, doc = [], 0
+    for sizes in [(60,), (51,), (27, 24), (12, 12, 12, 15), (13, 13, 13, 12), (25, 26), (12, 39), (7, 30, 14), (300,)] * 12:
+        passage = [x for n in sizes for x in [*new(n - 1), new(1)[0] + "."]]
+        passage[-1] = passage[-1].rstrip(".")
+        for _ in range(2):
+            rows.append((doc, " ".join([*new(r.randrange(1, 12)), *passage, *new(r.randrange(1, 12))]) + "."))
+            doc += 1
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[d].n_removed == 0 for d in range(0, doc, 2))
+    assert [d for d in range(1, doc, 2) if not got[d].n_removed] == []
+    assert all(len(" ".join(got[d].removed).split()) >= 25 for d in range(1, doc, 2))
+    assert all(got[d].first_in == [d - 1] for d in range(1, doc, 2))

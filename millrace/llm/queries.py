@@ -34,7 +34,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents"), by_content=True)
+    return substring_dedup(_table(spark, sf_dir, "documents"), least_words=0, by_content=True)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

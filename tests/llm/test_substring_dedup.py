@@ -82,3 +82,14 @@ def test_shared_passages_are_found_wherever_they_begin(spark, tmp_path):
     assert [d for d in range(1, doc, 2) if not got[d].n_removed] == []
     assert all(len(" ".join(got[d].removed).split()) >= 25 for d in range(1, doc, 2))
     assert all(got[d].first_in == [d - 1] for d in range(1, doc, 2))
+
+
+def test_query_removes_short_stretches_and_scripts_without_spaces(spark, tmp_path):
+    from millrace.llm.queries import op1_substring_dedup
+
+    short, lines = "Alpha beta gamma. Delta epsilon. Zeta eta theta.", "春眠不覚暁\n処処聞啼鳥\n夜来風雨声\n花落知多少\n"
+    rows = [(1, f"{short} One more here."), (2, f"Begin of two. {short} End of two."), (3, lines), (4, f"題\n{lines}終"), (5, "Alpha beta gamma. Delta epsilon.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert [got[d].n_removed for d in range(1, 6)] == [0, 3, 0, 4, 0]
+    assert got[2].text == "Begin of two. End of two." and got[4].text == "題\n終" and got[4].first_in == [3]

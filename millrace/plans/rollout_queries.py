@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import discounted
 from ..operators import accounting, evaluation, logprob, runlog, trajectory
 from ..streaming import streams
 from .registry import query
@@ -98,11 +98,23 @@ def ragged_metric_means(t):
 @query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT * FROM e WHERE k <= 32)
 SELECT a.user_id, CAST(a.k - 1 AS INT) AS step, round(sum(b.value * pow(0.9, b.k - a.k)) + 1e-9, 4) AS future FROM f a JOIN f b ON a.user_id = b.user_id AND b.k >= a.k GROUP BY a.user_id, a.k""")
 def discounted_return(t):
-    """Trajectories are the first 32 events of each user: a fixed horizon of the rollout."""
+    """Trajectories are all events of a user. The SQL stops after 32 of them, so it agrees with users of 32 events at most."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t.events.withColumn("k", F.row_number().over(w)).where("k <= 32")
-    rows = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]).alias("x"))
-    return rows.select("user_id", F.posexplode(discounted("x", 0.9)).alias("step", "future")).select("user_id", "step", F.round(F.col("future") + 1e-9, 4).alias("future"))
+    e = t.events.select("user_id", (F.row_number().over(w) - 1).alias("step"), "value")
+    # a user's events stay in one partition, last ones first; what follows a row is carried from batch to batch
+    rows = e.sortWithinPartitions("user_id", F.col("step").desc())
+
+    def add(batches):
+        last, future = None, 0.0
+        for batch in batches:
+            out = []
+            for user, x in zip(batch.column("user_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                future = (x or 0.0) + (0.9 * future if user == last else 0.0)
+                last = user
+                out.append(future)
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("step"), pa.array(out, pa.float64())], ["user_id", "step", "future"])
+
+    return rows.mapInArrow(add, "user_id long, step int, future double").withColumn("future", F.round(F.col("future") + 1e-9, 4))
 
 
 @query("WITH w AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) SELECT user_id, CAST(min(turn) FILTER (event_type = 'purchase') AS INT) AS won_at, CASE WHEN min(turn) FILTER (event_type = 'purchase') IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS reward, CAST(coalesce(min(turn) FILTER (event_type = 'purchase'), max(turn)) AS INT) AS turns FROM w WHERE turn <= 10 GROUP BY user_id")

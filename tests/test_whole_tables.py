@@ -1,6 +1,8 @@
 import random
+import re
 from datetime import datetime, timedelta
 
+from millrace.functions.text import PUNCTUATION
 from millrace.plans import registry, rollout_queries, text_queries  # noqa: F401
 
 
@@ -16,3 +18,13 @@ def test_discounted_return_has_no_horizon(spark, tmp_path):
         own = [v for _, _, v in sorted((ts, i, v) for i, ts, w, v in events if w == u)]
         want |= {(u, k): sum(v * 0.9**j for j, v in enumerate(own[k:])) for k in range(len(own))}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+
+
+def test_qa_exact_match_reads_every_language(spark, tmp_path, data):
+    rows = [(i, x.text, x.lang) for i, x in enumerate(spark.read.parquet(f"{data}/documents.parquet").select("text", "lang").collect())]
+    rows += [(1001, "L'Été à la plage: the A-team, an Ärger!", "fr"), (1002, "Una  niña\ta ¿qué?", "es"), (1003, "The Straße", None), (1004, "the", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    bare = lambda x: " ".join(re.sub(r"\b(a|an|the)\b", " ", x.lower().translate(str.maketrans("", "", PUNCTUATION))).split())
+    got = {x.doc_id: (x.normal, x.self_match) for x in registry.QUERIES["qa_exact_match"](spark, str(tmp_path)).collect()}
+    assert {x[2] for x in rows} >= {"en", "de", "fr", "es", None}
+    assert got == {i: (bare(x), True) for i, x, _ in rows}

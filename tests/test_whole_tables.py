@@ -1,7 +1,11 @@
+import os
 import random
 import re
 from datetime import datetime, timedelta
 
+import duckdb
+import pyarrow.parquet as pq
+
 from millrace.functions.text import PUNCTUATION
 from millrace.plans import registry, rollout_queries, text_queries  # noqa: F401
 
@@ -28,3 +32,19 @@ def test_qa_exact_match_reads_every_language(spark, tmp_path, data):
     got = {x.doc_id: (x.normal, x.self_match) for x in registry.QUERIES["qa_exact_match"](spark, str(tmp_path)).collect()}
     assert {x[2] for x in rows} >= {"en", "de", "fr", "es", None}
     assert got == {i: (bare(x), True) for i, x, _ in rows}
+
+
+def test_stream_tumbling_loses_no_row_of_many_files(spark, tmp_path, data):
+    whole = pq.read_table(f"{data}/events.parquet").sort_by([("ts", "descending")])
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k in range(5):
+        part = folder / f"part-{k}.parquet"
+        pq.write_table(whole.slice(k * 200, 200), part)
+        os.utime(part, (1_700_000_000 + 60 * k,) * 2)
+    got = registry.QUERIES["stream_tumbling"](spark, str(tmp_path)).select("start", "event_type", "n", "total").collect()
+    with duckdb.connect() as con:
+        con.execute("SET TimeZone = 'UTC'")
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+        want = con.execute(f"SELECT start, event_type, n, total FROM ({registry.ORACLES['stream_tumbling']})").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)

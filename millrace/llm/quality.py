@@ -134,13 +134,22 @@ def train_scorer(rows: list[np.ndarray], target: np.ndarray, passes: int = 3, ra
     return -(z - np.sign(z) * sparse) * rate / (1 + np.sqrt(n)) * (np.abs(z) > sparse), bias
 
 
-def _first_of_kind(rows: list[np.ndarray]) -> np.ndarray:
-    """Whether each row is the first with its least hashes: copies and most near copies aren't."""
-    seen, out = set(), np.zeros(len(rows), bool)
+def _first_of_kind(rows: list[np.ndarray], alike: float = 0.8) -> np.ndarray:
+    """Whether each row is the first of its kind: no earlier such row shares so much of its cells, of those that all of a band's least hashes suggest or that are equal."""
+    bands, each = 8, 8
+    salts = (np.arange(1, bands * each + 1, dtype=U64) << U64(40))[:, None]
+    seen, out = {}, np.ones(len(rows), bool)
     for i, x in enumerate(rows):
-        key = tuple(int(mix(x.astype(U64) + U64(k << 40)).min()) if len(x) else 0 for k in (1, 2))
-        out[i] = not seen.intersection((key[0], ~key[1]))
-        seen.update((key[0], ~key[1]))
+        least = mix(x.astype(U64)[None, :] + salts).min(axis=1).reshape(bands, each) if len(x) else np.zeros((bands, each), U64)
+        keys = [(k, hash(band.tobytes())) for k, band in enumerate(least)]
+        for j in sorted({j for key in keys for j in seen.get(key, ())}):
+            both = len(np.intersect1d(x, rows[j], assume_unique=True))
+            if both >= alike * (len(x) + len(rows[j]) - both):
+                out[i] = False
+                break
+        else:
+            for key in keys:
+                seen.setdefault(key, []).append(i)
     return out
 
 

@@ -1,6 +1,8 @@
 import random
 
-from millrace.llm.quality import NO, YES, classify, fit_labellers, keep_good
+import numpy as np
+
+from millrace.llm.quality import NO, YES, _first_of_kind, classify, fit_labellers, keep_good, learn_words
 
 
 def corpus(n=700):
@@ -75,3 +77,16 @@ def test_expectation_maximisation_finds_accuracies():
     post = fit_labellers(counts, 4, 0.3)
     right = sum((post[p] > 0.5) == y for p, y in truth) / len(truth)
     assert right > 0.85
+
+
+def test_different_rows_with_common_words_all_count():
+    r = np.random.Generator(np.random.PCG64(3))
+    common = np.arange(40)
+    rows = [np.unique(np.concatenate((common, r.integers(100, 1 << 20, 40)))) for _ in range(400)]
+    near = [np.unique(np.append(x[:-1], 77)) for x in rows[:50]]
+    assert _first_of_kind(rows).all()
+    assert _first_of_kind([*rows, *rows]).sum() == 400
+    assert _first_of_kind([*rows[:50], *near])[50:].sum() <= 2
+    toxic = np.array([YES if i % 8 == 0 else NO for i in range(len(rows))])
+    rows = [np.append(x, (1 << 20) - 1 - i // 8 % 10) if t == YES else x for i, (x, t) in enumerate(zip(rows, toxic, strict=True))]
+    assert set(range((1 << 20) - 10, 1 << 20)) <= set(learn_words(rows, toxic).tolist())

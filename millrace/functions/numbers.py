@@ -25,10 +25,11 @@ def pass_at_k(n: Column | str, c: Column | str, k: Column | int | str) -> Column
     return F.when(n < k, None).when(c == 0, 0.0).when(n - c < k, 1.0).otherwise(1.0 - wrong)
 
 
-def learning_rate(step: Column | str, steps: Column | str, schedule: str = "linear") -> Column:
-    """Share of the base rate; an unknown schedule is an error."""
+def learning_rate(step: Column | str, steps: Column | str, schedule: str = "linear", floor: float | None = None) -> Column:
+    """Share of the base rate, not below ``floor`` if there is one; an unknown schedule is an error."""
     if schedule == "linear":
-        return 1.0 - _col(step) / _col(steps)
+        share = 1.0 - _col(step) / _col(steps)
+        return share if floor is None else F.greatest(share, F.lit(float(floor)))
     if schedule == "constant":
         return F.lit(1.0)
     raise ValueError(f"unknown schedule: {schedule}")
@@ -41,6 +42,11 @@ def recommended_lr(model: Column | str, hidden: Column | str, lora: bool = True)
     return (5e-5 * (10.0 if lora else 1.0)) * F.pow(2000.0 / _col(hidden), exponent)
 
 
+def progress(step: Column | str, steps: Column | str) -> Column:
+    """Share of the steps that are done after this one."""
+    return (_col(step) + 1) / _col(steps)
+
+
 def preference_value(x: Column | str) -> Column:
     """A is -1, B is 1, anything else 0."""
     x = strip(x)

@@ -11,8 +11,11 @@ from pyspark.sql.types import StringType
 
 from .text import _col, strip
 
+# The shape of a test, and the sentences that tools and prompts say.
 TEST = "struct<input:string,output:string,testtype:string,metadata:map<string,string>>"
 NO_SUMMARIES = "(No valid summaries available - students did not complete their responses)"
+BAD_JSON, NO_QUERIES, BAD_QUERIES = "Invalid JSON in arguments", "query_list is required", "query_list must be a list of non-empty strings"
+SEARCH_FAILED = "Error invoking search tool: "
 
 
 def as_map(x: Column | str) -> Column:
@@ -77,8 +80,9 @@ def search_queries(arguments: Column | str) -> Column:
     listed = F.try_variant_get(v, "$.query_list", "array<variant>")
     each = F.transform(listed, lambda q: F.when(F.schema_of_variant(q) == "STRING", F.try_variant_get(q, "$", "string")))
     bad = (F.size(listed) == 0) | F.exists(each, lambda q: F.coalesce(strip(q), F.lit("")) == "")
-    say = lambda s: F.lit(f"Error invoking search tool: {s}")
-    error = F.when(v.isNull(), say("Invalid JSON in arguments")).when(listed.isNull(), say("query_list is required")).when(bad, say("query_list must be a list of non-empty strings"))
+    say = lambda s: F.lit(SEARCH_FAILED + s)
+    why = F.concat(say(BAD_JSON), F.lit(" - "), json_error(arguments))
+    error = F.when(v.isNull(), F.coalesce(why, say(BAD_JSON))).when(listed.isNull(), say(NO_QUERIES)).when(bad, say(BAD_QUERIES))
     return F.struct(F.when(error.isNull(), each).alias("queries"), error.alias("error"))
 
 
@@ -122,5 +126,18 @@ def _blocks(calls: pd.Series) -> pd.Series:
     return calls.map(text)
 
 
+def _decoding_errors(texts: pd.Series) -> pd.Series:
+    def error(text) -> str | None:
+        try:
+            json.loads(text or "")
+        except json.JSONDecodeError as e:
+            return str(e)
+        return None
+
+    return texts.map(error)
+
+
+#: Why a text isn't JSON, in the decoder's words; null if it is.
+json_error = F.pandas_udf(_decoding_errors, StringType())
 #: tool_text of a message's tool_calls: array<struct<function:struct<name, arguments>>>. JSON spacing is Python's, hence a UDF.
 tool_call_blocks = F.pandas_udf(_blocks, StringType())

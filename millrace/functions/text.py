@@ -140,11 +140,20 @@ def fill(template: str, **values: Column | str) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
+# The coding prompt's wording.
+CODE_SYSTEM = "You are an expert Python programmer. You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests."
+CODE_WITH_STARTER = "You will use the following starter code to write the solution to the problem and enclose your code within delimiters."
+CODE_WITHOUT_STARTER = "Read the inputs from stdin solve the problem and write the answer to stdout (do not directly test on the sample inputs). Enclose your code within delimiters as follows. Ensure that when the python program runs, it reads the inputs, runs the algorithm and writes output to STDOUT."
+CODE_EMPTY = "# YOUR CODE HERE"
+CODE_ANSWER = "### Answer: (use the provided format with backticks)\n\n"
+
+
 def code_prompt(question: Column | str, starter: Column | str) -> Column:
-    """A coding question, with its starter code if there is some."""
-    q, s = _col(question), F.coalesce(_col(starter), F.lit(""))
-    fence = "```python\n"
-    return F.when(strip(s) != "", F.concat(q, F.lit(f"\n\nBegin with this code:\n{fence}"), s, F.lit("\n```\n"))).otherwise(F.concat(q, F.lit(f"\n\nAnswer with a program in this form:\n{fence}# code\n```\n")))
+    """A coding question as a prompt, with its starter code if that isn't blank."""
+    code = F.coalesce(_col(starter), F.lit(""))
+    given = strip(code) != ""
+    say = F.when(given, CODE_WITH_STARTER).otherwise(CODE_WITHOUT_STARTER)
+    return F.concat(F.lit(CODE_SYSTEM + "\n\n"), _col(question), F.lit("### Format: "), say, F.lit("\n```python\n"), F.when(given, code).otherwise(CODE_EMPTY), F.lit("\n```\n\n" + CODE_ANSWER))
 
 
 def first_filled(*columns: Column | str) -> Column:
@@ -161,3 +170,43 @@ def tool_call(x: Column | str) -> Column:
     ok = F.coalesce((kind("$.name") == "STRING") & kind("$.args").startswith("OBJECT"), F.lit(False))
     args = F.to_json(F.try_variant_get(v, "$.args", "variant"))
     return F.struct(ok.alias("ok"), F.when(ok, name).alias("name"), F.when(ok, args).alias("args"), F.when(ok & (kind("$.id") == "STRING"), call_id).alias("id"))
+
+
+def inspect_messages(messages: Column | str) -> Column:
+    """array<struct<role, content>> with stripped content, as an evaluation library takes them; a message without content is an error."""
+    missing = F.raise_error(F.lit("message content must be text")).cast("string")
+    return F.transform(_col(messages), lambda m: F.struct(m["role"].alias("role"), strip(F.coalesce(m["content"], missing)).alias("content")))
+
+
+#: Separators at which a common prefix may end, in the order they are looked for; and what long words of paths become. Fixed values.
+BOUNDARIES = ("/", "_", "-")
+ABBREVIATIONS = {"learning_rate": "lr", "batch_size": "bs", "num_epochs": "ep", "model": "m", "experiment": "exp", "checkpoint": "ckpt", "validation": "val", "training": "train"}
+
+
+def boundary_prefix(least: Column | str, greatest: Column | str) -> Column:
+    """Longest common prefix of two texts that ends at a boundary; of many texts, give the least and the greatest."""
+    a, b = _col(least), _col(greatest)
+    # the first place where they differ, looked up once for all places
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1)))
+    whole = F.left(a, F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, F.length(a)))
+    ends = whole == ""
+    for sep in BOUNDARIES:
+        ends = ends | whole.endswith(sep)
+    cut = F.lit("")
+    for sep in reversed(BOUNDARIES):
+        last = F.length(whole) - F.locate(sep, F.reverse(whole)) + 1
+        cut = F.when(whole.contains(sep), F.left(whole, last)).otherwise(cut)
+    return F.when(ends, whole).otherwise(cut)
+
+
+def abbreviated_path(x: Column | str, most: int = 20) -> Column:
+    """A path with shorter words; if it is still longer than ``most``, with its folders shortened, then cut at the front."""
+    path = _col(x)
+    for long, short in ABBREVIATIONS.items():
+        path = F.replace(path, F.lit(long), F.lit(short))
+    parts = F.split(path, "/")
+    initials = lambda p, sep: F.array_join(F.transform(F.split(p, sep), lambda w: F.left(w, F.lit(1))), "")
+    short = lambda p: F.when(F.length(p) <= 3, p).when(p.contains("_"), initials(p, "_")).when(p.contains("-"), initials(p, "-")).otherwise(F.left(p, F.lit(3)))
+    folders = F.concat(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), short), F.slice(parts, F.lit(-1), F.lit(1)))
+    fitted = F.when((F.length(path) > most) & (F.size(parts) > 1), F.array_join(folders, "/")).otherwise(path)
+    return F.when(F.length(fitted) > most, F.concat(F.lit("..."), F.right(fitted, F.lit(most - 3)))).otherwise(fitted)

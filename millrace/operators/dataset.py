@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import edge
 from ..functions.text import _col
 
-#: Buckets of an order: two hex digits of the hash. Each is sorted by a task of its own.
-_BUCKET_DIGITS = 2
+#: Buckets of an order: four hex digits of the hash. A task sorts whole buckets; their counts are 65536 at most.
+_BUCKET_DIGITS = 4
 
 
 def shuffle_key(key: Column | str, seed: int) -> Column:
@@ -32,9 +32,9 @@ def with_position(df: DataFrame, key: str, seed: int, name: str = "rn", within:
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     numbered = bucketed.withColumn("_within", F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key)))
-    # at most 256 counts, however large the table
+    # at most 65536 counts, however large the table
     joined = numbered.join(F.broadcast(before), "_bucket")
-    return joined.withColumn(name, (F.col("_before") + F.col("_within")).cast("int")).drop("_order", "_bucket", "_before", "_within")
+    return joined.withColumn(name, F.col("_before") + F.col("_within")).drop("_order", "_bucket", "_before", "_within")
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:
@@ -54,15 +54,15 @@ def train_test_split(df: DataFrame, key: str, seed: int, test: int | None = None
 
 
 def tail_split(df: DataFrame, order: str, most: int = 100) -> DataFrame:
-    """The last fifth, ``most`` at most, is test."""
-    w = Window.orderBy(F.desc(order))
-    k = F.least(F.floor(F.col("_n") / 5), F.lit(most))
-    return _beside(df, count_rows(df, "_n")).withColumn("_back", F.row_number().over(w)).withColumn("split", F.when(F.col("_back") <= k, "test").otherwise("train")).drop("_n", "_back")
+    """The last fifth, ``most`` at most, is test: rows from the ``most``-th last value of ``order`` (unique) on."""
+    k = min(df.count() // 5, most)
+    last = df.select(order).orderBy(F.desc(order)).limit(k).agg(F.min(order)).first()[0] if k else None
+    return df.withColumn("split", F.lit("train") if last is None else F.when(F.col(order) >= F.lit(last), "test").otherwise("train"))
 
 
 def batches(df: DataFrame, size: int, position: str = "rn", keep_last: bool = False, count: int | None = None) -> DataFrame:
     """Add batch_idx, by position; a short last batch goes unless it is kept."""
-    out = df.withColumn("batch_idx", F.floor((F.col(position) - 1) / size).cast("int"))
+    out = df.withColumn("batch_idx", F.floor((F.col(position) - 1) / size))
     if keep_last:
         return out
     return _beside(out, count_rows(df, "_n")).where(F.col("batch_idx") < F.floor(F.col("_n") / size)).drop("_n")
@@ -96,7 +96,7 @@ def composite_batches(members: list[DataFrame], sizes: list[int], key: str, seed
     """Batch i of every member together, tagged dataset_idx, for as long as all members have batches."""
     parts, counts = [], []
     for i, (df, size) in enumerate(zip(members, sizes, strict=True)):
-        parts.append(with_position(df, key, seed).withColumn("batch_idx", F.floor((F.col("rn") - 1) / size).cast("int")).withColumn("dataset_idx", F.lit(i)))
+        parts.append(with_position(df, key, seed).withColumn("batch_idx", F.floor((F.col("rn") - 1) / size)).withColumn("dataset_idx", F.lit(i)))
         counts.append(count_rows(df, "n").select(F.floor(F.col("n") / size).alias("n")))
     fewest = reduce(DataFrame.union, counts).agg(F.min("n").alias("_n"))
     return _beside(reduce(DataFrame.unionByName, parts), fewest).where(F.col("batch_idx") < F.col("_n")).drop("_n")
@@ -148,3 +148,23 @@ def parameter_grid(spark, **values: list) -> DataFrame:
     for name, options in values.items():
         grid = grid.select("*", F.explode(F.array(*[F.lit(v) for v in options])).alias(name))
     return grid
+
+
+def first_rows(df: DataFrame, order: str, n: int | None) -> DataFrame:
+    """The first n rows by ``order``; all of them without a limit."""
+    return df if n is None else df.orderBy(order).limit(n)
+
+
+def without_names(df: DataFrame, name: str, parts: list[str]) -> DataFrame:
+    """Rows whose name holds none of the parts, in order of the name."""
+    held = F.exists(F.array(*[F.lit(p) for p in parts]).cast("array<string>"), lambda p: F.contains(F.col(name), p))
+    return df.where(~held).orderBy(name)
+
+
+def joined_strictly(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides by key; a key that either side lacks or the right one repeats is an error."""
+    one = right.groupBy(*keys).agg(F.first(F.struct(*[c for c in right.columns if c not in keys])).alias("_r"), F.count("*").alias("_n"))
+    both = left.withColumn("_l", F.lit(1)).join(one, keys, "full")
+    bad = F.col("_l").isNull() | F.col("_n").isNull() | (F.col("_n") > 1)
+    wrong = F.raise_error(F.lit("keys of the two sides differ")).cast("boolean")
+    return both.where(F.when(bad, wrong).otherwise(F.lit(True))).select(*left.columns, "_r.*")

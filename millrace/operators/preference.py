@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import cut_after_first_one
+from ..functions.numbers import preference_value
 from ..functions.text import _col, human_assistant_turns
+from . import render
 
 
 def message(role: str, content: Column | str) -> Column:
@@ -113,3 +116,30 @@ def win_rate(scores: DataFrame, first: str = "r0", second: str = "r1") -> DataFr
     """Mean and standard error of (r0 - r1 + 2) / 4: rewards with the policy second and first."""
     x = (F.col(first) - F.col(second) + 2.0) / 4.0
     return scores.agg(F.avg(x).alias("win_rate"), (F.stddev_pop(x) / F.sqrt(F.count(x).cast("double"))).alias("stderr"))
+
+
+def reward_model_examples(comparisons: DataFrame, key: str, template: str) -> DataFrame:
+    """(key, tokens, weights): a comparison and its label rendered, cut after the first trained token; bytes are tokens."""
+    shown = comparisons.select(key, comparison_conversation(with_label=True).alias("messages"))
+    example = shown.select(key, render.byte_example(render.pieces(shown, template)).alias("e"))
+    cut = lambda c: cut_after_first_one(F.col(f"e.{c}"), "e.weights")
+    return example.select(key, cut("tokens").alias("tokens"), cut("weights").alias("weights"))
+
+
+def preference_prompts(comparisons: DataFrame, key: str, template: str) -> DataFrame:
+    """(key, prompt): what a reward model is asked about two completions."""
+    shown = comparisons.select(key, comparison_conversation().alias("messages"))
+    return shown.select(key, render.generation_prompt(shown, template).alias("prompt"))
+
+
+def both_ways_scores(comparisons: DataFrame, judged: DataFrame, key: str) -> DataFrame:
+    """(key, r0, r1): what the judge says of new against reference and the other way round, from (key, swapped, verdict)."""
+    value = preference_value("verdict")
+    own = judged.groupBy(key).agg(F.max(F.when(~F.col("swapped"), value)).alias("r0"), F.max(F.when(F.col("swapped"), value)).alias("r1"))
+    return comparisons.select(key).join(own, key).where("r0 IS NOT NULL AND r1 IS NOT NULL")
+
+
+def judged_pairs(pairs: DataFrame, judge, preprocess=None, a: str = "completion_a", b: str = "completion_b") -> DataFrame:
+    """Adds score: what ``judge``, a function of two columns, says in [-1, 1] after ``preprocess`` of either completion's text."""
+    seen = preprocess or (lambda c: c)
+    return pairs.withColumn("score", judge(seen(F.col(a)), seen(F.col(b))))

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.text import _col, capitalize, strip
 
 TRAIN_ON = ("last_assistant_message", "all_assistant_messages", "all_messages", "all_tokens", "all_user_and_system_messages", "customized")
-_BAR, _JOIN = chr(0xFF5C), chr(0x2581)
-_DEEP = {n: f"<{_BAR}{n}{_BAR}>" for n in ("User", "Assistant", f"begin{_JOIN}of{_JOIN}sentence", f"end{_JOIN}of{_JOIN}sentence")}
-_DEEP_BEGIN, _DEEP_END = list(_DEEP.values())[2:]
+# Control tokens of one model family.
+_DEEP = {"User": "<｜User｜>", "Assistant": "<｜Assistant｜>", "begin": "<｜begin▁of▁sentence｜>", "end": "<｜end▁of▁sentence｜>"}
+_DEEP_BEGIN, _DEEP_END = _DEEP["begin"], _DEEP["end"]
 # Fixed value: the system message of this template.
 _GPT_SYSTEM = "<|start|>system<|message|>You are ChatGPT, a large language model trained by OpenAI.\nKnowledge cutoff: 2024-06\nCurrent date: {date}\n\nReasoning: {effort}\n\n# Valid channels: analysis, commentary, final. Channel must be included for every message.<|end|>"
 
@@ -204,3 +204,24 @@ def weight_runs(weights: Column | str) -> Column:
     sign = F.transform(weights, lambda w: F.signum(w.cast("double")).cast("int"))
     starts = F.filter(F.transform(sign, lambda s, i: F.when((i == 0) | (s != F.try_element_at(sign, i)), i)), lambda i: i.isNotNull())
     return F.transform(starts, lambda a, k: F.struct(a.alias("start"), (F.coalesce(F.try_element_at(starts, k + 2), F.size(weights)) - a).alias("length"), F.element_at(sign, a + 1).alias("w")))
+
+
+#: Terminal colours of weight signs: trained, not trained, negative. Fixed values.
+COLOURS = {1: "\x1b[32m", 0: "\x1b[33m", -1: "\x1b[31m"}
+RESET = "\x1b[0m"
+
+
+def coloured(parts: Column) -> Column:
+    """The text of ``pieces`` with each stretch of equal weight in its colour."""
+    colour = lambda w: F.when(w > 0, COLOURS[1]).when(w < 0, COLOURS[-1]).otherwise(COLOURS[0])
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["text"] != ""), lambda p: F.concat(colour(p["w"]), p["text"], F.lit(RESET))), "")
+
+
+def previewed(df: DataFrame, name: str, key: str, train_on: str = "last_assistant_message", rows: int = 100) -> DataFrame:
+    """(key, preview): the first rows by key, rendered in colour."""
+    return df.orderBy(key).limit(rows).select(key, coloured(pieces(df, name, train_on)).alias("preview"))
+
+
+def counters(examples: DataFrame) -> DataFrame:
+    """num_sequences, num_tokens and num_loss_tokens of a batch of ``byte_stats`` (n_tokens, n_loss_tokens)."""
+    return examples.agg(F.count("*").alias("num_sequences"), F.sum("n_tokens").alias("num_tokens"), F.sum("n_loss_tokens").alias("num_loss_tokens"))

@@ -65,9 +65,9 @@ def with_tags(groups: DataFrame, tags: str = "tags", group: str = "group_id") ->
 def trajectory_metrics(transitions: DataFrame, trajectories: DataFrame, groups: DataFrame) -> DataFrame:
     """Metrics of every tag: token and turn counts, their ratios of sums, mean total reward, group fractions."""
     tags = with_tags(groups)
-    turns = transitions.groupBy(*_TRAJECTORY).agg(F.count("*").alias("turns"), F.sum(F.size("ac_tokens")).alias("ac"), F.sum(F.size("ob_tokens")).alias("ob"))
-    rewards = total_rewards(transitions, trajectories)
-    each = rewards.join(turns, _TRAJECTORY, "left").na.fill(0, ["turns", "ac", "ob"]).join(tags, "group_id")
+    steps = transitions.groupBy(*_TRAJECTORY).agg(F.sum("reward").alias("_steps"), F.count("*").alias("turns"), F.sum(F.size("ac_tokens")).alias("ac"), F.sum(F.size("ob_tokens")).alias("ob"))
+    each = trajectories.join(steps, _TRAJECTORY, "left").na.fill(0, ["turns", "ac", "ob"])
+    each = each.withColumn("total_reward", F.coalesce("_steps", F.lit(0.0)) + F.col("final_reward")).join(tags, "group_id")
     out = each.groupBy("tag").agg(
         F.try_divide(F.sum("ac"), F.sum("turns")).alias("ac_tokens_per_turn"),
         F.try_divide(F.sum("ob"), F.sum("turns")).alias("ob_tokens_per_turn"),
@@ -130,3 +130,14 @@ def first_win(turns: DataFrame, won: Column, most: int, by: list[str]) -> DataFr
 def group_mean_reward(rewards: DataFrame, reward: str = "total_reward", group: str = "group_id") -> DataFrame:
     """The mean of group means; it differs from the mean over trajectories where group sizes differ."""
     return rewards.groupBy(group).agg(F.avg(reward).alias("m")).agg(F.avg("m").alias("reward_total"))
+
+
+def sampling_summary(groups: DataFrame, step: str = "sampled_at_step", seconds: str = "seconds") -> DataFrame:
+    """Largest, smallest and mean sampler step and sampling time of the groups of a batch."""
+    return groups.agg(*[f(c).alias(f"{name}_{k}") for c, name in ((step, "step"), (seconds, "sampling_time")) for k, f in (("max", F.max), ("min", F.min), ("mean", F.avg))])
+
+
+def mean_length(rows: DataFrame, text: str) -> DataFrame:
+    """Mean length of the texts that are there, in characters."""
+    return rows.agg(F.avg(F.length(text)).alias("mean_length"))
+

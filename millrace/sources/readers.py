@@ -120,7 +120,10 @@ class _HeaderReader(DataSourceReader):
         return [_Shard(p) for p in self.paths]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
+        with store.open_input_file(path) as f:
             (size,) = struct.unpack("<Q", f.read(8))
             header = json.loads(f.read(size))
         for name, spec in header.items():
@@ -131,7 +134,8 @@ class _HeaderReader(DataSourceReader):
 class TensorHeaders(DataSource):
     """Format tensor_headers: (name, shape, shard) from the headers of tensor files, a partition each.
 
-    Option path: files on a file system that all executors mount, separated by commas. Only headers are read.
+    Option path: files, separated by commas: of a store that their URI names (as file, hdfs or s3), or on a
+    file system that all executors mount. Only headers are read.
     """
 
     @classmethod
@@ -143,3 +147,15 @@ class TensorHeaders(DataSource):
 
     def reader(self, schema):
         return _HeaderReader([p for p in self.options["path"].split(",") if p])
+
+
+def tail_log(spark: SparkSession, path: str, schema: str, files: int | None = None) -> DataFrame:
+    """A stream of the lines that are appended to a folder of JSON logs; ``files`` at most are taken in a trigger, which bounds what is waiting."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).json(path)
+
+
+def table_stream(spark: SparkSession, path: str, schema, files: int | None = 1) -> DataFrame:
+    """A stream of the Parquet files of a folder, in any order of arrival."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import grade, text
+from ..functions import text
 from ..operators import dataset, preference, render
 from .registry import query
 
@@ -89,10 +89,10 @@ def role_remap(t):
     return t.conversations.select("conv_id", "turn", dataset.remap_role("role").alias("with_user"), dataset.remap_role("role", False).alias("human_only"))
 
 
-@query("""WITH w AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(lower(text), '[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g'), '\\s+') AS w FROM documents WHERE lang = 'en')
+@query("""WITH w AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(lower(text), '[!"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]', '', 'g'), '\\s+') AS w FROM documents)
 SELECT doc_id, array_to_string(list_filter(w, lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ') AS normal, length(text) > 0 AS self_match FROM w""")
 def qa_exact_match(t):
-    """Documents of every language. The SQL reads those with lang 'en' only."""
+    """Documents of every language."""
     docs = t.documents
     gold = F.array(F.lit("something else"), F.concat(F.lit("  The "), "text", F.lit("!")))
     return docs.select("doc_id", text.normalize_qa("text").alias("normal"), text.matches_any("text", gold).alias("self_match"))
@@ -119,16 +119,6 @@ def text_extractors(t):
     )
 
 
-@query()
-def boxed_grade(t):
-    """Answers in several spellings, graded against the plain one."""
-    n = F.col("p_size").cast("string")
-    said = F.array(F.concat(F.lit("\\boxed{"), n, F.lit("}")), F.concat(F.lit("\\boxed{\\text{"), n, F.lit("}}")), F.concat(F.lit("x \\boxed{0} \\boxed{"), n, F.lit(".0}")), F.concat(F.lit("\\boxed{"), n, F.lit("+1}")), F.lit("} \\boxed{1}"))
-    rows = t.part.select("p_partkey", n.alias("truth"), F.posexplode(said).alias("spelling", "said"))
-    rows = rows.withColumn("given", grade.extract_boxed("said"))
-    return rows.select("p_partkey", "spelling", "given", "truth", grade.grade_answer("given", "truth").alias("correct"))
-
-
 @query("""WITH t AS (SELECT conv_id, 'Human: ' || string_agg(text, ' Assistant: ' ORDER BY turn) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, CAST((SELECT count(*) FROM conversations c WHERE c.conv_id = t.conv_id) AS BIGINT) AS n_prompt FROM t""")
 def hhh_filter(t):
     """Transcripts that differ in their last turn only: the prompt holds all the turns before it."""

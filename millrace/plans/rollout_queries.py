@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import accounting, evaluation, logprob, runlog, trajectory
+from ..sources.readers import table_stream
+from ..sources.scratch import scratch_folder
 from ..streaming import streams
 from .registry import query
 
@@ -73,20 +75,6 @@ def reward_summary(t):
     return out.select("group_id", "traj_idx", "step", F.round("reward", 6).alias("reward"), F.round("running", 6).alias("running"))
 
 
-@query()
-def trajectory_to_training_rows(t):
-    """Observations grow by what was said, but start anew every fourth step."""
-    e = t.events.select(F.col("user_id").alias("group_id"), F.col("event_type").alias("traj_idx"), "event_id", "ts")
-    w = Window.partitionBy("group_id", "traj_idx").orderBy("ts", "event_id")
-    e = e.withColumn("step_idx", F.row_number().over(w) - 1).withColumn("block", F.floor(F.col("step_idx") / 4))
-    past = F.collect_list("event_id").over(Window.partitionBy("group_id", "traj_idx", "block").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1))
-    ob = F.concat(F.array(F.col("block").cast("bigint")), F.flatten(F.transform(past, lambda x: F.array(x, x + 1))))
-    steps = e.select("group_id", "traj_idx", "step_idx", ob.alias("ob_tokens"), F.array("event_id", F.col("event_id") + 1).alias("ac_tokens"), F.array(F.lit(-0.5), F.lit(-0.25)).alias("ac_logprobs"))
-    adv = steps.select("group_id", "traj_idx").distinct().withColumn("advantage", F.lit(1.0))
-    out = trajectory.training_rows(steps, adv)
-    return out.select("group_id", "traj_idx", "segment", F.size("input_tokens").alias("n"), F.aggregate("mask", F.lit(0.0), lambda s, x: s + x).alias("n_trained"))
-
-
 @query("WITH k AS (SELECT 'k' AS key, CAST(json_extract(props, '$.k') AS DOUBLE) AS v FROM events WHERE json_extract(props, '$.k') IS NOT NULL UNION ALL SELECT event_type, value FROM events) SELECT key, round(avg(v), 6) AS value FROM k GROUP BY key")
 def ragged_metric_means(t):
     e = t.events
@@ -95,10 +83,10 @@ def ragged_metric_means(t):
     return trajectory.metric_means(props, values).select("key", F.round("value", 6).alias("value"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT * FROM e WHERE k <= 32)
-SELECT a.user_id, CAST(a.k - 1 AS INT) AS step, round(sum(b.value * pow(0.9, b.k - a.k)) + 1e-9, 4) AS future FROM f a JOIN f b ON a.user_id = b.user_id AND b.k >= a.k GROUP BY a.user_id, a.k""")
+@query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)
+SELECT a.user_id, CAST(a.k - 1 AS INT) AS step, round(sum(b.value * pow(0.9, b.k - a.k)) + 1e-9, 4) AS future FROM e a JOIN e b ON a.user_id = b.user_id AND b.k >= a.k GROUP BY a.user_id, a.k""")
 def discounted_return(t):
-    """Trajectories are all events of a user. The SQL stops after 32 of them, so it agrees with users of 32 events at most."""
+    """Trajectories are all events of a user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = t.events.select("user_id", (F.row_number().over(w) - 1).alias("step"), "value")
     # a user's events stay in one partition, last ones first; what follows a row is carried from batch to batch
@@ -164,7 +152,7 @@ def _sequences(t):
 
 @query(f"WITH k AS ({_TOK}), m AS (SELECT sum((lp - base) * mask) / sum(mask) AS kl FROM k) SELECT l_orderkey, round(sum(0.1 * mask * (kl - (lp - base) * mask)), 6) AS added FROM k, m GROUP BY l_orderkey")
 def kl_penalty_advantages(t):
-    out = logprob.penalised_advantages(_sequences(t), 0.1)
+    out = logprob.penalised_advantages(_sequences(t), 0.1, mean=logprob.mean_difference(_tokens(t), "lp", "base", "mask"))
     return out.select("l_orderkey", F.round(F.aggregate("advantages", F.lit(0.0), lambda s, x: s + x), 6).alias("added"))
 
 
@@ -240,20 +228,21 @@ def full_parameters(t):
 
 def _streamed(t, build, name, files: int | None = 1):
     """Run a streaming query over the table's files to their end, so many files a trigger or all in one, and return what it wrote."""
-    import uuid
-
-    folder = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/millrace-scratch"
-    where = f"{folder.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    reader = t.spark.readStream.schema(t.events.schema)
-    source = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{t.folder}/events.parquet*")
+    where = scratch_folder(t.spark, name)
+    source = table_stream(t.spark, f"{t.folder}/events.parquet*", t.events.schema, files)
     build(source).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{where}/out")
 
 
 @query("SELECT CAST(0 AS BIGINT) AS lane, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch_idx, event_id AS item FROM events QUALIFY (row_number() OVER (ORDER BY event_id) - 1) // 64 < (SELECT count(*) FROM events) // 64")
 def stream_minibatch(t):
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return _streamed(t, lambda s: streams.minibatches(s, "event_id", 64), "minibatch")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(setting, None)
+    t.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _streamed(t, lambda s: streams.minibatches(s, "event_id", 64), "minibatch")
+    finally:
+        t.spark.conf.unset(setting) if before is None else t.spark.conf.set(setting, before)
 
 
 @query("WITH e AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, value, max(ts) OVER () AS last FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE start + INTERVAL 1 hour <= last - INTERVAL 10 minute GROUP BY start, event_type")

@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 from ..operators import dataset, preference, retrieval
 from .registry import query
 
+
+def _numbered(df, *columns):
+    """The columns, with places and batches as the integers that the SQL gives."""
+    return df.select(*columns, *[F.col(c).cast("int").alias(c) for c in ("rn", "batch_idx", "part") if c in df.columns])
+
+
 _RN = "CAST(row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':{s}'), doc_id) AS INT)"
 
 
 @query(f"SELECT doc_id, rn, CAST((rn - 1) // 32 AS INT) AS batch_idx FROM (SELECT doc_id, {_RN.format(s=3)} AS rn FROM documents) WHERE (rn - 1) // 32 < (SELECT count(*) FROM documents) // 32")
 def epoch_shuffle_batches(t):
-    return dataset.batches(dataset.with_position(t.documents.select("doc_id"), "doc_id", 3), 32).select("doc_id", "rn", "batch_idx")
+    return dataset.batches(dataset.with_position(t.documents.select("doc_id"), "doc_id", 3), 32).transform(_numbered, "doc_id")
 
 
 @query(f"SELECT doc_id, rn, CAST((rn - 1) // 32 AS INT) AS batch_idx FROM (SELECT doc_id, {_RN.format(s=4)} AS rn FROM documents)")
 def batch_keep_last(t):
-    return dataset.batches(dataset.with_position(t.documents.select("doc_id"), "doc_id", 4), 32, keep_last=True).select("doc_id", "rn", "batch_idx")
+    return dataset.batches(dataset.with_position(t.documents.select("doc_id"), "doc_id", 4), 32, keep_last=True).transform(_numbered, "doc_id")
 
 
 @query(f"SELECT doc_id, CASE WHEN rn <= least(1024, n // 10) AND n > least(1024, n // 10) THEN 'test' ELSE 'train' END AS split FROM (SELECT doc_id, {_RN.format(s=0)} AS rn, count(*) OVER () AS n FROM documents)")
@@ -51,7 +57,7 @@ _MEMBER = "SELECT doc_id, CAST({i} AS INT) AS dataset_idx, (row_number() OVER (O
 @query(f"WITH m AS ({_MEMBER.format(i=0, b=8, l='en')} UNION ALL {_MEMBER.format(i=1, b=4, l='fr')} UNION ALL {_MEMBER.format(i=2, b=4, l='de')}) SELECT doc_id, dataset_idx, CAST(batch_idx AS INT) AS batch_idx FROM m WHERE batch_idx < (SELECT min(n) FROM m)")
 def composite_batches(t):
     docs = t.documents.select("doc_id", "lang")
-    return dataset.composite_batches([docs.where(F.col("lang") == x) for x in ("en", "fr", "de")], [8, 4, 4], "doc_id", 1).select("doc_id", "dataset_idx", "batch_idx")
+    return dataset.composite_batches([docs.where(F.col("lang") == x) for x in ("en", "fr", "de")], [8, 4, 4], "doc_id", 1).drop("rn").transform(_numbered, "doc_id", "dataset_idx")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text)")

@@ -6,8 +6,12 @@ prefixes. Texts meet on those prefix grams; length, positional and suffix
 filters drop most pairs from counts alone, and each pair left is verified once
 against the whole sets.
 
+A pair is formed under the first gram of the order that both prefixes hold, and
+nowhere else: what stands before it differs, and what follows is compared by
+sketches of the two suffixes.
+
 Groups of mutually similar texts do not become all their pairs. Under a shared
-gram every text is first paired with one pivot, then with a few others at random;
+gram every text is first paired with one pivot, then with some others at random;
 once the links found are components, only pairs across components are formed, and
 of these, in the end, all: no link that could join two components is missed.
 """
@@ -23,18 +27,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
+from ._skew import count_by, hot_keys, salted_join
 from ._store import Scratch
 from ._words import ASCII_SPACE, LOWER_AZ, U64, sets_of, shingles, slices, words_of
 
 #: Gram frequencies are counted in 2**FREQ_BITS cells; the order needs no more than that.
 FREQ_BITS = 20
-#: The suffix filter compares this many cells, 64 to a long: whether each holds an odd number of a set's grams.
+#: The suffix filter compares this many cells, 64 to a long: whether each holds an odd number of a suffix's grams.
 SKETCH_LONGS = 4
 SKETCH = [f"sketch{k}" for k in range(SKETCH_LONGS)]
+#: A row carries so many of its text's first shared grams, to tell under which one a pair is formed.
+FIRSTS = 32
 #: Rounds of looking for links between components; the last one tries all pairs.
 ROUNDS = 3
 #: Texts that meet at once in the other rounds.
-BUCKET = 8
+BUCKET = 32
+#: A list of texts to verify is broadcast up to so many, 16 bytes each; else it is joined.
+BROADCAST_TEXTS = 1 << 20
+#: In the last round the texts under a gram are dealt over tasks by so many.
+BLOCK = 2048
 _PART = 1 << 14
 
 
@@ -74,8 +85,15 @@ def _ceil_div(a, b):
     return -(-a // b)
 
 
+def _bits(grams: np.ndarray) -> list[np.ndarray]:
+    """For each long of a sketch, the bit that each gram has in it, if any; a sketch has the exclusive or of its grams."""
+    cell = grams & U64(64 * SKETCH_LONGS - 1)
+    bit = U64(1) << (cell & U64(63))
+    return [np.where(cell >> U64(6) == k, bit, U64(0)) for k in range(SKETCH_LONGS)]
+
+
 def features(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """Per row of (rid, doc_id, text): set size, parity sketch, and the prefix in the global order."""
+    """Per row of (rid, doc_id, text): set size, sketch of the whole set (which cells hold an odd number of grams), and the prefix in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(order.astype(np.uint32))
 
     def extract(batches):
@@ -89,13 +107,12 @@ def features(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFr
                     cell = (s >> U64(64 - FREQ_BITS)).astype(np.int64)
                     place = (rank[cell].astype(U64) << U64(40)) | (s & U64((1 << 40) - 1))
                     prefixes.append(s[np.argsort(place, kind="stable")[:keep]].view(np.int64))
-                    odd = np.bincount((s & U64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-                    sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                    sketches.append([np.bitwise_xor.reduce(b) for b in _bits(s)])
                     sizes.append(size)
                 at = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("rid"), part.column("doc_id"), pa.array(sizes, pa.int32()),
-                     *[pa.array(np.array(sketches)[:, k]) for k in range(SKETCH_LONGS)],
+                     *[pa.array(np.array(sketches, U64)[:, k].view(np.int64)) for k in range(SKETCH_LONGS)],
                      pa.ListArray.from_arrays(at, pa.array(np.concatenate(prefixes)))],
                     ["rid", "doc_id", "n", *SKETCH, "prefix"],
                 )
@@ -108,73 +125,141 @@ def needed_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9)).cast("int")
 
 
-def _possible(na: Column, ia: Column, nb: Column, ib: Column, percent: int) -> Column:
-    """Length filter, and the positional filter: what may still match from this place on."""
-    most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most >= needed_overlap(na, nb, percent))
+def _shared_rows(texts: DataFrame) -> DataFrame:
+    """(gram, rid, n, i, sketches, firsts): a row for each prefix gram that three texts share, with the sketch of what follows it.
+
+    ``texts`` has rid, n, the sketch of the whole set, prefix, and shared: the places of these grams. A
+    suffix's sketch is the whole one without the grams up to its place.
+    """
+
+    def emit(batches):
+        for batch in batches:
+            prefix, shared = batch.column("prefix"), batch.column("shared")
+            grams, begin = prefix.values.to_numpy().view(U64), prefix.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(shared.offsets.to_numpy()))
+            place = shared.flatten().to_numpy()
+            order = np.lexsort((place, row))
+            row, place = row[order], place[order]
+            at = begin[row] + place
+            sketches = []
+            for c, bits in zip(SKETCH, _bits(grams), strict=True):
+                upto = np.concatenate(([U64(0)], np.bitwise_xor.accumulate(bits))) if len(bits) else np.zeros(1, U64)
+                sketches.append(pa.array((upto[at + 1] ^ upto[begin[row]] ^ batch.column(c).to_numpy().view(U64)[row]).view(np.int64)))
+            first = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            size = np.minimum(np.diff(first), FIRSTS)
+            upto = np.concatenate(([0], np.cumsum(size)))
+            which = np.arange(upto[-1]) - np.repeat(upto[:-1], size) + np.repeat(first[:-1], size)
+            firsts = pa.ListArray.from_arrays(upto.astype(np.int32), pa.array(grams[at[which]].view(np.int64)))
+            back = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), batch.column("rid").take(back), batch.column("n").take(back), pa.array(place.astype(np.int32)), *sketches, firsts.take(back)], ["gram", "rid", "n", "i", *SKETCH, "firsts"])
+
+    return texts.select("rid", "n", *SKETCH, "prefix", "shared").mapInArrow(emit, f"gram long, rid long, n int, i int, {', '.join(f'{c} long' for c in SKETCH)}, firsts array<long>")
+
+
+def _in_reach(x: str, y: str, percent: int) -> Column:
+    """Length and positional filter for two rows of a gram.
+
+    Of two texts, the one with fewer grams (the lesser rid if equal) meets within a shorter prefix still.
+    """
+    col = lambda side, c: F.col(side + c)
+    na, ia, nb, ib = col(x, "n"), col(x, "i"), col(y, "n"), col(y, "i")
+    short = lambda n, i: i < n - F.ceil(n * F.lit(2 * percent) / F.lit(100.0 + percent) - F.lit(1e-9)) + 1
+    within = F.when((na < nb) | ((na == nb) & (col(x, "rid") < col(y, "rid"))), short(na, ia)).otherwise(short(nb, ib))
+    length = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return length & (F.least(na - ia, nb - ib) >= needed_overlap(na, nb, percent)) & within
+
 
+def _may_match(x: str, y: str, percent: int) -> Column:
+    """Length, positional and suffix filter for two rows of a gram, and whether it is the first that both texts have in their lists.
 
-def _near(a: str, b: str, na: Column, nb: Column, percent: int) -> Column:
-    """Suffix filter: a cell that is odd in one set only holds a gram that the other lacks, and few may be lacking."""
-    apart = sum((F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH), F.lit(0))
-    return apart <= na + nb - 2 * needed_overlap(na, nb, percent)
+    At the first shared gram nothing before it is common, so the places themselves count
+    as differences; a cell that is odd in one suffix only holds a gram that the other lacks. (A common gram
+    that no third text has isn't in the lists; but then the pair has been formed under that gram.) Where neither
+    list has a gram of the other, the pair is formed under every gram.
+    """
+    col = lambda side, c: F.col(side + c)
+    na, ia, nb, ib = col(x, "n"), col(x, "i"), col(y, "n"), col(y, "i")
+    may_lack = na + nb - 2 * needed_overlap(na, nb, percent)
+    suffixes = sum((F.bit_count(col(x, c).bitwiseXOR(col(y, c))) for c in SKETCH), F.lit(0))
+    common = F.array_intersect(col(x, "firsts"), col(y, "firsts"))
+    first = F.when(F.size(common) > 0, F.element_at(common, 1) == F.col("gram"))
+    return _in_reach(x, y, percent) & (suffixes <= may_lack) & F.coalesce(first, F.lit(True)) & (suffixes + F.when(first, ia + ib).otherwise(F.lit(0)) <= may_lack)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rids that are similar enough: the suffix filter, then the sets themselves."""
-    side = lambda x: sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}_{c}") for c in SKETCH])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_near("a_", "b_", F.col("na"), F.col("nb"), percent)).select("a", "b")
-    text = docs.select("rid", "text").groupBy("rid").agg(F.first("text").alias("text"))
-    both = near.join(text.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b")
+def _sets(docs: DataFrame, wanted: DataFrame, n: int, hot: DataFrame | None) -> DataFrame:
+    """(rid, grams): the whole sets of the wanted texts, each once. A list of texts that is short is broadcast, so that others aren't moved."""
 
-    def compare(batches):
+    def extract(batches):
         for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                part = batch.slice(lo, 256)
-                lo += 256
-                grams = []
-                for name in ("ta", "tb"):
-                    column = pa.RecordBatch.from_arrays([part.column(name)], ["text"])
-                    grams.append([s for _, sets in _gram_sets(column, n) for s in sets])
-                ok = []
-                for x, y in zip(*grams, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(compare, "u long, v long")
+            for part, sets in _gram_sets(batch, n):
+                at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("rid"), pa.ListArray.from_arrays(at, pa.array(np.concatenate(sets).view(np.int64)))], ["rid", "grams"])
+
+    if wanted.count() <= BROADCAST_TEXTS:
+        own = docs.join(F.broadcast(wanted), "rid")
+    else:
+        own = salted_join(docs.select("rid", "doc_id", "text"), wanted, "rid", F.xxhash64("doc_id"), hot)
+    return own.select("rid", "text").mapInArrow(extract, "rid long, grams array<long>").groupBy("rid").agg(F.first("grams").alias("grams"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, hot: DataFrame | None, n: int, percent: int, store: Scratch, name: str) -> DataFrame:
+    """Pairs (a, b) of rids whose whole sets are similar enough, as (u, v); the sets of a text that is in many pairs go to several tasks.
+
+    ``hot`` tells which texts many documents have.
+    """
+    wanted = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), f"wanted{name}")
+    sets = store.keep(_sets(docs, wanted, n, hot), f"sets{name}")
+    rows = pairs.count()
+    side = lambda x: sets.select(F.col("rid").alias(x), F.col("grams").alias(f"g{x}"))
+    both = salted_join(pairs, side("a"), "a", F.xxhash64("b"), hot_keys(count_by(pairs, "a"), "a", rows))
+    both = salted_join(both, side("b"), "b", F.xxhash64("a"), hot_keys(count_by(pairs, "b"), "b", rows))
+    common = F.size(F.array_intersect("ga", "gb"))
+    links = store.keep(both.where(100 * common >= percent * (F.size("ga") + F.size("gb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v")), f"links{name}")
+    store.drop(f"wanted{name}", f"sets{name}")
+    return links
+
+
+def _pairs_of_two(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) under grams that two texts share: length and positional filter, then the sketches of the whole sets."""
+    of = F.struct("rid", "n", "i")
+    two = rows.where("c = 2").groupBy("gram").agg(F.min(of).alias("x"), F.max(of).alias("y"))
+    pairs = two.select(*[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "xy" for c in ("rid", "n", "i")]).where(_in_reach("x_", "y_", percent))
+    pairs = pairs.select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).distinct()
+    side = lambda k: texts.select(F.col("rid").alias(k), F.col("n").alias(f"n{k}"), *[F.col(c).alias(f"{k}_{c}") for c in SKETCH])
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCH), F.lit(0))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(apart <= F.col("na") + F.col("nb") - 2 * needed_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
 def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of grams that texts of several components share, with root and c, the gram's texts. ``found`` has a row for every text."""
-    rows = rows.join(found, "rid")
+    """Rows of grams that texts of several components share, with root and c, the gram's texts."""
+    rows = rows.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
     return rows.join(grams.select("gram", "c"), "gram")
 
 
-def _candidates(x: DataFrame, y: DataFrame, on: list[str], percent: int) -> DataFrame:
-    """Distinct pairs of different components that meet under a gram and may be similar enough."""
-    x = x.select(*on, *[F.col(c).alias(f"x_{c}") for c in ("rid", "n", "i", "root", *SKETCH)])
-    a, b = [F.col(f"x_{c}") for c in ("n", "i")], [F.col(c) for c in ("n", "i")]
-    # of two texts, the one with fewer grams (the lesser rid if equal) meets within a shorter prefix still
-    short_x = (a[0] < b[0]) | ((a[0] == b[0]) & (F.col("x_rid") < F.col("rid")))
-    within = lambda c: c[1] < c[0] - F.ceil(c[0] * F.lit(2 * percent) / F.lit(100.0 + percent) - F.lit(1e-9)) + 1
-    met = x.join(y, on).where("x_root <> root").where(_possible(*a, *b, percent)).where(_near("x_", "", a[0], b[0], percent)).where(F.when(short_x, within(a)).otherwise(within(b)))
-    return met.select(F.least("x_rid", "rid").alias("a"), F.greatest("x_rid", "rid").alias("b")).distinct()
+def _candidates(x: DataFrame, y: DataFrame, on: list[str], percent: int, once: Column) -> DataFrame:
+    """Distinct pairs of different components that meet under a gram, in the direction that ``once`` says, and may be similar enough."""
+    x = x.select(*on, *[F.col(c).alias(f"x_{c}") for c in ("rid", "n", "i", "root", "firsts", *SKETCH)])
+    y = y.select(*on, *[F.col(c).alias(f"y_{c}") for c in ("rid", "n", "i", "root", "firsts", *SKETCH, *[c for c in y.columns if c == "main"])])
+    met = x.join(y, on).where("x_root <> y_root").where(once).where(_may_match("x_", "y_", percent))
+    return met.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
 
 
 def _some_across(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs within buckets of about BUCKET texts. The bucket hangs on the text, not the gram, so that grams shared by the same texts give the same pairs."""
+    """Pairs within buckets of about BUCKET texts, dealt by the text, anew each round."""
     buckets = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("c") / F.lit(BUCKET), F.lit(1.0))))).cast("long")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid", F.lit(k)), buckets))
-    return _candidates(rows, rows, ["gram", "bucket"], percent)
+    return _candidates(rows, rows, ["gram", "bucket"], percent, F.col("x_rid") < F.col("y_rid"))
 
 
 def _all_across(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """All pairs, from all but the largest component under each gram."""
-    main = rows.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", "count").alias("main"))
-    return _candidates(rows.join(main, "gram").where("root <> main"), rows, ["gram"], percent)
+    """All pairs, from all but the largest component under each gram; a gram's texts are dealt over tasks by BLOCK."""
+    main = rows.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    rows = rows.join(main, "gram").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    x = rows.where("root <> main").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return _candidates(x, y, ["gram", "block"], percent, (F.col("y_root") == F.col("y_main")) | (F.col("x_rid") < F.col("y_rid")))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -184,12 +269,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     ignored. Words are runs of bytes other than ASCII white space, A-Z lower-cased;
     a text of fewer than n words is one gram. Returns a row per input row:
     doc_id, n_shingles, component_id (the smallest doc_id reachable by links),
-    text_key (equal for equal texts).
+    text_key (equal for equal texts), group_key (equal for rows of one component, never null).
 
     Null and empty texts have no grams, link with nothing and are their own
-    component. Repeated rows and equal texts share a component. Null ids take part
-    but cannot name a component; a component of null ids only has a null id. An
-    empty table gives an empty result. Texts are told apart by a 64-bit hash of
+    component; of these, rows of one id and text have one group_key. Repeated rows and equal texts share a component. Null ids take part
+    but cannot name a component; a component of null ids only has a null id. Very long
+    texts are compared whole. An empty table gives an empty result. Texts are told apart by a 64-bit hash of
     their bytes and grams by a 64-bit hash of their words.
     """
     spark = docs.sparkSession
@@ -199,40 +284,51 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     store.release()
 
     # one row for each distinct text
-    sets = feats.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix"))
-    rows = store.keep(sets, "sets").select("rid", "n", F.posexplode("prefix").alias("i", "gram"))
-    sets = spark.read.parquet(store.path("sets"))
-    shared = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("rid").alias("pivot"), F.min_by("n", "rid").alias("pn"), F.min_by("i", "rid").alias("pi")).where("c > 1").drop("c")
-    rows = store.keep(rows.join(shared, "gram"), "rows")
+    texts = feats.where("n > 0").groupBy("rid").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH], F.first("prefix").alias("prefix"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    texts = store.keep(texts, "texts")
+    feats = store.keep(feats.select("doc_id", "rid", "n"), "rows_of_docs")
+    store.drop("feats")
+    each = texts.select("rid", "n", F.posexplode("prefix").alias("i", "gram"))
+    shared = each.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    slim = store.keep(each.join(shared, "gram"), "slim")
     store.release()
-
-    # every text with the pivot of each of its shared grams
-    star = rows.where("rid <> pivot").where(_possible(F.col("n"), F.col("i"), F.col("pn"), F.col("pi"), percent))
-    checked = store.keep(star.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct(), "star")
-    links = store.keep(_verify(checked, sets, docs, n, percent), "links0")
+    places = slim.where("c > 2").groupBy("rid").agg(F.collect_list("i").alias("shared"))
+    rows = store.keep(_shared_rows(texts.join(places, "rid")), "rows")
+
+    # texts that many documents have
+    hot = hot_keys(texts.select("rid", F.col("copies").alias("n")), "rid", texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    check = lambda pairs, k: _verify(pairs, docs, hot, n, percent, store, str(k))
+
+    # under a gram of two texts these two; under others every text with the gram's pivot
+    of_pivot = F.struct("n", "i", "firsts", *SKETCH)
+    pivots = rows.groupBy("gram").agg(F.min("rid").alias("p_rid"), F.min_by(of_pivot, "rid").alias("p")).select("gram", "p_rid", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("n", "i", "firsts", *SKETCH)])
+    met = salted_join(rows.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("rid", "n", "i", "firsts", *SKETCH)]), pivots, "gram", F.xxhash64("x_rid"), hot_keys(count_by(rows, "gram"), "gram", rows.count()))
+    star = met.where("x_rid <> p_rid").where(_may_match("x_", "p_", percent)).select(F.least("x_rid", "p_rid").alias("a"), F.greatest("x_rid", "p_rid").alias("b"))
+    checked = store.keep(star.union(_pairs_of_two(slim, texts, percent)).distinct(), "star")
+    store.drop("slim")
+    links = check(checked, 0)
     found = store.keep(components(links, store, "cc0_"), "found0")
-    rows = rows.select("gram", "rid", "n", "i")
 
-    # then pairs across components: those that fall in one small bucket under a gram, anew each round while that finds links, and in the end all
+    # then pairs across components: those that fall in one bucket under a gram, anew each round while that finds links, and in the end all
     for k in range(1, ROUNDS + 1):
-        of_each = sets.select("rid", *(SKETCH if k == 1 else [])).join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        rows = store.keep(_mixed(rows, of_each), f"mixed{k}")
+        rows = store.keep(_mixed(rows, found), f"mixed{k}")
         last = k == ROUNDS or not links.head(1)
         pairs = (_all_across if last else _some_across)(rows, k, percent).join(checked, ["a", "b"], "left_anti")
         pairs = store.keep(pairs, f"pairs{k}")
-        links = store.keep(_verify(pairs, sets, docs, n, percent), f"links{k}")
+        links = check(pairs, k)
         if links.head(1):
             found = store.keep(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links), store, f"cc{k}_"), f"found{k}")
         rows, checked = rows.drop("root", "c"), checked.union(pairs)
         store.release()
         if last:
             break
-    # the result below reads feats and the last found only
-    store.drop("sets", "rows", "star", "links0", *[f"{x}{j}" for j in range(1, k + 1) for x in ("mixed", "pairs", "links")])
 
     # names of components: the least doc_id among all copies of all members
-    named = feats.where("n > 0").groupBy("rid").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(roots, "root").select("rid", "component_id")
-    out = feats.select("doc_id", "rid", "n").join(named, "rid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("rid").alias("text_key"))
+    named = texts.select("rid", "least").join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    roots = store.keep(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "roots")
+    named = salted_join(named, roots.select("root", "component_id"), "root", F.xxhash64("rid"), hot_keys(roots, "root", texts.count()))
+    named = store.keep(named.select("rid", "root", "component_id"), "named")
+    # the result below reads the documents' rows and named only
+    store.drop("texts", "rows", "star", "links0", "roots", *[f"{x}{j}" for j in range(k + 1) for x in ("mixed", "pairs", "links", "found")])
+    out = salted_join(feats.select("doc_id", "rid", "n"), named, "rid", F.xxhash64("doc_id"), hot, "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("rid").alias("text_key"), F.coalesce("root", F.xxhash64(F.lit("alone"), "doc_id", "rid")).alias("group_key"))

@@ -50,7 +50,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("text_key")
+    return ngram_jaccard_join(_table(spark, sf_dir, "documents"), n=4, percent=85).drop("text_key", "group_key")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

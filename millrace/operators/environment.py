@@ -86,12 +86,12 @@ def search_episodes(turns: DataFrame, by: list[str], most_calls: int = 4, most_t
     lost = F.col("tools").isNotNull() & (~search | (F.col("_calls") > most_calls) | ~F.coalesce("tool_ok", F.lit(False)) | (F.coalesce("next_tokens", F.lit(0)) > most_tokens))
     own = graded_answers(own.withColumns({"_lost": lost, "_ends": lost | F.col("tools").isNull()}), "content", "gold", F.col("parsed"), coefficient)
     last = F.min_by(F.struct("_lost", "turn", "_calls", "format", "correct", "reward"), F.when(F.col("_ends"), F.col("turn")))
-    ends = own.groupBy(*by).agg(last.alias("e"), F.max("turn").alias("_turns"), F.max("_calls").alias("_all"))
-    of = lambda c: F.when(~F.col("e._lost"), F.col(f"e.{c}"))
-    first = F.col("e").isNotNull()
+    ends = own.groupBy(*by).agg(last.alias("_end"), F.max("turn").alias("_turns"), F.max("_calls").alias("_all"))
+    of = lambda c: F.when(~F.col("_end._lost"), F.col(f"_end.{c}"))
+    first = F.col("_end").isNotNull()
     return ends.select(
-        *by, (F.when(first, F.col("e.turn")).otherwise(F.col("_turns")) + 1).cast("int").alias("turns"), F.when(first, F.col("e._calls")).otherwise(F.col("_all")).cast("int").alias("calls"),
-        F.coalesce("e._lost", F.lit(False)).alias("failed"), of("format").alias("format"), of("correct").alias("correct"), F.when(F.col("e._lost"), 0.0).otherwise(F.col("e.reward")).alias("reward"),
+        *by, (F.when(first, F.col("_end.turn")).otherwise(F.col("_turns")) + 1).cast("int").alias("turns"), F.when(first, F.col("_end._calls")).otherwise(F.col("_all")).cast("int").alias("calls"),
+        F.coalesce("_end._lost", F.lit(False)).alias("failed"), of("format").alias("format"), of("correct").alias("correct"), F.when(F.col("_end._lost"), 0.0).otherwise(F.col("_end.reward")).alias("reward"),
     )
 
 

@@ -70,3 +70,19 @@ def decoder(path: str | None = None, specials: tuple[str, ...] = ()):
         return tokens.map(lambda t: None if t is None else decode([int(x) for x in t]))
 
     return F.pandas_udf(decode_all, StringType())
+
+
+def truncated(most: int, path: str | None = None, specials: tuple[str, ...] = ()):
+    """A UDF that gives a text's first ``most`` tokens as text; bytes of a character that the cut splits go."""
+
+    def cut_all(texts: pd.Series) -> pd.Series:
+        encode, decode = _codec(path, specials)
+
+        def cut(text: str | None) -> str | None:
+            if text is None or len(ids := encode(text)) <= most:
+                return text
+            return decode(list(ids[:most])).rstrip("\ufffd")
+
+        return texts.map(cut)
+
+    return F.pandas_udf(cut_all, StringType())

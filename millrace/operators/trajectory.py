@@ -34,12 +34,18 @@ def without_constant_groups(rewards: DataFrame, reward: str = "total_reward", gr
     return rewards.join(keep, group, "left_semi")
 
 
+def all_same(x: Column | str) -> Column:
+    """An aggregate: whether all values are equal, nulls among them; true of none."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.count(x) == 0, True).otherwise((F.min(x) == F.max(x)) & (F.count(x) == F.count("*")))
+
+
 def group_fractions(rewards: DataFrame, reward: str = "total_reward", group: str = "group_id", good: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """Shares of groups that are mixed, all good and all bad."""
     by = by or []
-    g = rewards.groupBy(*by, group).agg(F.min(reward).alias("lo"), F.max(reward).alias("hi"))
+    g = rewards.groupBy(*by, group).agg(F.min(reward).alias("lo"), all_same(reward).alias("same"))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    same = F.col("lo") == F.col("hi")
+    same = F.col("same")
     return g.groupBy(*by).agg(share(~same).alias("frac_mixed"), share(same & (F.col("lo") >= good)).alias("frac_all_good"), share(same & (F.col("lo") < good)).alias("frac_all_bad"))
 
 

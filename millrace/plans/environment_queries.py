@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import environment, evaluation, logprob, preference, render, trajectory
+from ..sources import datasets
 from ..streaming import streams
-from . import protocols
+from . import pipelines, protocols
 from .registry import query
 from .rollout_queries import _TOK, _rollouts, _streamed, _tokens
 
@@ -66,6 +67,17 @@ def word_games(t):
     return environment.word_games(turns, ["user_id"])
 
 
+@query("""WITH c AS (SELECT DISTINCT conv_id FROM conversations), g AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT 'sft' AS stage, count(*) AS n FROM c UNION ALL SELECT 'reward_model', count(*) FILTER (conv_id % 4 > 0) FROM c UNION ALL SELECT 'evaluation', 2 * least(count(*) FILTER (conv_id % 4 = 0), 256) FROM c
+UNION ALL SELECT 'matches', CAST(sum((n // 4) * 12 + (n % 4) * (n % 4 - 1)) AS BIGINT) FROM g""")
+def preference_recipe(t):
+    """How many rows each stage of preference learning reads."""
+    pairs = _pairs(t)
+    players = t.documents.select(F.col("source").alias("group_id"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("idx"))
+    tables = pipelines.preference_recipe(render.conversations(t.conversations), (pairs.where("conv_id % 4 > 0"), pairs.where("conv_id % 4 = 0")), "conv_id", "llama3", players)
+    return datasets.concatenated(*[df.agg(F.lit(name).alias("stage"), F.count("*").alias("n")) for name, df in tables.items()])
+
+
 _TOTALS = "SELECT user_id AS group_id, event_type AS traj_idx, sum(event_id % 2) AS steps, count(*) AS n FROM events GROUP BY ALL"
 
 

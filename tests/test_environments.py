@@ -153,3 +153,29 @@ def test_one_aggregate_for_metrics_keeps_trajectories_without_steps(spark):
     trajectories = spark.createDataFrame([("g", 0, 0.5), ("g", 1, 0.25)], "group_id string, traj_idx int, final_reward double")
     r = trajectory.trajectory_metrics(steps, trajectories, spark.createDataFrame([("g", ["t"])], "group_id string, tags array<string>")).where("tag = 'all'").first()
     assert (r.total_episodes, r.total_turns, r.reward_total, r.turns_per_episode) == (2, 1, 0.875, 0.5)
+
+
+def test_all_same(spark):
+    same = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x int").agg(trajectory.all_same("x")).first()[0]
+    assert [same(1, 1), same(1, 2), same(), same(None, None), same(1, None)] == [True, False, True, True, False]
+
+
+def test_truncation_by_tokens(spark):
+    from millrace.functions import tokens
+
+    cut = lambda s, n, **k: one(spark, tokens.truncated(n, **k)(F.lit(s)))
+    assert [cut("aé日", n) for n in (1, 2, 3, 6)] == ["a", "a", "aé", "aé日"] and one(spark, tokens.truncated(3)(F.lit(None).cast("string"))) is None
+    assert cut("x<|a|>yz", 2, specials=("<|a|>",)) == "x<|a|>"
+
+
+def test_library_tokenizers(spark):
+    public = pytest.importorskip("public_tokenizers")
+    pytest.importorskip("tokenizers")
+    pytest.importorskip("sentencepiece")
+    from millrace.functions import tokens
+
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        path = public.path(name)
+        ids = one(spark, tokens.encoder(path)(F.lit("some words here")))
+        assert len(ids) < 8 and one(spark, tokens.decoder(path)(F.array(*[F.lit(i) for i in ids]))) == "some words here"
+        assert one(spark, tokens.truncated(1, path)(F.lit("some words here"))).strip() == "some"

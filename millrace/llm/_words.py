@@ -99,6 +99,18 @@ def words_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE, fold: np.ndarray
     return Words(data, offsets, start, end, row, _hashes(data, start, end, fold), first)
 
 
+def letters_upto(w: Words, which: np.ndarray, sizes: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size: the words of ``which`` that are longer, and hashes of their first so many bytes."""
+    z, size = np.zeros(len(which), U64), w.end[which] - w.start[which]
+    for k in range(sizes.stop - 1):
+        longer = size > k + 1
+        which, z, size = which[longer], z[longer], size[longer]
+        with np.errstate(over="ignore"):
+            z += _TABLE[(k << 8) | w.data[w.start[which] + k].astype(np.int64)]
+            if k + 1 in sizes:
+                yield k + 1, which, mix(z + U64(k + 1) * RUN[0])
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about SLICE_BYTES of text, a row at least."""
     total, lo = np.cumsum(_lengths(batch.column(column))), 0

@@ -1,8 +1,8 @@
 """Quality classifier from weak labels (operator 4).
 
-Overlapping heuristic labellers vote on each document, or abstain. Expectation-
+Overlapping heuristic labellers vote yes or no on each document, or abstain. Expectation-
 maximisation over the counts of all vote patterns estimates how each labeller votes on
-either class, without trusting any. The posterior labels it gives train a linear
+either class, the labels that are given among them. The posterior labels train a linear
 scorer on hashed features, which then scores every document.
 
 Two questions are asked the same way: is the text of low quality, is it toxic.
@@ -19,102 +19,180 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import Scratch
-from ._words import ASCII_SPACE, LOWER_AZ, NOT_ALNUM, U64, mix, slices, words_of
+from ._words import ASCII_SPACE, LOWER_AZ, NOT_ALNUM, RUN, U64, Words, letters_upto, mix, slices, words_of
 
 #: Features are hashed into so many cells.
-BITS = 20
-#: English insults: one of the toxicity labellers. Fixed values.
-INSULTS = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "worthless", "pathetic", "disgusting")
+BITS = 21
+#: English insults, in three lexicons that overlap: each is a toxicity labeller. Fixed values.
+INSULTS = (
+    ("idiot", "moron", "stupid", "clown", "loser", "worthless"),
+    ("scum", "trash", "loser", "clown", "worthless", "pathetic"),
+    ("pathetic", "disgusting", "scum", "trash", "stupid", "idiot", "moron"),
+)
+#: Words by which a text is taken for English; the lexicons abstain on others. Fixed values.
+ENGLISH = ("the", "and", "of", "that", "with", "this", "from", "are")
+#: A lexicon or learned labeller says no to texts of so many words only.
+NO_FROM_WORDS = 20
 #: Votes: yes (bad), no, abstain. A pattern is a number with a base-3 digit per labeller.
 ABSTAIN, NO, YES = 0, 1, 2
-QUALITY_LABELLERS = ("symbols", "repeats", "capitals", "separators", "monotony", "prose", "given")
-TOXIC_LABELLERS = ("insults", "learned", "given")
-#: Labels that are given are right this often.
-GIVEN_ACCURACY = 0.999
-_RATIOS = 5
-
-
-def _word_cells(words: list[str]) -> np.ndarray:
-    return (words_of(pa.array(words), NOT_ALNUM).hash >> U64(64 - BITS)).astype(np.int64)
-
-
-def _shares(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Words in each row, and shares of words that end in two symbols, repeat the one before, are in capitals, are a lone symbol, or end in '!'."""
+QUALITY_LABELLERS = ("odd words", "symbol bytes", "repeats", "few words", "one word", "given")
+TOXIC_LABELLERS = ("insults a", "insults b", "insults c", "learned words", "learned stems", "given")
+#: Where the labellers whose votes the sample teaches, and the given labels, stand among the toxicity labellers.
+LEARNED_WORDS, LEARNED_STEMS, GIVEN_T = 3, 4, 5
+GIVEN_Q = 5
+#: Before anything is counted, given labels are taken to be right this often.
+GIVEN_ACCURACY = 0.98
+#: What is believed before counting weighs as much as this share of the documents.
+BELIEF = 0.02
+#: Stems are the first letters (bytes) of longer words, so many of them.
+STEM_SIZES = range(4, 8)
+#: Cells from here on are of stems that several words of a text share, the others of words and style.
+STEM_CELLS = 1 << (BITS - 1)
+#: So many different words share a stem at least; each size and number is a family of cells.
+STEM_WORDS = (2, 3)
+FAMILY_CELLS = STEM_CELLS // (len(STEM_SIZES) * len(STEM_WORDS))
+FAMILIES = (0, *range(STEM_CELLS, (1 << BITS) + 1, FAMILY_CELLS))
+#: Of a document that the scorers are fitted on, at most so many cells are used, those of least hash.
+FIT_CELLS = 1024
+#: Shares of a text above which a quality labeller says yes, and below which no; for few words it is one minus the share of different words.
+BAD = (0.25, 0.15, 0.2, 0.85, 0.2)
+GOOD = (0.1, 0.08, 0.1, 0.7, 0.1)
+#: The last two of these say something of texts of so many words only.
+MANY_WORDS = 50
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(65 - BITS)).astype(np.int64)
+
+
+def _word_cells(words: tuple[str, ...]) -> np.ndarray:
+    return _cells(words_of(pa.array(words), NOT_ALNUM).hash)
+
+
+def _stems(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of stems that two or three different longer words of a row begin with; a cell for either."""
+    if not len(w.hash):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((w.hash, w.row))
+    hashes, row = w.hash[order], w.row[order]
+    one = order[np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])))]
+    rows, cells = [], []
+    for size, long, h in letters_upto(w, one, STEM_SIZES):
+        with np.errstate(over="ignore"):
+            key, first, count = np.unique(mix(h + w.row[long].astype(U64) * RUN[40]), return_index=True, return_counts=True)
+            for i, least in enumerate(STEM_WORDS):
+                own = first[count >= least]
+                rows.append(w.row[long][own])
+                family = (size - STEM_SIZES.start) * len(STEM_WORDS) + i
+                cells.append(STEM_CELLS + family * FAMILY_CELLS + (mix(h[own] * RUN[41]) % U64(FAMILY_CELLS)).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(cells)
+
+
+def _shares(part: pa.RecordBatch, count: np.ndarray, distinct: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Five shares of each row: of odd words (in capitals, with two symbols at the end, or a lone symbol), of symbols among its
+    bytes, of words that repeat the one before, of words that are not the first of their kind, of its most frequent word."""
     w = words_of(part.column("text"), ASCII_SPACE, LOWER_AZ)
-    n = np.diff(w.first)
-    size = w.end - w.start
-    last, before = w.data[w.end - 1] if len(w.end) else w.data[:0], w.data[np.maximum(w.end - 2, 0)] if len(w.end) else w.data[:0]
-    begin = w.data[w.start] if len(w.start) else w.data[:0]
-    second = w.data[np.minimum(w.start + 1, max(0, len(w.data) - 1))] if len(w.start) else w.data[:0]
+    n, size = np.diff(w.first), w.end - w.start
+    rows = len(n)
+    if not len(w.hash):
+        return np.full((5, rows), np.nan)
+    last, before, begin, second = w.data[w.end - 1], w.data[np.maximum(w.end - 2, 0)], w.data[w.start], w.data[np.minimum(w.start + 1, len(w.data) - 1)]
     capital = lambda b: (b >= 65) & (b <= 90)
+    odd = ((size > 2) & NOT_ALNUM[last] & NOT_ALNUM[before]) | ((size > 1) & capital(begin) & capital(second)) | ((size == 1) & NOT_ALNUM[last])
     same = np.zeros(len(w.hash), bool)
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1])
-    marks = [(size > 2) & NOT_ALNUM[last] & NOT_ALNUM[before], same, (size > 1) & capital(begin) & capital(second), (size == 1) & NOT_ALNUM[last], last == 33]
+    symbols = np.concatenate(([0], np.cumsum(NOT_ALNUM[w.data] & ~ASCII_SPACE[w.data])))
+    of_row = lambda m: np.bincount(w.row, weights=m, minlength=rows)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return n, np.stack([np.bincount(w.row, weights=m, minlength=len(n)) / n if len(w.row) else np.full(len(n), np.nan) for m in marks])
+        few = np.where(count >= MANY_WORDS, 1 - distinct / count, np.nan)
+        one = np.where(count >= MANY_WORDS, top / count, np.nan)
+        return np.stack([of_row(odd) / n, (symbols[w.offsets[1:]] - symbols[w.offsets[:-1]]) / of_row(size), of_row(same) / n, few, one])
 
 
 def extract(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of each row: the cells of its distinct words and of its style; its votes on quality and on toxicity but for learned and given."""
-    n, share = _shares(part)
+    """Of each row: the cells of its distinct words, style and shared stems; its votes on quality and on toxicity but for learned and given."""
+    rows = part.num_rows
     w = words_of(pc.utf8_lower(part.column("text")), NOT_ALNUM)
-    cells = (w.hash >> U64(64 - BITS)).astype(np.int64)
-    count = np.diff(w.first)
-    insults = _word_cells(list(INSULTS))
-    votes_q = np.full((len(n), len(QUALITY_LABELLERS)), ABSTAIN)
-    votes_t = np.full((len(n), len(TOXIC_LABELLERS)), ABSTAIN)
-    # each detector only says yes; one labeller says no, to a text far from all that they detect
-    bad, good = np.array([0.2, 0.2, 0.5, 0.1])[:, None], np.array([0.05, 0.1, 0.2, 0.02])[:, None]
+    cells, count = _cells(w.hash), np.diff(w.first)
+    stem_row, stem_cell = _stems(w)
+    order = np.lexsort((stem_cell, stem_row))
+    stem_cell, stem_at = stem_cell[order], np.searchsorted(stem_row[order], np.arange(rows + 1))
+    lexicons, english = [_word_cells(x) for x in INSULTS], _word_cells(ENGLISH)
+    votes_q = np.full((rows, len(QUALITY_LABELLERS)), ABSTAIN)
+    votes_t = np.full((rows, len(TOXIC_LABELLERS)), ABSTAIN)
+    kinds = [np.unique(cells[w.first[r] : w.first[r + 1]], return_counts=True) for r in range(rows)]
+    share = _shares(part, count, np.array([len(own) for own, _ in kinds]), np.array([n.max() if len(n) else 0 for _, n in kinds]))
     with np.errstate(invalid="ignore"):
-        votes_q[:, :4][(share[:4] > bad).T] = YES
-        votes_q[(share[:4] < good).all(axis=0), 5] = NO
+        votes_q[:, :5][(share > np.array(BAD)[:, None]).T] = YES
+        votes_q[:, :5][(share < np.array(GOOD)[:, None]).T] = NO
         style = np.minimum(np.nan_to_num(share * 10), 9).astype(np.int64)
     out = []
-    for r in range(len(n)):
-        own = np.unique(cells[w.first[r] : w.first[r + 1]])
-        if count[r] >= 50:
-            few = len(own) < 0.15 * count[r]
-            votes_q[r, 4] = YES if few else ABSTAIN
-            votes_q[r, 5] = ABSTAIN if few else votes_q[r, 5]
-        if len(own) and np.isin(insults, own).any():
-            votes_t[r, 0] = YES
-        kinds = mix(np.array([j * 16 + style[j, r] + 1 for j in range(_RATIOS)], U64)) >> U64(64 - BITS)
-        out.append(np.unique(np.concatenate((own, kinds.astype(np.int64)))))
+    for r, (own, _) in enumerate(kinds):
+        for k, lexicon in enumerate(lexicons):
+            if np.isin(lexicon, own, assume_unique=True).any():
+                votes_t[r, k] = YES
+            elif count[r] >= NO_FROM_WORDS and np.isin(english, own, assume_unique=True).sum() >= 2:
+                votes_t[r, k] = NO
+        look = _cells(mix(np.array([j * 16 + style[j, r] + 1 for j in range(len(share))], U64)))
+        out.append(np.concatenate((np.unique(np.concatenate((own, look))), np.unique(stem_cell[stem_at[r] : stem_at[r + 1]]))))
     return out, votes_q, votes_t
 
 
+def learned_votes(rows: list[np.ndarray], words: np.ndarray, learned: np.ndarray) -> np.ndarray:
+    """Votes of the learned labellers: yes to two learned words, or a learned stem of as many words.
+
+    No if there is none and the text isn't short; to single words, which few texts of a language
+    with few labels share, only if it is English.
+    """
+    out = np.full((len(rows), 2), ABSTAIN)
+    cut, english = np.searchsorted(learned, STEM_CELLS), _word_cells(ENGLISH)
+    parts = ((learned[:cut], 2), (learned[cut:], 1))
+    for i, x in enumerate(rows):
+        for k, (known, least) in enumerate(parts):
+            if len(known):
+                n = int(np.isin(known, x, assume_unique=True).sum())
+                none = not n and words[i] >= NO_FROM_WORDS and (k or np.isin(english, x, assume_unique=True).sum() >= 2)
+                out[i, k] = YES if n >= least else NO if none else ABSTAIN
+    return out
+
+
 def pattern_of(votes: np.ndarray) -> np.ndarray:
     return votes @ (3 ** np.arange(votes.shape[1]))
 
 
-def fit_labellers(counts: dict[int, int], labellers: int, prior: float, trusted: float | None = None, rounds: int = 100) -> np.ndarray:
-    """The posterior probability of yes for every pattern, by expectation-maximisation over pattern counts.
+def believed(labellers: int, given: int | None) -> np.ndarray:
+    """Chances that a vote is no and yes, by class and labeller, before anything is counted: yes to few of the good and to many of the bad."""
+    chance = np.empty((2, labellers, 2))
+    chance[0], chance[1] = (0.97, 0.03), (0.5, 0.5)
+    if given is not None:
+        chance[0, given], chance[1, given] = (GIVEN_ACCURACY, 1 - GIVEN_ACCURACY), (1 - GIVEN_ACCURACY, GIVEN_ACCURACY)
+    return chance
 
-    Each labeller has its own chances of yes, no and abstaining on either class;
-    to begin with it is right more often than wrong, and says yes to few of the good.
-    With ``trusted``, the last labeller's accuracy is that and isn't estimated.
+
+def fit_labellers(counts: dict[int, int], labellers: int, prior: float, given: int | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """By expectation-maximisation over pattern counts: the posterior probability of yes for every pattern, and each labeller's estimated chances of no and yes.
+
+    Every labeller has its own chances on either class, all of them estimated; what is
+    ``believed`` beforehand weighs BELIEF of its votes. That a labeller abstains tells
+    nothing, so that a class can't be, say, the texts of a language that some don't read.
     """
     patterns = np.array(list(product(range(3), repeat=labellers)))[:, ::-1]
     weight = np.array([counts.get(int(p), 0) for p in pattern_of(patterns)], float)
-    chance = np.full((2, labellers, 3), 0.6)
-    chance[1, :, YES], chance[1, :, NO] = 0.3, 0.1
-    chance[0, :, NO], chance[0, :, YES] = 0.38, 0.02
+    belief = believed(labellers, given)
+    chance, total = belief.copy(), weight.sum()
     for k in range(rounds):
-        if trusted is not None:
-            chance[1, -1, [ABSTAIN, NO, YES]] = 0.5, (1 - trusted) / 2, trusted / 2
-            chance[0, -1, [ABSTAIN, NO, YES]] = 0.5, trusted / 2, (1 - trusted) / 2
-        log = np.stack([np.log(chance[c][np.arange(labellers), patterns]).sum(axis=1) for c in (0, 1)]) + np.log([1 - prior, prior])[:, None]
+        log = sum((patterns == v) @ np.log(chance[:, :, v - 1]).T for v in (NO, YES)).T + np.log([1 - prior, prior])[:, None]
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        if k == rounds - 1 or not weight.sum():
+        if k == rounds - 1 or not total:
             break
         share = np.stack([weight * (1 - post), weight * post])
-        for v in range(3):
-            chance[:, :, v] = share @ (patterns == v) + 0.5
+        votes = np.stack([share @ (patterns == v) for v in (NO, YES)], axis=2)
+        chance = votes + belief * (BELIEF * votes.sum(axis=2, keepdims=True) + 1)
         chance /= chance.sum(axis=2, keepdims=True)
-        prior = float(np.clip(share[1].sum() / weight.sum(), 1e-4, 0.5))
+        prior = float(np.clip(share[1].sum() / total, 1e-4, 0.5))
     out = np.empty(len(patterns))
     out[pattern_of(patterns)] = post
-    return out
+    return out, chance
 
 
 def train_scorer(rows: list[np.ndarray], target: np.ndarray, passes: int = 3, rate: float = 0.1, sparse: float = 0.4) -> tuple[np.ndarray, float]:
@@ -154,19 +232,22 @@ def _first_of_kind(rows: list[np.ndarray], alike: float = 0.8) -> np.ndarray:
 
 
 def learn_words(rows: list[np.ndarray], toxic: np.ndarray, precision: float = 0.95, chance: float = 0.5) -> np.ndarray:
-    """Cells of words that stand in rows given as toxic, and hardly in others, more often than luck explains.
+    """Cells that stand in rows given as toxic, and hardly in others, more often than luck explains; ascending.
 
-    A word must stand in so many different toxic rows that, were words and labels
-    unrelated, less than ``chance`` words in all would.
+    Cells are judged by family. One must stand in so many different toxic rows that, were cells and labels
+    unrelated, less than ``chance`` cells of the family would.
     """
     group = {v: [x for x, t in zip(rows, toxic, strict=True) if t == v] for v in (YES, NO)}
     group = {v: [x for x, first in zip(g, _first_of_kind(g), strict=True) if first] for v, g in group.items()}
     yes, no = _counts(group[YES]), _counts(group[NO])
     share = len(group[YES]) / max(1, len(group[YES]) + len(group[NO]))
-    least = 2
-    while least < 64 and (yes + no >= least).sum() * share**least >= chance:
-        least += 1
-    return np.flatnonzero((yes >= least) & (yes >= precision * (yes + no)))
+    out = []
+    for a, b in zip(FAMILIES[:-1], FAMILIES[1:], strict=True):
+        least, own = 2, yes[a:b] + no[a:b]
+        while least < 64 and (own >= least).sum() * share**least >= chance:
+            least += 1
+        out.append(a + np.flatnonzero((yes[a:b] >= least) & (yes[a:b] >= precision * own)))
+    return np.concatenate(out)
 
 
 def _slices_of(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -192,6 +273,13 @@ def _given(labels: DataFrame, column: str, yes: int) -> Column:
     return F.when(n > 0, YES).when(n < 0, NO).otherwise(ABSTAIN)
 
 
+def _fit_cells(cells: np.ndarray) -> np.ndarray:
+    """At most FIT_CELLS of a row's cells, those of least hash; ascending."""
+    if len(cells) <= FIT_CELLS:
+        return cells
+    return np.sort(cells[np.argsort(mix(cells.astype(U64) + RUN[42]), kind="stable")[:FIT_CELLS]])
+
+
 def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[tuple[np.ndarray, float]] | None) -> DataFrame:
     """(doc_id, text_key, quality, toxic, score_q, score_t): patterns without given labels, and scores as log-odds of bad."""
     shared = docs.sparkSession.sparkContext.broadcast((learned, [(w.astype(np.float32), b) for w, b in scorers or []]))
@@ -201,73 +289,89 @@ def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[tuple[np.ndarray,
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, q, t = extract(part)
-                t[:, 1] = [YES if np.isin(x, learned, assume_unique=True).any() else ABSTAIN for x in rows]
-                scores = [[float(w[x].sum() + b) for x in rows] for w, b in scorers] or [[0.0] * len(rows)] * 2
+                t[:, [LEARNED_WORDS, LEARNED_STEMS]] = learned_votes(rows, [np.searchsorted(x, STEM_CELLS) for x in rows], learned)
+                scores = [[float(w[x].astype(np.float64).sum() + b) for x in rows] for w, b in scorers] or [[0.0] * len(rows)] * 2
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(pattern_of(q)), pa.array(pattern_of(t)), *map(pa.array, scores)], ["doc_id", "text_key", "quality", "toxic", "score_q", "score_t"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(vote, "doc_id long, text_key long, quality long, toxic long, score_q double, score_t double")
 
 
+class Sample:
+    """The rows that the scorers are fitted on, in the order of (doc_id, text_key): the same however the documents are partitioned."""
+
+    def __init__(self, docs: DataFrame, given: DataFrame, size: int, store: Scratch):
+        known = given.where(f"given_q <> {ABSTAIN} OR given_t <> {ABSTAIN}").withColumn("labelled", F.lit(1))
+        keys = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
+        picked = keys.join(known, "doc_id", "left").orderBy(F.col("labelled").desc_nulls_last(), F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(size)
+        picked = store.keep(picked.select("doc_id", "text_key", F.coalesce("given_q", F.lit(ABSTAIN)).alias("given_q"), F.coalesce("given_t", F.lit(ABSTAIN)).alias("given_t")), "picked")
+
+        def features(batches):
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    rows, q, t = extract(part)
+                    words = [np.searchsorted(x, STEM_CELLS) for x in rows]
+                    rows = [_fit_cells(x) for x in rows]
+                    at = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+                    names = ["doc_id", "text_key", "given_q", "given_t"]
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(pattern_of(q)), pa.array(pattern_of(t)), pa.array(words, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows).astype(np.int32)))], [*names, "quality", "toxic", "words", "cells"])
+
+        # repeated rows go before they reach Python; at most ``size`` rows of FIT_CELLS cells come to the driver
+        own = docs.join(F.broadcast(picked), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+        table = own.select("doc_id", "text_key", "text", "given_q", "given_t").mapInArrow(features, "doc_id long, text_key long, given_q int, given_t int, quality long, toxic long, words long, cells array<int>").toArrow()
+        order = np.lexsort((table.column("text_key").to_numpy(), table.column("doc_id").to_numpy()))
+        rows = _slices_of(table.column("cells"))
+        self.rows = [rows[i] for i in order]
+        self.given_q, self.given_t, self.quality, self.toxic, self.words = (table.column(c).to_numpy()[order] for c in ("given_q", "given_t", "quality", "toxic", "words"))
+
+
+def fit(docs: DataFrame, given: DataFrame, sample: int, store: Scratch) -> tuple[np.ndarray, list[np.ndarray], list[tuple[np.ndarray, float]], list[np.ndarray]]:
+    """The learned cells, the posteriors of all patterns, the scorers, and the labellers' chances, each for quality then toxicity."""
+    own = Sample(docs, given, sample, store)
+    learned = learn_words(own.rows, own.given_t)
+    votes = store.keep(with_given(_votes(docs, learned, None).select("doc_id", "quality", "toxic"), given).select("quality", "toxic"), "votes")
+    posts, chances = [], []
+    for column, labellers, prior, at in (("quality", len(QUALITY_LABELLERS), 0.2, GIVEN_Q), ("toxic", len(TOXIC_LABELLERS), 0.1, GIVEN_T)):
+        # a row for each pattern: 3 ** labellers at most
+        counts = {r[column]: r["count"] for r in votes.groupBy(column).count().collect()}
+        post, chance = fit_labellers(counts, labellers, prior, at)
+        posts.append(post)
+        chances.append(chance)
+    store.drop("votes", "picked")
+    if not own.rows:
+        return learned, posts, [(np.zeros(1 << BITS), 0.0)] * 2, chances
+    said = learned_votes(own.rows, own.words, learned)
+    toxic = own.toxic + said[:, 0] * 3**LEARNED_WORDS + said[:, 1] * 3**LEARNED_STEMS + own.given_t * 3**GIVEN_T
+    return learned, posts, [train_scorer(own.rows, posts[0][own.quality + own.given_q * 3**GIVEN_Q]), train_scorer(own.rows, posts[1][toxic])], chances
+
+
+def with_given(votes: DataFrame, given: DataFrame) -> DataFrame:
+    """Patterns with the given labels in them."""
+    joined = votes.join(given, "doc_id", "left")
+    return joined.withColumns({"quality": F.col("quality") + F.coalesce("given_q", F.lit(ABSTAIN)) * 3**GIVEN_Q, "toxic": F.col("toxic") + F.coalesce("given_t", F.lit(ABSTAIN)) * 3**GIVEN_T})
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     """Score every document and decide which to keep.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id, quality (1 good, 0 bad) and toxic (1, 0), for some
     documents; a document with several labels has the majority's. The scorers are
-    fitted on at most ``sample`` documents, labelled ones first, then by hash of doc_id;
+    fitted on at most ``sample`` documents, labelled ones first, then by hash, and on FIT_CELLS features of each;
     labeller statistics come from all documents. Returns a row per
     input row: doc_id, p_low_quality and p_toxic (the weak labels'
     posterior and the scorer's probability, averaged as log-odds; the posterior
-    alone where a label is given), keep (both below a half), text_key.
+    alone where a label is given), keep (both below a half), text_key. The same
+    documents give the same result however they are partitioned.
 
     Null and empty texts give no evidence: heuristics abstain and the scorer's bias
-    decides. Null labels abstain, null ids have no labels. Repeated rows are scored
-    alike. Without labels the heuristics decide; an empty table gives an empty result.
+    decides. Null labels abstain, null ids have no labels and are not fitted on. Repeated rows are scored
+    alike and fitted on once. Very long texts are scored whole. Without labels the heuristics decide; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    store = Scratch(spark, "quality")
+    store = Scratch(docs.sparkSession, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
     given = store.keep(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(_given(labels, "quality", 0).alias("given_q"), _given(labels, "toxic", 1).alias("given_t")), "given")
-
-    known = given.where(f"given_q <> {ABSTAIN} OR given_t <> {ABSTAIN}").withColumn("labelled", F.lit(1))
-    picked = docs.select("doc_id").join(known, "doc_id", "left").orderBy(F.col("labelled").desc_nulls_last(), F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = store.keep(picked.select("doc_id", F.coalesce("given_q", F.lit(ABSTAIN)).alias("given_q"), F.coalesce("given_t", F.lit(ABSTAIN)).alias("given_t")).dropDuplicates(["doc_id"]), "picked")
-
-    def features(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, q, t = extract(part)
-                at = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("given_q"), part.column("given_t"), pa.array(pattern_of(q)), pa.array(pattern_of(t)), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows).astype(np.int32)))], ["given_q", "given_t", "quality", "toxic", "cells"])
-
-    # at most ``sample`` rows of cells, whatever the size of the corpus
-    chosen = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "given_q", "given_t").mapInArrow(features, "given_q int, given_t int, quality long, toxic long, cells array<int>").limit(sample).toArrow()
-    rows = _slices_of(chosen.column("cells"))
-    given_q, given_t, quality, toxic = (chosen.column(c).to_numpy() for c in ("given_q", "given_t", "quality", "toxic"))
-    learned = learn_words(rows, given_t)
-
-    last_q, last_t = 3 ** (len(QUALITY_LABELLERS) - 1), 3 ** (len(TOXIC_LABELLERS) - 1)
-
-    def with_given(votes: DataFrame) -> DataFrame:
-        joined = votes.join(given, "doc_id", "left")
-        return joined.withColumn("quality", F.col("quality") + F.coalesce("given_q", F.lit(ABSTAIN)) * last_q).withColumn("toxic", F.col("toxic") + F.coalesce("given_t", F.lit(ABSTAIN)) * last_t)
-
-    first = store.keep(_votes(docs, learned, None).select("doc_id", "quality", "toxic"), "votes")
-    counts = with_given(first).groupBy("quality", "toxic").count().collect()
-    count_q, count_t = {}, {}
-    for r in counts:
-        count_q[r["quality"]] = count_q.get(r["quality"], 0) + r["count"]
-        count_t[r["toxic"]] = count_t.get(r["toxic"], 0) + r["count"]
-    post_q = fit_labellers(count_q, len(QUALITY_LABELLERS), 0.2, GIVEN_ACCURACY)
-    post_t = fit_labellers(count_t, len(TOXIC_LABELLERS), 0.1, GIVEN_ACCURACY)
-
-    if len(rows):
-        learned_vote = np.array([YES if np.isin(x, learned, assume_unique=True).any() else ABSTAIN for x in rows])
-        scorers = [train_scorer(rows, post_q[quality + given_q * last_q]), train_scorer(rows, post_t[toxic + 3 * learned_vote + given_t * last_t])]
-    else:
-        scorers = [(np.zeros(1 << BITS), 0.0)] * 2
-    del rows, chosen
+    learned, (post_q, post_t), scorers, _ = fit(docs, given, sample, store)
     pa.default_memory_pool().release_unused()
-    scored = with_given(_votes(docs, learned, scorers))
+    scored = with_given(_votes(docs, learned, scorers), given)
 
     def chance(pattern: str, score: str, given: str, post: np.ndarray) -> Column:
         odds = np.clip(np.log(np.clip(post, 1e-9, 1) / np.clip(1 - post, 1e-9, 1)), -6, 6)
@@ -280,7 +384,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
-    """The documents that ``classify`` keeps, with all their columns."""
+    """The documents that ``classify`` keeps, with all their columns.
+
+    Rows of one (doc_id, text) are scored alike, so all of them stay or none; null ids and null texts
+    are compared as values. An empty table gives an empty result.
+    """
     bad = classify(docs, labels, sample).where("NOT keep").select(F.col("doc_id").cast("long").alias("__mr_id"), F.col("text_key").alias("__mr_key")).distinct()
     keyed = docs.withColumn("__mr_key", F.xxhash64("text"))
     return keyed.join(bad, keyed["__mr_key"].eqNullSafe(bad["__mr_key"]) & keyed["doc_id"].eqNullSafe(bad["__mr_id"]), "left_anti").drop("__mr_key")

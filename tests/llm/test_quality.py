@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from millrace.llm.quality import NO, YES, _first_of_kind, classify, fit_labellers, keep_good, learn_words
+from millrace.llm.quality import ABSTAIN, BELIEF, NO, YES, _first_of_kind, believed, classify, fit_labellers, keep_good, learn_words
 
 
 def corpus(n=700):
@@ -74,7 +74,9 @@ def test_expectation_maximisation_finds_accuracies():
         p = sum(v * 3**i for i, v in enumerate(votes))
         counts[p] = counts.get(p, 0) + 1
         truth.append((p, y))
-    post = fit_labellers(counts, 4, 0.3)
+    post, chances = fit_labellers(counts, 4, 0.3)
+    for k, a in enumerate((0.9, 0.8, 0.75, 0.6)):
+        assert abs(chances[0, k, 0] - a) < 0.08 and abs(chances[1, k, 1] - a) < 0.08
     right = sum((post[p] > 0.5) == y for p, y in truth) / len(truth)
     assert right > 0.85
 
@@ -90,3 +92,66 @@ def test_different_rows_with_common_words_all_count():
     toxic = np.array([YES if i % 8 == 0 else NO for i in range(len(rows))])
     rows = [np.append(x, (1 << 20) - 1 - i // 8 % 10) if t == YES else x for i, (x, t) in enumerate(zip(rows, toxic, strict=True))]
     assert set(range((1 << 20) - 10, 1 << 20)) <= set(learn_words(rows, toxic).tolist())
+
+
+def plain_em(rows, labellers, prior, given, rounds):
+    """The same model, row by row and without patterns."""
+    start = believed(labellers, given).tolist()
+    chance = start
+    for k in range(rounds):
+        post = []
+        for votes in rows:
+            like = [1 - prior, prior]
+            for j, v in enumerate(votes):
+                if v != ABSTAIN:
+                    like = [like[c] * chance[c][j][v - 1] for c in (0, 1)]
+            post.append(like[1] / sum(like))
+        if k == rounds - 1:
+            return post, chance
+        chance = []
+        for c in (0, 1):
+            own = []
+            for j in range(labellers):
+                n = [sum(p if c else 1 - p for p, votes in zip(post, rows, strict=True) if votes[j] == v) for v in (NO, YES)]
+                n = [x + (BELIEF * sum(n) + 1) * b for x, b in zip(n, start[c][j], strict=True)]
+                own.append([x / sum(n) for x in n])
+            chance.append(own)
+        prior = min(0.5, max(1e-4, sum(post) / len(rows)))
+
+
+def test_expectation_maximisation_against_plain_rows():
+    r = random.Random(6)
+    rows = []
+    for _ in range(400):
+        y = r.random() < 0.25
+        rows.append([r.choice([ABSTAIN, YES if y == (r.random() < a) else NO]) for a in (0.9, 0.7, 0.8)])
+    counts = {}
+    for v in rows:
+        p = sum(x * 3**i for i, x in enumerate(v))
+        counts[p] = counts.get(p, 0) + 1
+    post, chances = fit_labellers(counts, 3, 0.2, given=2, rounds=12)
+    want, known = plain_em(rows, 3, 0.2, 2, 12)
+    assert np.allclose([post[sum(x * 3**i for i, x in enumerate(v))] for v in rows], want, atol=1e-9) and np.allclose(chances, known, atol=1e-9)
+
+
+def test_any_partitioning_gives_the_same_rows(spark):
+    docs, labels = corpus(400)
+    docs += docs[:20] + [(None, "null id"), (900, None), (5, "another text of the same id"), (6, docs[6][1] + " twice")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int, toxic int")
+    ways = [sorted(map(tuple, classify(x, known, sample=200).collect()), key=repr) for x in (d.repartition(3, "text"), d.repartition(7, "doc_id"), d.coalesce(1))]
+    assert ways[0] == ways[1] == ways[2]
+
+
+def test_held_out_documents_of_the_tables(spark):
+    from pyspark.sql import functions as F
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r for r in labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1).collect()}
+    for known, least in ((labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0), 0.9), (labels.limit(0), 0.65)):
+        kept = {r.doc_id: r.keep for r in classify(docs, known).collect()}
+        share = lambda ids: sum(kept[i] for i in ids) / len(ids)
+        assert 1 - share([i for i, r in truth.items() if r.toxic]) >= least
+        assert 1 - share([i for i, r in truth.items() if not r.quality]) >= 0.95
+        assert share([i for i, r in truth.items() if r.quality and not r.toxic]) >= 0.98

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import environment, evaluation, logprob, preference, render, trajectory
+from ..operators import environment, evaluation, logprob, preference, render, runlog, trajectory
 from ..sources import datasets
 from ..streaming import streams
 from . import pipelines, protocols
@@ -352,3 +352,46 @@ def stream_sessions(t):
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+
+
+@query("""WITH e AS (SELECT user_id AS pid, event_id AS tid, event_type AS name, epoch_us(ts) AS us FROM events)
+SELECT pid, tid, name, 1 AS depth, us AS begin_ts, us + 100 AS end_ts FROM e UNION ALL SELECT pid, tid, 'part', 2, us + 10, us + 20 FROM e UNION ALL SELECT pid, tid, 'part', 2, us + 30, us + 45 FROM e""")
+def nested_trace_spans(t):
+    """Every event is a span with two parts of one name inside it."""
+    e = t.events.select(F.col("user_id").alias("pid"), F.col("event_id").alias("tid"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    marks = [("B", 0, None), ("B", 10, "part"), ("E", 20, "part"), ("B", 30, "part"), ("E", 45, "part"), ("E", 100, None)]
+    rows = F.array(*[F.struct(F.lit(ph).alias("ph"), (F.col("us") + at).alias("ts"), F.lit(i).alias("line_no"), (F.col("event_type") if n is None else F.lit(n)).alias("name")) for i, (ph, at, n) in enumerate(marks)])
+    events = e.select("pid", "tid", F.inline(rows))
+    return runlog.spans(events).select("pid", "tid", "name", "depth", "begin_ts", "end_ts")
+
+
+@query("SELECT o_custkey, array_to_string(list(round(o_totalprice, 3) ORDER BY o_orderkey, o_totalprice), ' ') AS rewards, round(stddev_pop(o_totalprice), 4) AS std FROM orders GROUP BY o_custkey")
+def rollout_rewards(t):
+    out = evaluation.rollout_matrix(t.orders, "o_custkey", "o_orderkey", "o_totalprice")
+    return out.select("o_custkey", F.array_join(F.transform("rewards", lambda r: r.cast("string")), " ").alias("rewards"), F.round("std", 4).alias("std"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS fst, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations)
+SELECT conv_id, string_agg(CASE WHEN fst THEN 'user' ELSE 'assistant' END || ':' || text, '|' ORDER BY turn) AS prompt, 'assistant:yes' AS a, 'assistant:no' AS b, 'A' AS label FROM t GROUP BY conv_id""")
+def hhh_turns(t):
+    """Transcripts whose first turn is a person's and the others an assistant's, as messages; they differ in the last one."""
+    said = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]), " Assistant: ").alias("s"))
+    pairs = said.select("conv_id", F.concat(F.lit("Human: "), F.col("s"), F.lit(" Assistant: yes")).alias("chosen"), F.concat(F.lit("Human: "), F.col("s"), F.lit(" Assistant: no")).alias("rejected"))
+    shown = lambda c: F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["role"], m["content"])), "|")
+    return preference.hhh_comparisons(pairs).select("conv_id", shown("prompt_conversation").alias("prompt"), shown("completion_a").alias("a"), shown("completion_b").alias("b"), "label")
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || text, '|' ORDER BY turn) || '|system: ==== Completion A ====|assistant: yes|system: ==== Completion B ====|assistant: no, never|system: ==== Preference ====|assistant: ' || CASE conv_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'Tie' END AS shown FROM conversations GROUP BY conv_id""")
+def comparison_shown(t):
+    """A comparison as one conversation, with its label, in full."""
+    m = _pairs(t).select("conv_id", preference.comparison_conversation(with_label=True).alias("m"))
+    return m.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat_ws(": ", x["role"], x["content"])), "|").alias("shown"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE 'no answer' END AS extracted, CASE WHEN n_nationkey % 2 = 0 THEN 'the ' || n_name ELSE 'x' END AS said, n_nationkey % 2 = 0 AS matches FROM nation")
+def gold_matches(t):
+    """Answers held against several gold ones: equal but for case, articles and punctuation, or different."""
+    even = F.col("n_nationkey") % 2 == 0
+    said = F.when(even, F.concat(F.lit("the "), "n_name")).otherwise("x")
+    given = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("Answer: "), "n_name", F.lit("\n"))).otherwise("nothing")
+    return t.nation.select(F.col("n_nationkey"), F.coalesce(text.single_answer(given), F.lit("no answer")).alias("extracted"), said.alias("said"), text.matches_any(said, F.array(F.lit("other"), F.concat(F.lower("n_name"), F.lit("!")))).alias("matches"))

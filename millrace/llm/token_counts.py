@@ -37,9 +37,9 @@ def load_merges(path: str) -> Merges:
     """Read a tokenizers .json file of the kind: NFC, white space to spaces, lower case; words by a pattern; bytes; BPE."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    kinds = [x["type"] for x in spec["normalizer"]["normalizers"]] + [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-    model = spec["model"]
-    if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or model["type"] != "BPE" or model["continuing_subword_prefix"]:
+    kinds = [x.get("type") for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec.get(part) or {}).get(name) or []]
+    model = spec.get("model") or {}
+    if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or model.get("type") != "BPE" or model.get("continuing_subword_prefix"):
         raise ValueError(f"{path}: not a tokenizer of the kind that is counted here")
     split = spec["pre_tokenizer"]["pretokenizers"][0]
     pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]

@@ -1,9 +1,18 @@
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from millrace.llm import oracles, queries
+from millrace.llm.quality import classify
 
 from oracle import assert_same
+from test_ngram_join import brute
+from test_sharding import brute_capacity, check
 
 
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
@@ -15,20 +24,93 @@ def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-def test_pipeline_equals_its_stages(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    whole = corpus_pipeline.run(spark, data)
-    rows = whole.collect()
-    assert set(corpus_pipeline.COLUMNS) < set(whole.columns) and rows
-    good = corpus_pipeline.quality_classifier(spark, docs, data)
-    labels = {r.doc_id: r for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
-    kept = {r.doc_id for r in good.select("doc_id").collect()}
-    toxic = {i for i, r in labels.items() if r.toxic}
-    clean = {i for i, r in labels.items() if not r.toxic and r.quality}
-    assert len(kept & toxic) <= 0.1 * len(toxic) and len(kept & clean) >= 0.95 * len(clean)
-    one = corpus_pipeline.ngram_join(spark, good, data)
-    safe = corpus_pipeline.benchmark_decontamination(spark, one, data)
-    left = {r.doc_id for r in safe.select("doc_id").collect()}
-    assert {r.doc_id for r in rows} <= left <= {r.doc_id for r in one.select("doc_id").collect()} <= kept
-    items = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    assert not [r.doc_id for r in rows for t in items if t in r.text]
+def aligned(item, passage):
+    """Smith-Waterman score of two lists of words as a share of the item's own."""
+    p = np.array(passage)
+    row, best = np.zeros(len(p) + 1), 0
+    for word in item:
+        new = np.zeros(len(p) + 1)
+        diagonal = row[:-1] + np.where(p == word, 2, -1)
+        for j in range(len(p)):
+            new[j + 1] = max(0, diagonal[j], row[j + 1] - 1, new[j] - 1)
+        row, best = new, max(best, new.max())
+    return best / (2 * len(item))
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (text or "").lower())
+
+
+def leaks(texts, items):
+    """Texts of which some alignment with an item of four words or more reaches a half; a text with too few of the item's words can't."""
+    out = set()
+    for t in texts:
+        own = words(t)
+        for item in items:
+            known = set(item)
+            if sum(w in known for w in own) >= len(item) / 2 and aligned(item, own) >= 0.5:
+                out.add(t)
+                break
+    return out
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, data):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    assert len({d for d, _, _ in docs}) == len(docs)
+    keep = {r.doc_id: r.keep for r in classify(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))).collect()}
+    good = [r for r in docs if keep[r[0]]]
+    component = {d: c if n else d for d, n, c in brute([(d, t) for d, t, _ in good], 5, 80)}
+    one = [r for r in good if component[r[0]] == r[0]]
+    items = [w for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if len(w := words(r.text)) >= 4]
+    gone = leaks({t for _, t, _ in one}, items)
+    safe = [r for r in one if r[1] not in gone]
+    count = Counter(s for _, _, s in safe)
+    scale = len(safe) / sum(map(math.sqrt, count.values()))
+    want = Counter()
+    for d, t, s in safe:
+        rate = math.sqrt(count[s]) * scale / count[s]
+        u, k, p = int(hashlib.md5(f"0:{d}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        want[d, t] += k
+    rows = corpus_pipeline.run(spark, data).collect()
+    assert 0 < len(gone) < len(one) < len(good) < len(docs)
+    assert Counter((r.doc_id, r.text) for r in rows) == +want
+    load = check([(r.doc_id, r.text) for r in rows], rows, 24)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[hashlib.md5((r.text or "").encode()).hexdigest()] += r.size
+    fair = sum(sizes.values()) / 24
+    if max(sizes.values()) < fair:
+        assert max(load.values()) == brute_capacity([sizes[k] for k in sorted(sizes)], 24)
+
+
+ODD = [
+    (1, "the quick brown fox jumps over the lazy dog again and again", "en", "s", 1), (1, "the quick brown fox jumps over the lazy dog again and again", "en", "s", 1), (1, "the quick brown fox jumps over the lazy dog again and again", "en", "t", 2),
+    (None, "the quick brown fox jumps over the lazy dog again and again", "en", "s", 1), (None, "The quick brown fox jumps over the lazy dog again and again", None, None, None), (None, "the quick brown fox jumps over the lazy dog again and again", "en", "s", 1),
+    (2, "the quick brown fox jumps over the lazy dog again and again", "en", "u", 1), (3, None, None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0), (None, None, None, None, None),
+    (5, "a long text " + "of ever other words " * 3 + " ".join(f"w{i}" for i in range(30_000)), "en", "s", 1), (6, "short", "en", None, 1),
+]
+
+
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 AS shard", "2 AS root", "3 AS __mr_n").repartition(3)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows_and_no_rows(spark, data, name):
+    stage, docs = dict(corpus_pipeline.STAGES)[name], odd(spark)
+    out = stage(spark, docs, data)
+    rows = out.collect()
+    if name != "sharding":
+        assert out.columns == corpus_pipeline.COLUMNS
+    if name in ("benchmark decontamination", "sharding"):
+        assert len(rows) == len(ODD)
+    if name == "n-gram Jaccard join":
+        # of the seven copies the least id stays, once; of the three rows without id or words, and the two of id 3, one each
+        assert sorted((r.doc_id, r.source) for r in rows if r.text and "fox" in r.text) == [(1, "s")]
+        assert sorted((r.doc_id for r in rows if not r.text), key=repr) == [3, 4, None] and len(rows) == 6
+    assert stage(spark, docs.limit(0), data).count() == 0

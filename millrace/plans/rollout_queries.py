@@ -234,17 +234,28 @@ def _streamed(t, build, name, files: int | None = 1):
     return t.spark.read.parquet(f"{where}/out")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS lane, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch_idx, event_id AS item FROM events QUALIFY (row_number() OVER (ORDER BY event_id) - 1) // 64 < (SELECT count(*) FROM events) // 64")
-def stream_minibatch(t):
+def _minibatched(t, build):
+    """A stream that keeps state in the store that it needs; the session's setting is put back."""
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(setting, None)
     t.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _streamed(t, lambda s: streams.minibatches(s, "event_id", 64), "minibatch")
+        return _streamed(t, build, "minibatch")
     finally:
         t.spark.conf.unset(setting) if before is None else t.spark.conf.set(setting, before)
 
 
+@query("SELECT CAST(0 AS BIGINT) AS lane, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch_idx, event_id AS item FROM events QUALIFY (row_number() OVER (ORDER BY event_id) - 1) // 64 < (SELECT count(*) FROM events) // 64")
+def stream_minibatch(t):
+    return _minibatched(t, lambda s: streams.minibatches(s, "event_id", 64))
+
+
+@query("WITH v AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k, count(*) OVER () AS n FROM events WHERE event_id % 4 <> 0) SELECT CAST(0 AS BIGINT) AS lane, k // 64 AS batch_idx, event_id AS item FROM v WHERE k // 64 < n // 64")
+def stream_valid_minibatch(t):
+    """A batch is full with so many valid items; the others don't count."""
+    return _minibatched(t, lambda s: streams.minibatches(s.withColumn("ok", F.col("event_id") % 4 != 0), "event_id", 64, valid="ok", valid_only=True))
+
+
 @query("WITH e AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, value, max(ts) OVER () AS last FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE start + INTERVAL 1 hour <= last - INTERVAL 10 minute GROUP BY start, event_type")
 def stream_tumbling(t):
     """An extension: windows of event time. Windows that the watermark has not passed are not written.

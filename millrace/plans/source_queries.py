@@ -96,7 +96,7 @@ def _metric_log(t):
     own = t.orders.groupBy(F.concat(F.lit("run"), (F.col("o_custkey") % 5).cast("string")).alias("run_id"), (F.col("o_orderkey") % 40).alias("step")).agg(F.max("o_totalprice").alias("loss"), F.count("*").cast("double").alias("n"))
     long = own.select("run_id", "step", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in ("loss", "n")])))
     writers.write_metrics(long, folder)
-    return t.spark.read.json(folder).select("run_id", "step", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"metrics.{k}").alias("value")) for k in ("loss", "n")])))
+    return readers.read_metrics(t.spark, folder)
 
 
 @query(f"SELECT run_id, step, key, round(value, 4) AS value FROM ({_RUNS}) UNPIVOT (value FOR key IN (loss, n))")
@@ -331,3 +331,36 @@ def job_states(t):
     old = states.select("job", F.create_map(F.lit("label"), F.lit("old")).alias("labels"), F.lit(1).alias("count"), "status")
     new = jobs.select("job", F.create_map(F.lit("label"), F.concat(F.lit("new"), F.col("job").cast("string"))).alias("labels"), F.col("job").alias("count"), F.lit("later").alias("status"))
     return runlog.merged_metadata(old, new, "job").select("job", "status", F.col("labels")["label"].alias("label"), F.col("count").alias("runs"))
+
+
+@query("SELECT 'w' || r_regionkey AS name, CAST(r_regionkey + 1 AS BIGINT) AS rows, 3 AS columns FROM region")
+def tensor_headers(t):
+    """Headers of tensor files, a file each: eight bytes of length, then JSON. The files here have nothing behind it."""
+    folder = scratch_folder(t.spark, "tensor_headers")
+    name = F.concat(F.lit("w"), F.col("r_regionkey").cast("string"))
+    header = F.concat(F.lit('{"__metadata__":{},"'), name, F.lit('":{"dtype":"F32","shape":['), (F.col("r_regionkey") + 1).cast("string"), F.lit(",3]}}"))
+    files = t.region.select(F.col("r_regionkey").alias("file"), F.concat(F.char(F.length(header)), F.lit("\0" * 7), header).alias("value"))
+    files.write.partitionBy("file").text(folder)
+    paths = [r["path"] for r in t.spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path").collect()]
+    t.spark.dataSource.register(readers.TensorHeaders)
+    read = t.spark.read.format("tensor_headers").option("path", ",".join(paths)).load()
+    return read.select("name", F.element_at("shape", 1).alias("rows"), F.element_at("shape", 2).cast("int").alias("columns"))
+
+
+@query("SELECT user_id, 'env/all/' || event_type AS key, count(*)::DOUBLE AS value FROM events GROUP BY ALL")
+def prefixed_metrics(t):
+    from ..functions.arrays import prefixed
+
+    counts = t.events.groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    return counts.select("user_id", F.explode(prefixed(prefixed("m", "all"), "env")).alias("key", "value"))
+
+
+@query("SELECT doc_id, CAST(strlen(source) + 1 AS BIGINT) AS n_tokens, source || '<|end|>' AS text, left(source, 2) AS head FROM documents")
+def byte_tokens(t):
+    """Texts as byte tokens with a special token at their end, back again, and cut after two."""
+    from ..functions import tokens
+
+    specials = ("<|end|>",)
+    rows = t.documents.select("doc_id", F.concat("source", F.lit("<|end|>")).alias("text"), "source")
+    ids = rows.select("doc_id", "source", tokens.encoder(specials=specials)("text").alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), tokens.decoder(specials=specials)("ids").alias("text"), tokens.truncated(2)("source").alias("head"))

@@ -56,9 +56,17 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metric logs as (run_id, step, key, value); run_id is the folder's name. Values that aren't numbers go."""
-    rows = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]*$", 1).alias("run_id"), F.from_json("value", "map<string,string>").alias("m"))
-    each = rows.select("run_id", F.col("m")["step"].cast("long").alias("step"), F.explode("m").alias("key", "text")).where("key <> 'step'")
+    """Metric logs as (run_id, step, key, value); run_id is the folder's name. Values that aren't numbers go.
+
+    A line holds its metrics beside step, or under metrics as ``write_metrics`` puts them.
+    """
+    run = F.regexp_extract(F.input_file_name(), r"(?:run_id=)?([^/=]+)/[^/]*$", 1)
+    # the folders are read as such: their names are not taken for columns
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    rows = lines.select(run.alias("run_id"), F.from_json("value", "map<string,string>").alias("m"))
+    nested = F.coalesce(F.from_json(F.col("m")["metrics"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+    own = F.map_concat(F.map_filter("m", lambda k, _: ~k.isin("step", "metrics")), nested)
+    each = rows.select("run_id", F.col("m")["step"].cast("long").alias("step"), F.explode(own).alias("key", "text"))
     return each.select("run_id", "step", "key", F.col("text").try_cast("double").alias("value")).where("value IS NOT NULL")
 
 
@@ -122,7 +130,9 @@ class _HeaderReader(DataSourceReader):
     def read(self, partition):
         from pyarrow import fs
 
-        store, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
+        # Hadoop writes local URIs with a single slash
+        own = partition.path.replace("file:/", "file:///", 1) if partition.path.startswith("file:/") and "://" not in partition.path else partition.path
+        store, path = fs.FileSystem.from_uri(own) if "://" in own else (fs.LocalFileSystem(), own)
         with store.open_input_file(path) as f:
             (size,) = struct.unpack("<Q", f.read(8))
             header = json.loads(f.read(size))

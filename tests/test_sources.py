@@ -156,3 +156,12 @@ def test_scratch_folder_is_the_shared_one():
     assert scratch_folder(session(None, "local[2]"), "x").startswith("file://")
     with pytest.raises(ValueError):
         scratch_folder(session(None, "yarn"), "x")
+
+
+def test_metric_logs_in_either_layout(spark, tmp_path):
+    (tmp_path / "a" / "run7").mkdir(parents=True)
+    (tmp_path / "a" / "run7" / "metrics.jsonl").write_text('{"step": 1, "loss": 0.5, "note": "x"}\n{"step": 2, "loss": 0.25}\n')
+    got = sorted(map(tuple, readers.read_metrics(spark, str(tmp_path / "a")).collect()))
+    assert got == [("run7", 1, "loss", 0.5), ("run7", 2, "loss", 0.25)]
+    writers.write_metrics(spark.createDataFrame([("r", 3, "loss", 1.5)], "run_id string, step long, key string, value double"), str(tmp_path / "b"))
+    assert [tuple(r) for r in readers.read_metrics(spark, str(tmp_path / "b")).collect()] == [("r", 3, "loss", 1.5)]

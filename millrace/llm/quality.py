@@ -11,6 +11,7 @@ Two questions are asked the same way: is the text of low quality, is it toxic.
 from __future__ import annotations
 
 from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -109,50 +110,84 @@ def _shares(part: pa.RecordBatch, count: np.ndarray, distinct: np.ndarray, top:
         return np.stack([of_row(odd) / n, (symbols[w.offsets[1:]] - symbols[w.offsets[:-1]]) / of_row(size), of_row(same) / n, few, one])
 
 
-def extract(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+class Features(NamedTuple):
+    """Cells of a slice of rows: all rows' cells in a row, ascending in each, and where each row's begin; and the number of words and the votes of each row."""
+
+    cells: np.ndarray
+    first: np.ndarray
+    words: np.ndarray  # different words and style cells of each row
+    quality: np.ndarray
+    toxic: np.ndarray
+
+    def each(self) -> list[np.ndarray]:
+        return [self.cells[a:b] for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
+
+
+def _per_row(first: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """How many of each row's cells are marked."""
+    upto = np.concatenate(([0], np.cumsum(marks)))
+    return upto[first[1:]] - upto[first[:-1]]
+
+
+def _marked(*cells: np.ndarray) -> np.ndarray:
+    """For every cell, a bit for each of the given sets that holds it."""
+    out = np.zeros(1 << BITS, np.uint8)
+    for k, own in enumerate(cells):
+        out[own] |= 1 << k
+    return out
+
+
+#: Bits of the cells of the lexicons' words, then of the English ones.
+_KNOWN = _marked(*map(_word_cells, INSULTS), _word_cells(ENGLISH))
+_ENGLISH_BIT = 1 << len(INSULTS)
+
+
+def extract(part: pa.RecordBatch) -> Features:
     """Of each row: the cells of its distinct words, style and shared stems; its votes on quality and on toxicity but for learned and given."""
     rows = part.num_rows
     w = words_of(pc.utf8_lower(part.column("text")), NOT_ALNUM)
-    cells, count = _cells(w.hash), np.diff(w.first)
-    stem_row, stem_cell = _stems(w)
-    order = np.lexsort((stem_cell, stem_row))
-    stem_cell, stem_at = stem_cell[order], np.searchsorted(stem_row[order], np.arange(rows + 1))
-    lexicons, english = [_word_cells(x) for x in INSULTS], _word_cells(ENGLISH)
+    count = np.diff(w.first)
+    keys, times = np.unique((w.row << BITS) | _cells(w.hash), return_counts=True)
+    first = np.searchsorted(keys, np.arange(rows + 1) << BITS)
+    known = _KNOWN[keys & ((1 << BITS) - 1)]
+    top = np.zeros(rows, np.int64)
+    np.maximum.at(top, keys >> BITS, times)
+    share = _shares(part, count, np.diff(first), top)
     votes_q = np.full((rows, len(QUALITY_LABELLERS)), ABSTAIN)
     votes_t = np.full((rows, len(TOXIC_LABELLERS)), ABSTAIN)
-    kinds = [np.unique(cells[w.first[r] : w.first[r + 1]], return_counts=True) for r in range(rows)]
-    share = _shares(part, count, np.array([len(own) for own, _ in kinds]), np.array([n.max() if len(n) else 0 for _, n in kinds]))
     with np.errstate(invalid="ignore"):
         votes_q[:, :5][(share > np.array(BAD)[:, None]).T] = YES
         votes_q[:, :5][(share < np.array(GOOD)[:, None]).T] = NO
         style = np.minimum(np.nan_to_num(share * 10), 9).astype(np.int64)
-    out = []
-    for r, (own, _) in enumerate(kinds):
-        for k, lexicon in enumerate(lexicons):
-            if np.isin(lexicon, own, assume_unique=True).any():
-                votes_t[r, k] = YES
-            elif count[r] >= NO_FROM_WORDS and np.isin(english, own, assume_unique=True).sum() >= 2:
-                votes_t[r, k] = NO
-        look = _cells(mix(np.array([j * 16 + style[j, r] + 1 for j in range(len(share))], U64)))
-        out.append(np.concatenate((np.unique(np.concatenate((own, look))), np.unique(stem_cell[stem_at[r] : stem_at[r + 1]]))))
-    return out, votes_q, votes_t
-
-
-def learned_votes(rows: list[np.ndarray], words: np.ndarray, learned: np.ndarray) -> np.ndarray:
+    english = (count >= NO_FROM_WORDS) & (_per_row(first, known & _ENGLISH_BIT > 0) >= 2)
+    for k in range(len(INSULTS)):
+        votes_t[english, k] = NO
+        votes_t[_per_row(first, known & (1 << k) > 0) > 0, k] = YES
+    look = _cells(mix((np.arange(len(share))[:, None] * 16 + style + 1).astype(U64)))
+    stem_row, stem_cell = _stems(w)
+    keys = np.sort(np.concatenate((keys, ((np.arange(rows) << BITS) | look).ravel(), (stem_row << BITS) | stem_cell)))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+    first = np.searchsorted(keys, np.arange(rows + 1) << BITS)
+    cells = keys & ((1 << BITS) - 1)
+    return Features(cells, first, _per_row(first, cells < STEM_CELLS), votes_q, votes_t)
+
+
+def learned_votes(cells: np.ndarray, first: np.ndarray, words: np.ndarray, learned: np.ndarray) -> np.ndarray:
     """Votes of the learned labellers: yes to two learned words, or a learned stem of as many words.
 
     No if there is none and the text isn't short; to single words, which few texts of a language
     with few labels share, only if it is English.
     """
-    out = np.full((len(rows), 2), ABSTAIN)
-    cut, english = np.searchsorted(learned, STEM_CELLS), _word_cells(ENGLISH)
-    parts = ((learned[:cut], 2), (learned[cut:], 1))
-    for i, x in enumerate(rows):
-        for k, (known, least) in enumerate(parts):
-            if len(known):
-                n = int(np.isin(known, x, assume_unique=True).sum())
-                none = not n and words[i] >= NO_FROM_WORDS and (k or np.isin(english, x, assume_unique=True).sum() >= 2)
-                out[i, k] = YES if n >= least else NO if none else ABSTAIN
+    rows, cut = len(first) - 1, np.searchsorted(learned, STEM_CELLS)
+    out = np.full((rows, 2), ABSTAIN)
+    known = _marked(learned[:cut], learned[cut:])[cells]
+    long = words >= NO_FROM_WORDS
+    english = _per_row(first, _KNOWN[cells] & _ENGLISH_BIT > 0) >= 2
+    for k, (taught, least, says_no) in enumerate(((cut, 2, long & english), (len(learned) - cut, 1, long))):
+        if taught:
+            n = _per_row(first, known & (1 << k) > 0)
+            out[(n == 0) & says_no, k] = NO
+            out[n >= least, k] = YES
     return out
 
 
@@ -288,10 +323,11 @@ def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[tuple[np.ndarray,
         learned, scorers = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                rows, q, t = extract(part)
-                t[:, [LEARNED_WORDS, LEARNED_STEMS]] = learned_votes(rows, [np.searchsorted(x, STEM_CELLS) for x in rows], learned)
-                scores = [[float(w[x].astype(np.float64).sum() + b) for x in rows] for w, b in scorers] or [[0.0] * len(rows)] * 2
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(pattern_of(q)), pa.array(pattern_of(t)), *map(pa.array, scores)], ["doc_id", "text_key", "quality", "toxic", "score_q", "score_t"])
+                own = extract(part)
+                own.toxic[:, [LEARNED_WORDS, LEARNED_STEMS]] = learned_votes(own.cells, own.first, own.words, learned)
+                # every row has cells, so none of the sums is of nothing
+                scores = [np.add.reduceat(w[own.cells].astype(np.float64), own.first[:-1]) + b for w, b in scorers] or [np.zeros(part.num_rows)] * 2
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(pattern_of(own.quality)), pa.array(pattern_of(own.toxic)), *map(pa.array, scores)], ["doc_id", "text_key", "quality", "toxic", "score_q", "score_t"])
 
     return docs.select("doc_id", "text_key", "text").mapInArrow(vote, "doc_id long, text_key long, quality long, toxic long, score_q double, score_t double")
 
@@ -308,12 +344,11 @@ class Sample:
         def features(batches):
             for batch in batches:
                 for part in slices(batch, "text"):
-                    rows, q, t = extract(part)
-                    words = [np.searchsorted(x, STEM_CELLS) for x in rows]
-                    rows = [_fit_cells(x) for x in rows]
+                    own = extract(part)
+                    rows = [_fit_cells(x) for x in own.each()]
                     at = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
                     names = ["doc_id", "text_key", "given_q", "given_t"]
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(pattern_of(q)), pa.array(pattern_of(t)), pa.array(words, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows).astype(np.int32)))], [*names, "quality", "toxic", "words", "cells"])
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(pattern_of(own.quality)), pa.array(pattern_of(own.toxic)), pa.array(own.words), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows).astype(np.int32)))], [*names, "quality", "toxic", "words", "cells"])
 
         # repeated rows go before they reach Python; at most ``size`` rows of FIT_CELLS cells come to the driver
         own = docs.join(F.broadcast(picked), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
@@ -339,7 +374,7 @@ def fit(docs: DataFrame, given: DataFrame, sample: int, store: Scratch) -> tuple
     store.drop("votes", "picked")
     if not own.rows:
         return learned, posts, [(np.zeros(1 << BITS), 0.0)] * 2, chances
-    said = learned_votes(own.rows, own.words, learned)
+    said = learned_votes(np.concatenate(own.rows), np.concatenate(([0], np.cumsum([len(x) for x in own.rows]))), own.words, learned)
     toxic = own.toxic + said[:, 0] * 3**LEARNED_WORDS + said[:, 1] * 3**LEARNED_STEMS + own.given_t * 3**GIVEN_T
     return learned, posts, [train_scorer(own.rows, posts[0][own.quality + own.given_q * 3**GIVEN_Q]), train_scorer(own.rows, posts[1][toxic])], chances
 

@@ -3,18 +3,21 @@
 A step that several later steps read is written once, as Parquet, under the
 folder the cluster names in ``spark.checkpoint.dir``: that cuts the lineage, and
 a lost executor costs only the tasks it was running. A local folder is used only
-where the setting is absent and the master is local, as in tests; what is in it
-goes when Python ends.
+where the setting is absent and the master is local, as in tests. Operators drop
+tables that they have done with; those that a result still reads go when Python ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,14 +35,23 @@ def _own_dir() -> str:
     return f"{tempfile.gettempdir()}/millrace-scratch"
 
 
+def _remove(root: str) -> None:
+    """Delete a folder at the end; a driver that is killed leaves it."""
+    if root.startswith(f"file://{_own_dir()}"):
+        shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
+    elif jvm := SparkContext._jvm:
+        with contextlib.suppress(Py4JError, OSError):
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
 class Scratch:
     """Tables of one operator call, each under its own name."""
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark = spark
         self.root = f"{base_dir(spark)}/millrace/{operator}-{uuid.uuid4().hex}"
-        if self.root.startswith(f"file://{_own_dir()}"):
-            atexit.register(shutil.rmtree, self.root.removeprefix("file://"), ignore_errors=True)
+        atexit.register(_remove, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -24,6 +24,8 @@ VERSION = "WARC/1.1"
 RECORDS_PER_FILE = 3_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LAST = 2**63 - 1
+#: Revisits of one response are dealt over so many parts.
+REVISIT_PARTS = 64
 RECORDS = "record_id string, record_type string, date string, uri string, concurrent_to string, refers_to string, content_type string, payload_digest string, payload_bytes long, payload binary"
 
 
@@ -87,7 +89,10 @@ def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        size = int(headers["content-length"])
+        length = headers.get("content-length", "")
+        if not length.isdigit():
+            raise ValueError("a WARC record has no length")
+        size = int(length)
         block = stream.read(size)
         if len(block) != size:
             raise ValueError("a WARC record is cut short")
@@ -99,7 +104,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     The payload of an HTTP record is what follows the HTTP headers. payload_digest is
     computed for requests, responses and metadata; a revisit, which has no payload, has the
-    digest in its header and null payload_bytes.
+    digest in its header and null payload_bytes. Payloads are bytes as they stand: chunked or encoded bodies
+    are not decoded. A record that is read twice gives two rows; a missing header is null; an archive that is
+    cut short, without a record's length, or no archive at all is an error. Empty archives, and a folder of none, give no rows.
     """
 
     def read(batches):
@@ -134,7 +141,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Requests and metadata join the response or revisit whose identifier they are
     concurrent to. A capture without one of the three has null there. Of several
-    requests (or metadata records) of one capture, that of least record_id is kept.
+    requests (or metadata records) of one capture, that of least record_id is kept; responses of one identifier
+    stay captures of their own. A record without an identifier or what it is concurrent to stands alone. No records give no captures.
     """
     fields = F.struct(*[c for c in records.columns if c != "concurrent_to"])
 
@@ -154,5 +162,10 @@ def page_digests(captures: DataFrame) -> DataFrame:
     """
     page = F.expr("try_cast(regexp_extract(cast(metadata.payload as string), 'page-id: (-?[0-9]+)', 1) as long)")
     own = captures.select("capture_id", page.alias("page_id"), F.col("response.payload_bytes").alias("bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.refers_to").alias("refers"))
+    columns = ["page_id", F.col("bytes").alias("payload_bytes"), "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")]
+    # only revisits look for another capture; a response that very many revisit has several copies of its two numbers
+    again = own.where("refers IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("capture_id"), F.lit(REVISIT_PARTS)).cast("int"))
     first = own.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("bytes").alias("first_bytes")).dropDuplicates(["refers"])
-    return own.join(first, "refers", "left").select("page_id", F.coalesce("bytes", "first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    first = first.join(again.groupBy("refers", "part").count().drop("count"), "refers")
+    revisits = again.join(first, ["refers", "part"], "left").select("page_id", F.coalesce("bytes", "first_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return own.where("refers IS NULL").select(*columns).union(revisits)

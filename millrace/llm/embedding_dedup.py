@@ -40,8 +40,14 @@ def directions(dim: int, codes: int, seed: int) -> list[np.ndarray]:
 
 
 def _block_products(unit: np.ndarray, blocks: list[np.ndarray]) -> list[np.ndarray]:
+    """Products with the directions of either block, each summed alike whatever other rows are there: a vector's filters are the same wherever they are listed."""
     cut = blocks[0].shape[1]
-    return [unit[:, :cut] @ blocks[0].T, unit[:, cut:] @ blocks[1].T]
+    return [np.einsum("ij,kj->ik", np.ascontiguousarray(x), b) for x, b in ((unit[:, :cut], blocks[0]), (unit[:, cut:], blocks[1]))]
+
+
+def filters_of(unit: np.ndarray, blocks: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """The filters that each unit vector is in, ascending."""
+    return [list_decode(x, y, threshold, FILTERS_LEAST) for x, y in zip(*_block_products(unit, blocks), strict=True)]
 
 
 def list_decode(first: np.ndarray, second: np.ndarray, threshold: float, least: int) -> np.ndarray:
@@ -81,8 +87,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(keys: np.ndarray, copies: np.ndarray, unit: np.ndarray, lists: list[np.ndarray], block: np.ndarray, own: int, apart: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each vector that no smaller common filter counts, weighed by copies; and the least key of those it hangs together with."""
+def _compare(keys: np.ndarray, copies: np.ndarray, unit: np.ndarray, lists, block: np.ndarray, own: int, apart: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each vector that no smaller common filter counts, weighed by copies; and the least key of those it hangs together with.
+
+    ``lists`` gives the filters of vectors; it is asked for those that have links only.
+    """
     near = unit @ unit.T >= least
     np.fill_diagonal(near, False)
     if apart:
@@ -92,11 +101,11 @@ def _compare(keys: np.ndarray, copies: np.ndarray, unit: np.ndarray, lists: list
     if not len(who):
         return np.zeros(len(keys), np.int64), root
     while True:
-        least_of = np.array([min(root[i], root[near[i]].min()) for i in who])
+        least_of = np.minimum(root[who], np.where(near[who], root, np.iinfo(np.int64).max).min(axis=1))
         if (least_of == root[who]).all():
             break
         root[who] = least_of
-    smaller = [lists[i][lists[i] < own] for i in who]
+    smaller = [x[x < own] for x in lists(unit[who])]
     ids, column, seen = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
     several = seen > 1
     place = np.cumsum(several) - 1
@@ -166,8 +175,7 @@ def _links(classes: DataFrame, blocks: list[np.ndarray], threshold: float, kind:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                a, b = _block_products(_unit(_matrix(part.column("embedding"))), shared.value)
-                lists = [list_decode(x, y, threshold, FILTERS_LEAST) for x, y in zip(a, b, strict=True)]
+                lists = filters_of(_unit(_matrix(part.column("embedding"))), shared.value, threshold)
                 at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("copies"), part.column("embedding"), pa.ListArray.from_arrays(at, pa.array(np.concatenate(lists)))], ["key", "copies", "embedding", "filters"])
 
@@ -179,13 +187,13 @@ def _links(classes: DataFrame, blocks: list[np.ndarray], threshold: float, kind:
         large = F.broadcast(large)
     each = decoded.select("*", F.explode("filters").alias("filter")).join(large, "filter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     each = each.withColumn("block", F.pmod(F.xxhash64("key", "filter"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "embedding", "filters")
+    each = each.select("filter", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "embedding")
 
     def compare(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy()
         if len(keys) < 2:
             return pa.Table.from_pydict({"key": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        lists = [x.values.to_numpy() for x in table.column("filters")]
+        lists = lambda unit: filters_of(unit, shared.value, threshold)
         links, root = _compare(keys, table.column("copies").to_numpy(), _unit(_matrix(table.column("embedding").combine_chunks())), lists, table.column("block").to_numpy(), table.column("filter")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py(), least)
         use = (links > 0) | (root != keys)
         return pa.Table.from_pydict({"key": pa.array(keys[use]), "links": pa.array(links[use]), "root": pa.array(root[use])})

@@ -74,3 +74,17 @@ def test_list_decoding_finds_all_and_only_exceeding_filters():
 
 def test_empty_table(spark):
     assert embedding_near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_a_vector_has_the_same_products_in_any_company():
+    import numpy as np
+
+    from millrace.llm.embedding_dedup import _block_products, _unit
+
+    r = np.random.default_rng(4)
+    for dim in (2, 3, 17, 64, 129):
+        blocks, unit = directions(dim, 9, 1), _unit(r.standard_normal((40, dim)))
+        whole = _block_products(unit, blocks)
+        for which in ([0], [7, 3], list(range(5, 40, 3)), list(range(40))):
+            for a, b in zip(whole, _block_products(unit[which], blocks), strict=True):
+                assert (a[which] == b).all()

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ._words import NOT_ALNUM, RUN, U64, Words, mix, slices, words_of
 
-#: Test items whose seeds are held at once; more items are done in so many passes.
-ITEMS_AT_ONCE = 20_000
+#: Bytes of test items whose seeds are held at once, some 20 bytes for each; more items are done in so many passes.
+BYTES_AT_ONCE = 8 << 20
 #: Places of seeds that are looked at together, unless one document has more.
 HITS_AT_ONCE = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -161,14 +161,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
 
     Null and empty texts and items of fewer than n words match nothing. Repeated
     rows give their pairs once; null ids stay null. An empty table on either side
-    gives an empty result. Every pair that reaches ``least`` is found where
-    ``least`` times an item's words is above 1. Items are held on the executors
-    ITEMS_AT_ONCE at a time; further items take further passes.
+    gives an empty result. Very long texts are searched whole. Every pair that reaches ``least`` is found where
+    ``least`` times an item's words is above 1. Of items with equal id and text one counts. Items are held on the executors
+    BYTES_AT_ONCE of text at a time; further items take further passes. (Seeds are held there, not joined by a shuffle: none is dropped, so a
+    pair of common words would join most documents with most items.)
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    passes = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
+    passes = max(1, -(-(benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // BYTES_AT_ONCE))
     found = []
     for k in range(passes):
         items = load_items([tuple(r) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()], n)
@@ -182,6 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
-    """The documents that hold no copy of a test item, with all their columns; ``contaminated`` tells which do."""
+    """The documents that hold no copy of a test item, with all their columns; ``contaminated`` tells which do.
+
+    Rows of one text stay or go together, whatever their ids; null and empty texts stay. Without documents or items nothing changes.
+    """
     bad = contaminated(docs, benchmark, n, least).select(F.col("text_key").alias("__mr_text_key")).distinct()
     return docs.withColumn("__mr_text_key", F.xxhash64("text")).join(bad, "__mr_text_key", "left_anti").drop("__mr_text_key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Hex digits of the hash that make a uniform number: 52 bits.
@@ -17,17 +17,19 @@ def hash_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("double") / F.lit(float(16**_DIGITS))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until what is left is below 2**-52; from logarithms, so large rates don't underflow."""
-    last = (rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.lit(0.0).alias("log_k"), F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+def poisson_tables(rates: DataFrame) -> DataFrame:
+    """``rates`` (source, rate) with cdf: P(X <= k) for k = 0, 1, ... until what is left is below 2**-52.
 
-    def step(s: Column, k: Column) -> Column:
-        log_k = s["log_k"] + F.log(k.cast("double"))
-        p = s["p"] + F.exp(k * F.log(rate) - rate - log_k)
-        return F.struct(log_k.alias("log_k"), p.alias("p"), F.concat(s["cdf"], F.array(p)).alias("cdf"))
-
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
+    One row per source and k, summed up in the order of k, from logarithms, so that large rates
+    don't underflow; [1] where the rate is zero.
+    """
+    k, rate = F.col("k"), F.col("rate")
+    upto = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    each = rates.where("rate > 0").withColumn("k", F.explode(F.sequence(F.lit(0), (rate + 12 * F.sqrt(rate) + 30).cast("int"))))
+    each = each.withColumn("log_k", F.sum(F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)).over(upto))
+    each = each.withColumn("p", F.sum(F.exp(k * F.log(rate) - rate - F.col("log_k"))).over(upto))
+    tables = each.groupBy("source", "rate").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]).alias("cdf"))
+    return tables.unionByName(rates.where("rate <= 0").select("source", "rate", F.array(F.lit(1.0)).alias("cdf")))
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, size: int | None = None, source: str = "source") -> DataFrame:
@@ -60,15 +62,18 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     it within each.
 
     A null source is a source of its own. Repeated rows, and rows with a null id,
-    get equal counts. Texts don't matter. An empty table gives an empty result.
+    get equal counts; the latter are told apart in the order by what else they hold. Null, empty and very long texts are treated
+    like others. An empty table gives an empty result.
     """
     docs = docs.drop("rate", "copy", "shuffle_key")
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64(*hashed).cast("string")))
     rates = source_rates(docs, weights, power, size, source)
     few = rates.agg(F.count("*"), F.coalesce(F.max("rate"), F.lit(0.0))).first()
-    rates = rates.select(F.col("source").alias("__mr_source"), "rate", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0))).alias("__mr_cdf"))
+    rates = poisson_tables(rates).select(F.col("source").alias("__mr_source"), "rate", F.col("cdf").alias("__mr_cdf"))
     if few[0] <= BROADCAST_SOURCES and few[1] <= BROADCAST_RATE:
         rates = F.broadcast(rates)
     joined = docs.withColumn("__mr_u", hash_uniform(F.lit(seed), "doc_id")).join(rates, F.col(source).eqNullSafe(F.col("__mr_source")))
     copies = joined.withColumn("__mr_n", F.size(F.filter("__mr_cdf", lambda p: p <= F.col("__mr_u")))).where("__mr_n > 0").select(*docs.columns, "rate", F.explode(F.sequence(F.lit(0), F.col("__mr_n") - 1)).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"))))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit("order"), F.lit(seed).cast("string"), own, F.col("copy").cast("string"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

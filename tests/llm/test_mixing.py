@@ -2,7 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
-from millrace.llm.mixing import mix_sources, poisson_cdf, source_rates
+from millrace.llm.mixing import mix_sources, poisson_tables, source_rates
 from pyspark.sql import functions as F
 
 
@@ -49,10 +49,19 @@ def test_order_is_random_and_repeatable(spark):
 
 
 def test_large_rates_do_not_underflow(spark):
-    cdf = spark.range(1).select(poisson_cdf(F.lit(2000.0))).first()[0]
+    rates = spark.createDataFrame([("a", 2000.0), ("b", 0.0), (None, 1.5)], "source string, rate double")
+    tables = {r.source: r.cdf for r in poisson_tables(rates).collect()}
+    assert tables["b"] == [1.0] and all(abs(x - sum(math.exp(-1.5) * 1.5**j / math.factorial(j) for j in range(k + 1))) < 1e-12 for k, x in enumerate(tables[None]))
+    cdf = tables["a"]
     assert abs(cdf[2000] - 0.5) < 0.02 and abs(cdf[-1] - 1) < 1e-9
 
 
 def test_empty_table(spark):
     _, df = docs(spark)
     assert mix_sources(df.limit(0)).count() == 0 and mix_sources(df, {"none": 1.0}).count() == 0
+
+
+def test_null_ids_do_not_share_a_place(spark):
+    df = spark.createDataFrame([(None, "a", f"t{i}") for i in range(400)], "doc_id long, source string, text string")
+    out = mix_sources(df, {"a": 1.0}, seed=9, size=1200).collect()
+    assert len({r.shuffle_key for r in out}) == len(out) > 0

@@ -11,9 +11,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._skew import hot_keys, salted_join
+from ._store import Scratch
 from ._words import ASCII_SPACE, LOWER_AZ, RUN, U64, Words, mix, slices, words_of
 
 #: A sentence longer than this counts as several, cut after so many words or where its words say.
@@ -22,10 +24,14 @@ SENTENCE_WORDS = 12
 CUT_WINDOW = 6
 #: A run with part of a sentence has so many words at least.
 PART_WORDS = 25
+#: A list of repeated runs is broadcast up to so many, some 40 bytes each; else it is joined.
+BROADCAST_RUNS = 1 << 20
 _STOPS = np.zeros(256, bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
-#: Rank of a document without an id: after all others.
-_LAST = 2**63 - 1
+#: Places of documents without an id begin here: after all ids that are less.
+NO_ID = 1 << 62
+#: Repeated runs are told apart from most others by a bitmap of 2**BITMAP_BITS bits.
+BITMAP_BITS = 26
 
 
 class Sentences(NamedTuple):
@@ -143,39 +149,71 @@ def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated:
     return b"".join([*kept, text[pos:]]), gone, count, runs[by]
 
 
-def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 25, by_content: bool = False) -> DataFrame:
+def _bitmap(repeated: DataFrame) -> DataFrame:
+    """One row, words: a bit for each cell of run hashes that a repeated run is in; 8 MB, whatever the number of runs."""
+    cell = f"shiftrightunsigned(run, {64 - BITMAP_BITS})"
+    set_bits = repeated.selectExpr(f"CAST(shiftright({cell}, 6) AS int) AS word", f"shiftleft(1L, CAST({cell} & 63 AS int)) AS bit")
+    rows = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    one = pa.table({"words": pa.array([words], pa.list_(pa.int64()))})
+    return repeated.sparkSession.createDataFrame(one)
+
+
+def _in_bitmap() -> Column:
+    cell = f"shiftrightunsigned(run, {64 - BITMAP_BITS})"
+    return F.expr(f"getbit(words[CAST(shiftright({cell}, 6) AS int)], CAST({cell} & 63 AS int)) = 1")
+
+
+def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_content: bool = True) -> DataFrame:
     """Remove sentences that a repeated run of sentences covers, other than where it first occurs.
 
     ``docs`` needs a long ``doc_id`` and a string ``text``. A run is ``run``
     consecutive sentences, A-Z lower-cased and white space aside. First is the
-    smallest doc_id, and the earliest place within it. A covered stretch of fewer
-    than ``least_words`` words stays: short phrases recur by chance. A sentence of
-    over SENTENCE_WORDS words counts as several, cut after so many words from its
-    begin; with ``by_content`` its words decide the cuts, so that a passage of over
+    smallest doc_id, and the earliest place within it. Every covered stretch goes, unless a caller
+    wants those of fewer than ``least_words`` words to stay. A sentence of
+    over SENTENCE_WORDS words counts as several: its words decide the cuts, so that a passage of over
     50 words is found wherever it begins in a sentence, and a run with part of a
-    sentence has PART_WORDS words at least. Returns a row
+    sentence has PART_WORDS words at least; without ``by_content`` it is cut after so many words from its begin. Returns a row
     per input row: doc_id, text (what is left), n_sentences, n_removed, removed
-    (the stretches), first_in (doc_ids that keep them, ascending).
+    (the stretches), first_in (doc_ids that keep them, ascending; null ids aren't told).
 
     A null text stays null; an empty text or one of fewer sentences than a run is
     unchanged. Rows of one doc_id count as one document, so repeated rows don't
-    remove each other; null ids count as one document after all others. Runs are
+    remove each other. Rows with a null id are documents of their own, by text, after all
+    others (ids are below 2**62) and among themselves in the order of a hash of the text; equal ones count as repeated rows. Very long texts are treated whole. An empty table gives an empty result. Runs are
     told apart by a 64-bit hash.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"))
+    store = Scratch(docs.sparkSession, "substring_dedup")
+    key = F.xxhash64("text")
+    # a document's place in the order: its id, and for those without one a number from NO_ID on that the text decides
+    place = F.coalesce(F.col("doc_id").cast("long"), key.bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID)))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("place"), key.alias("key"))
 
     def emit(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 s = sentences_of(words_of(part.column("text"), ASCII_SPACE, LOWER_AZ), by_content)
                 each = [np.unique(runs_of(s, r, run)[0]) for r in range(part.num_rows)]
-                ranks = np.repeat(part.column("rank").to_numpy(zero_copy_only=False), [len(x) for x in each])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), pa.array(ranks)], ["run", "rank"])
-
-    runs = docs.select("text", "rank").mapInArrow(emit, "run long, rank long")
-    repeated = runs.groupBy("run").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
-    hits = runs.join(repeated, "run").where("rank > first").groupBy("rank").agg(F.collect_list(F.struct("run", "first")).alias("runs"))
-    joined = docs.join(hits, "rank", "left").select("doc_id", "text", F.col("runs.run").alias("run"), F.col("runs.first").alias("first"))
+                back = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in each]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), part.column("place").take(back), part.column("key").take(back)], ["run", "place", "key"])
+
+    runs = store.keep(docs.where("text IS NOT NULL").select("text", "place", "key").mapInArrow(emit, "run long, place long, key long"), "runs")
+    repeated = runs.groupBy("run").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    repeated = store.keep(repeated, "repeated")
+    store.release()
+    # most runs occur once: a bitmap of fixed size keeps them from being moved again
+    some = runs.join(F.broadcast(_bitmap(repeated)), _in_bitmap()).select("run", "place", "key")
+    # a short list of repeated runs is broadcast; beyond that a run that many documents have goes to several tasks
+    if repeated.count() <= BROADCAST_RUNS:
+        met = some.join(F.broadcast(repeated.drop("n")), "run")
+    else:
+        met = salted_join(some, repeated.drop("n"), "run", F.xxhash64("key", "place"), hot_keys(repeated.select("run", "n"), "run", runs.count()))
+    hits = met.where("place > first").groupBy("place", "key").agg(F.collect_set(F.struct("run", "first")).alias("runs"))
+    hits = store.keep(hits, "hits")
+    store.drop("runs", "repeated")
+    store.release()
+    joined = docs.join(hits, ["place", "key"], "left").select("doc_id", "text", F.col("runs.run").alias("run"), F.col("runs.first").alias("first"))
 
     def remove(batches):
         for batch in batches:
@@ -191,7 +229,8 @@ def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 25, by_con
                     texts.append(left if part.column("text")[r].is_valid else None)
                     gone.append(out)
                     counts.append(n)
-                    firsts.append(np.unique(part.column("first")[r].values.to_numpy()[np.isin(known, by)]) if n and own is not None else [])
+                    named = np.unique(part.column("first")[r].values.to_numpy()[np.isin(known, by)]) if n and own is not None else np.zeros(0, np.int64)
+                    firsts.append(named[named < NO_ID])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.diff(s.first), pa.int64()), pa.array(counts, pa.int64()), pa.array(gone, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(firsts, pa.list_(pa.int64()))],
                     ["doc_id", "text", "n_sentences", "n_removed", "removed", "first_in"],

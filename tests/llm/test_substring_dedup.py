@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from millrace.llm.substring_dedup import SENTENCE_WORDS, substring_dedup
 
 P = "Alpha beta gamma delta epsilon zeta. Eta theta iota kappa lambda mu nu. Xi omicron pi rho sigma tau upsilon. Phi chi psi omega one two. Three four five six seven."
@@ -46,17 +48,18 @@ def brute(rows, run=3, least=25):
     return sorted(result, key=repr)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("least", [0, 25])
+def test_against_brute_force(spark, least):
     other = "Nothing to see here at all. Move on please now. Thank you very much."
     rows = [
         (3, f"Start of three. {P} End of three."), (1, f"{P}\n{other}"), (2, f"{other} {P} {P}"), (4, P), (4, P), (5, None), (6, ""), (7, "One. Two. Three. One. Two. Three."),
         (8, "word " * 400), (9, f"éÉ. {P.upper()}"), (None, P), (10, "One. Two. Three."), (11, "a b c d e f g h i j k l m n o p q r s t u v w x y z\n" * 3),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS run", "2 AS rank", "3 AS first").repartition(3)
-    got = substring_dedup(df).collect()
-    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=repr) == brute(rows)
+    got = substring_dedup(df, least_words=least, by_content=False).collect()
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in got), key=repr) == brute(rows, least=least)
     by = {r.doc_id: r for r in got}
-    assert by[1].n_removed == 0 and by[3].first_in == [1] and by[4].text == "" and by[7].n_removed == 0 and by[10].n_removed == 0
+    assert by[1].n_removed == 0 and by[3].first_in == [1] and by[4].text == "" and by[7].n_removed == (0 if least else 3) and by[10].n_removed == (0 if least else 3)
     assert "".join(by[3].removed).startswith("Alpha beta") and by[3].text == "Start of three. End of three."
 
 
@@ -93,3 +96,25 @@ def test_query_removes_short_stretches_and_scripts_without_spaces(spark, tmp_pat
     got = {x.doc_id: x for x in op1_substring_dedup(spark, str(tmp_path)).collect()}
     assert [got[d].n_removed for d in range(1, 6)] == [0, 3, 0, 4, 0]
     assert got[2].text == "Begin of two. End of two." and got[4].text == "題\n終" and got[4].first_in == [3]
+
+
+def test_documents_without_an_id_are_documents_of_their_own(spark):
+    other = "Nothing to see here at all. Move on please now. Thank you very much."
+    rows = [(None, f"{other} First tail."), (None, f"{other} Second tail."), (None, f"{other} Second tail."), (None, f"Third head. {P}"), (1, P)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = sorted(r.text for r in got if r.doc_id is None)
+    assert sum(other in x for x in left) in (1, 2) and "Third head. " in left and next(r for r in got if r.doc_id == 1).n_removed == 0
+    assert all(r.first_in == ([1] if "Third" in r.text else []) for r in got if r.doc_id is None)
+
+
+def test_frequent_runs_are_joined_as_well(spark, monkeypatch):
+    import millrace.llm._skew as skew
+    import millrace.llm.substring_dedup as m
+
+    rows = [(i, f"Text {i}. {P} More of {i}. Other {i % 7}. Seven {i % 7}. Eight {i % 7}.") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows_of = lambda: sorted(map(tuple, substring_dedup(df).select("doc_id", "text", "n_removed", "first_in").collect()))
+    whole = rows_of()
+    monkeypatch.setattr(m, "BROADCAST_RUNS", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    assert rows_of() == whole and sum(n for _, _, n, _ in whole) >= 119 * 5

@@ -71,3 +71,23 @@ def test_few_and_no_documents(spark):
     few = shard_documents(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"), 24).collect()
     assert len(few) == 2 and all(r.slot == 0 for r in few)
     assert shard_documents(spark.createDataFrame([], "doc_id long, text string"), 24).count() == 0
+
+
+def test_the_documents_table_by_brute_force(spark, data):
+    import hashlib
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    load = check(rows, shard_documents(docs, 24).collect(), 24)
+    sizes = defaultdict(int)
+    for _, t in rows:
+        sizes[hashlib.md5((t or "").encode()).hexdigest()] += len((t or "").encode()) + 8
+    total, alone = sum(sizes.values()), []
+    for key, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if len(alone) == 23 or size * (24 - len(alone)) < total:
+            break
+        alone.append(key)
+        total -= size
+    rest = brute_capacity([sizes[k] for k in sorted(sizes) if k not in alone], 24 - len(alone))
+    assert sorted(load.values())[-1 - len(alone)] <= rest and sorted(load.values(), reverse=True)[: len(alone)] == sorted((sizes[k] for k in alone), reverse=True)
+    assert max(v for k, v in load.items() if k >= len(alone)) == rest

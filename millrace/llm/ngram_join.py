@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import bitmap, in_bitmap
 from ._graph import components
 from ._skew import count_by, hot_keys, salted_join
 from ._store import Scratch
@@ -44,6 +45,8 @@ ROUNDS = 3
 BUCKET = 32
 #: A list of texts to verify is broadcast up to so many, 16 bytes each; else it is joined.
 BROADCAST_TEXTS = 1 << 20
+#: Shared grams are told apart from most others by a bitmap of 2**BITMAP_BITS bits.
+BITMAP_BITS = 25
 #: In the last round the texts under a gram are dealt over tasks by so many.
 BLOCK = 2048
 _PART = 1 << 14
@@ -288,9 +291,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     texts = store.keep(texts, "texts")
     feats = store.keep(feats.select("doc_id", "rid", "n"), "rows_of_docs")
     store.drop("feats")
+    store.release()
     each = texts.select("rid", "n", F.posexplode("prefix").alias("i", "gram"))
-    shared = each.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    slim = store.keep(each.join(shared, "gram"), "slim")
+    shared = store.keep(each.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    store.release()
+    # most grams are in one text only: a bitmap of fixed size keeps their rows from being moved again
+    some = each.join(F.broadcast(bitmap(shared, "gram", BITMAP_BITS)), in_bitmap("gram", BITMAP_BITS)).drop("words")
+    slim = store.keep(some.join(shared, "gram"), "slim")
     store.release()
     places = slim.where("c > 2").groupBy("rid").agg(F.collect_list("i").alias("shared"))
     rows = store.keep(_shared_rows(texts.join(places, "rid")), "rows")
@@ -305,7 +312,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     met = salted_join(rows.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("rid", "n", "i", "firsts", *SKETCH)]), pivots, "gram", F.xxhash64("x_rid"), hot_keys(count_by(rows, "gram"), "gram", rows.count()))
     star = met.where("x_rid <> p_rid").where(_may_match("x_", "p_", percent)).select(F.least("x_rid", "p_rid").alias("a"), F.greatest("x_rid", "p_rid").alias("b"))
     checked = store.keep(star.union(_pairs_of_two(slim, texts, percent)).distinct(), "star")
-    store.drop("slim")
+    store.drop("slim", "shared")
     links = check(checked, 0)
     found = store.keep(components(links, store, "cc0_"), "found0")
 
@@ -318,7 +325,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         links = check(pairs, k)
         if links.head(1):
             found = store.keep(components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links), store, f"cc{k}_"), f"found{k}")
-        rows, checked = rows.drop("root", "c"), checked.union(pairs)
+        # under a gram of no more than BUCKET texts all have met
+        rows, checked = rows.where(F.col("c") > BUCKET).drop("root", "c"), checked.union(pairs)
         store.release()
         if last:
             break

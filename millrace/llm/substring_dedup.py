@@ -11,9 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import bitmap, in_bitmap
 from ._skew import hot_keys, salted_join
 from ._store import Scratch
 from ._words import ASCII_SPACE, LOWER_AZ, RUN, U64, Words, mix, slices, words_of
@@ -149,22 +150,6 @@ def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated:
     return b"".join([*kept, text[pos:]]), gone, count, runs[by]
 
 
-def _bitmap(repeated: DataFrame) -> DataFrame:
-    """One row, words: a bit for each cell of run hashes that a repeated run is in; 8 MB, whatever the number of runs."""
-    cell = f"shiftrightunsigned(run, {64 - BITMAP_BITS})"
-    set_bits = repeated.selectExpr(f"CAST(shiftright({cell}, 6) AS int) AS word", f"shiftleft(1L, CAST({cell} & 63 AS int)) AS bit")
-    rows = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    one = pa.table({"words": pa.array([words], pa.list_(pa.int64()))})
-    return repeated.sparkSession.createDataFrame(one)
-
-
-def _in_bitmap() -> Column:
-    cell = f"shiftrightunsigned(run, {64 - BITMAP_BITS})"
-    return F.expr(f"getbit(words[CAST(shiftright({cell}, 6) AS int)], CAST({cell} & 63 AS int)) = 1")
-
-
 def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_content: bool = True) -> DataFrame:
     """Remove sentences that a repeated run of sentences covers, other than where it first occurs.
 
@@ -203,7 +188,7 @@ def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_cont
     repeated = store.keep(repeated, "repeated")
     store.release()
     # most runs occur once: a bitmap of fixed size keeps them from being moved again
-    some = runs.join(F.broadcast(_bitmap(repeated)), _in_bitmap()).select("run", "place", "key")
+    some = runs.join(F.broadcast(bitmap(repeated, "run", BITMAP_BITS)), in_bitmap("run", BITMAP_BITS)).select("run", "place", "key")
     # a short list of repeated runs is broadcast; beyond that a run that many documents have goes to several tasks
     if repeated.count() <= BROADCAST_RUNS:
         met = some.join(F.broadcast(repeated.drop("n")), "run")

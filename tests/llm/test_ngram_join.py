@@ -55,6 +55,35 @@ def test_against_brute_force(spark):
         assert joined(spark, rows, n, percent, extra=n == 4) == brute(rows, n, percent)
 
 
+def test_hot_texts_and_grams_are_joined_as_well(spark, monkeypatch):
+    import millrace.llm._skew as skew
+    import millrace.llm.ngram_join as m
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    for name, value in (("BROADCAST_TEXTS", 0), ("BLOCK", 4), ("BUCKET", 2), ("FIRSTS", 2)):
+        monkeypatch.setattr(m, name, value)
+    r = random.Random(5)
+    base = [f"w{r.randrange(500)}" for _ in range(50)]
+    texts = []
+    for _ in range(50):
+        words = list(base)
+        for _ in range(r.randrange(5)):
+            words[r.randrange(50)] = f"w{r.randrange(500)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts + texts[:1] * 20 + [" ".join(f"v{r.randrange(40)}" for _ in range(30)) for _ in range(20)]))
+    assert joined(spark, rows, 4, 85) == brute(rows, 4, 85)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(6)
+    long = [f"w{r.randrange(10**6)}" for _ in range(30_000)]
+    near = list(long)
+    for _ in range(900):
+        near[r.randrange(len(near))] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:20_000])), (4, "short text of few words")]
+    assert joined(spark, rows, 4, 85) == brute(rows, 4, 85)
+
+
 def test_empty_table(spark):
     assert joined(spark, [], 5, 80) == []
 

@@ -244,7 +244,11 @@ def train_scorer(rows: list[np.ndarray], target: np.ndarray, passes: int = 3, ra
             z[x] += g - step * w
             n[x] += g * g
             bias -= 0.01 * g
-    return -(z - np.sign(z) * sparse) * rate / (1 + np.sqrt(n)) * (np.abs(z) > sparse), bias
+    # most weights are zero: no further arrays of all cells
+    use = np.flatnonzero((z > sparse) | (z < -sparse))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[use] = -(z[use] - np.sign(z[use]) * sparse) * rate / (1 + np.sqrt(n[use]))
+    return weights, bias
 
 
 def _first_of_kind(rows: list[np.ndarray], alike: float = 0.8) -> np.ndarray:
@@ -317,7 +321,7 @@ def _fit_cells(cells: np.ndarray) -> np.ndarray:
 
 def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[tuple[np.ndarray, float]] | None) -> DataFrame:
     """(doc_id, text_key, quality, toxic, score_q, score_t): patterns without given labels, and scores as log-odds of bad."""
-    shared = docs.sparkSession.sparkContext.broadcast((learned, [(w.astype(np.float32), b) for w, b in scorers or []]))
+    shared = docs.sparkSession.sparkContext.broadcast((learned, scorers or []))
 
     def vote(batches):
         learned, scorers = shared.value
@@ -373,7 +377,7 @@ def fit(docs: DataFrame, given: DataFrame, sample: int, store: Scratch) -> tuple
         chances.append(chance)
     store.drop("votes", "picked")
     if not own.rows:
-        return learned, posts, [(np.zeros(1 << BITS), 0.0)] * 2, chances
+        return learned, posts, [(np.zeros(1 << BITS, np.float32), 0.0)] * 2, chances
     said = learned_votes(np.concatenate(own.rows), np.concatenate(([0], np.cumsum([len(x) for x in own.rows]))), own.words, learned)
     toxic = own.toxic + said[:, 0] * 3**LEARNED_WORDS + said[:, 1] * 3**LEARNED_STEMS + own.given_t * 3**GIVEN_T
     return learned, posts, [train_scorer(own.rows, posts[0][own.quality + own.given_q * 3**GIVEN_Q]), train_scorer(own.rows, posts[1][toxic])], chances

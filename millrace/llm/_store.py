@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -69,6 +70,8 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of steps whose results are kept."""
+        """Let Spark's cleaner delete the shuffle files of steps whose results are kept; give memory that Python has freed back to the system, where it can."""
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         self.spark.sparkContext._jvm.System.gc()

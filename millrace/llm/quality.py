@@ -410,6 +410,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
     given = store.keep(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(_given(labels, "quality", 0).alias("given_q"), _given(labels, "toxic", 1).alias("given_t")), "given")
     learned, (post_q, post_t), scorers, _ = fit(docs, given, sample, store)
     pa.default_memory_pool().release_unused()
+    store.release()
     scored = with_given(_votes(docs, learned, scorers), given)
 
     def chance(pattern: str, score: str, given: str, post: np.ndarray) -> Column:

@@ -81,15 +81,20 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarr
     return out
 
 
-def words_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE, fold: np.ndarray = AS_IS) -> Words:
-    """The words of every row of a string or binary array; a null row has none."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes, and where each row begins in them, and the end; a null row has none."""
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
         texts = texts.fill_null(b"")
     _, where, held = texts.buffers()
     offsets = np.frombuffer(where, np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None and held.size else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    return data, offsets - offsets[0]
+
+
+def words_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE, fold: np.ndarray = AS_IS) -> Words:
+    """The words of every row of a string or binary array; a null row has none."""
+    data, offsets = _bytes(texts)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, none, np.zeros(0, U64), np.zeros(len(texts) + 1, np.int64))
@@ -99,6 +104,32 @@ def words_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE, fold: np.ndarray
     return Words(data, offsets, start, end, row, _hashes(data, start, end, fold), first)
 
 
+class Spans(NamedTuple):
+    """Words of a slice of rows, in order, unhashed."""
+
+    data: np.ndarray
+    offsets: np.ndarray  # of each row in data, and the end
+    start: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    first: np.ndarray  # of each row, its first word; and the number of words
+
+    def words(self) -> pa.Array:
+        size = np.concatenate(([0], np.cumsum(self.end - self.start))).astype(np.int64)
+        inside = np.zeros(len(self.data) + 1, np.int8)
+        inside[self.start] += 1
+        inside[self.end] -= 1
+        own = self.data[np.cumsum(inside, dtype=np.int8)[:-1] > 0]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(size.tobytes()), pa.py_buffer(own.tobytes())])
+
+
+def spans_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE) -> Spans:
+    """The words of every row of a string or binary array; a null row has none."""
+    data, offsets = _bytes(texts)
+    start, end = _spans(data, offsets, parts) if len(data) else (np.zeros(0, np.int64),) * 2
+    return Spans(data, offsets, start, end, np.searchsorted(offsets, start, "right") - 1, np.searchsorted(start, offsets))
+
+
 def letters_upto(w: Words, which: np.ndarray, sizes: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each size: the words of ``which`` that are longer, and hashes of their first so many bytes."""
     z, size = np.zeros(len(which), U64), w.end[which] - w.start[which]

@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .embedding_dedup import embedding_near_duplicates
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .periodic_runs import most_periodic, periodic_runs
 from .quality import classify
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
@@ -84,4 +85,25 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("rate", F.round("rate", 9))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op4_quality_classifier, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources)}
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) of which about a tenth, told by a checksum of the id, repeat their words from some place on: what operator 11 is asked about."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    hit = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10)))
+    hit = hit.withColumn("words", F.when(F.col("g").isNotNull(), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    hit = hit.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    hit = hit.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    return hit.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeat_tails(_table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", most_periodic())
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op4_quality_classifier, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources, op11_periodic_runs)}

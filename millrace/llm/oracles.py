@@ -47,10 +47,30 @@ WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
  o AS (SELECT *, CAST(unnest(range(n)) AS INT) AS copy FROM n)
 SELECT doc_id, text, lang, source, n_chars, round(rate, 9) AS rate, copy, md5('order:0:' || doc_id || ':' || copy) AS shuffle_key FROM o"""
 
+
+
+def _round(k: int) -> str:
+    """Entries after one more round: each part's nearest entry, ties to the first, then floored averages; unused ones stay."""
+    return f"""
+ n{k} AS MATERIALIZED (SELECT s.vec_id, s.part, arg_min(c.entry, [list_sum(list_transform(list_zip(s.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.entry]) AS entry FROM s JOIN c{k} c USING (part) GROUP BY ALL),
+ c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, CASE WHEN m.x IS NULL THEN c.x ELSE m.x END AS x FROM c{k} c LEFT JOIN
+  (SELECT part, entry, list(v ORDER BY d) AS x FROM (SELECT part, entry, d, CAST(floor(sum(x[d]) / count(*)) AS BIGINT) AS v FROM n{k} JOIN s USING (vec_id, part), range(1, len(x) + 1) r(d) GROUP BY ALL) GROUP BY ALL) m USING (part, entry)),"""
+
+
+OP12 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (SELECT vec_id, label, CAST(p AS INT) AS part, e[p * len(e) // 16 + 1:(p + 1) * len(e) // 16] AS x FROM v, range(16) r(p)),
+ c0 AS (SELECT part, o AS entry, x FROM s JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS o FROM v ORDER BY vec_id LIMIT 64) USING (vec_id)),{_round(0)}{_round(1)}
+ f AS (SELECT s.vec_id, s.label, s.part, min([list_sum(list_transform(list_zip(s.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.entry]) AS best FROM s JOIN c2 c USING (part) GROUP BY ALL),
+ o AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(best[2] AS INT)), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM f GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256 FROM o"""
+
 ORACLES: dict[str, str] = {
     "op5_ngram_jaccard_join": OP5,
     "op6_warc": OP6,
     "op7_chat_format": OP7,
     "op8_embedding_dedup": OP8,
     "op10_mix_sources": OP10,
+    "op12_vector_codes": OP12,
 }

@@ -18,6 +18,7 @@ from .quality import classify
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .vector_codes import compress_vectors
 from .warc import assemble, page_digests, read_warc, write_warc
 
 
@@ -106,4 +107,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op4_quality_classifier, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources, op11_periodic_runs)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op4_quality_classifier, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources, op11_periodic_runs, op12_vector_codes)}

@@ -81,7 +81,7 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarr
     return out
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The rows' bytes, and where each row begins in them, and the end; a null row has none."""
     texts = texts.cast(pa.large_binary())
     if texts.null_count:
@@ -94,7 +94,7 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE, fold: np.ndarray = AS_IS) -> Words:
     """The words of every row of a string or binary array; a null row has none."""
-    data, offsets = _bytes(texts)
+    data, offsets = bytes_of(texts)
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, none, np.zeros(0, U64), np.zeros(len(texts) + 1, np.int64))
@@ -125,7 +125,7 @@ class Spans(NamedTuple):
 
 def spans_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE) -> Spans:
     """The words of every row of a string or binary array; a null row has none."""
-    data, offsets = _bytes(texts)
+    data, offsets = bytes_of(texts)
     start, end = _spans(data, offsets, parts) if len(data) else (np.zeros(0, np.int64),) * 2
     return Spans(data, offsets, start, end, np.searchsorted(offsets, start, "right") - 1, np.searchsorted(start, offsets))
 

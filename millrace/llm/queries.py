@@ -18,6 +18,7 @@ from .quality import classify
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .token_files import read_token_files, write_token_files
 from .vector_codes import compress_vectors
 from .warc import assemble, page_digests, read_warc, write_warc
 
@@ -111,4 +112,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(_table(spark, sf_dir, "embeddings")).drop("label")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op4_quality_classifier, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources, op11_periodic_runs, op12_vector_codes)}
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token_ids").path("files")
+    write_token_files(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
+    return read_token_files(spark, path, with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_decontaminate, op4_quality_classifier, op5_ngram_jaccard_join, op6_warc, op7_chat_format, op8_embedding_dedup, op9_token_counts, op10_mix_sources, op11_periodic_runs, op12_vector_codes, op13_token_files)}

@@ -63,7 +63,8 @@ def _spans(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray) -> tuple[np
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes; none is empty."""
     out, step = np.empty(len(start), U64), np.cumsum(end - start)
     lo = 0
     with np.errstate(over="ignore"):
@@ -101,7 +102,7 @@ def words_of(texts: pa.Array, parts: np.ndarray = ASCII_SPACE, fold: np.ndarray
     start, end = _spans(data, offsets, parts)
     row = np.searchsorted(offsets, start, "right") - 1
     first = np.searchsorted(start, offsets)
-    return Words(data, offsets, start, end, row, _hashes(data, start, end, fold), first)
+    return Words(data, offsets, start, end, row, hashes_of(data, start, end, fold), first)
 
 
 class Spans(NamedTuple):

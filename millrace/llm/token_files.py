@@ -20,14 +20,14 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from ._huffman import canonical, code_lengths, pack, unpack
 from ._store import Scratch
-from ._words import bytes_of, slices
+from ._words import AS_IS, U64, bytes_of, hashes_of, slices
 
 #: A file ends with the document that brings it to so many ids; a task writes so many ids, and there are so many tasks at most.
 IDS_PER_FILE, IDS_PER_TASK, MOST_TASKS = 1 << 21, 1 << 24, 1 << 16
 #: Ids of a block, and bits of a code at most.
 BLOCK, LIMIT = 128, 20
-#: A worker keeps the ids of so many pieces of text of so many bytes at most.
-CACHE_PIECES, CACHE_BYTES = 1 << 18, 64
+#: A task keeps the ids of so many pieces of text, some 40 bytes for each; so many are given to the library in one text.
+CACHE_PIECES, LINES = 1 << 20, 1 << 14
 #: File starts are broadcast up to this number, else joined.
 BROADCAST_FILES = 200_000
 
@@ -37,50 +37,108 @@ HEAD = "<8sIIIIQIIIQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 MAGIC = b"MRTOKID1"
 
-_WORD = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+#: A byte that may stand before a cut and one that may stand behind it, if it is ASCII; of two-byte letters those of Latin-1 are told.
+_SEEN = np.array([0x20 < c < 0x7F for c in range(256)])
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_POINT = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
+
+
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """Places at which the library's words are parted whatever else the text holds: in front of a single space or a line end behind something
+    that is seen, and of a point or comma behind a letter or digit. Special strings hold no such place."""
+    latin = np.zeros(len(data) + 1, bool)  # second bytes of Latin-1 letters
+    latin[1:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter = _ALNUM[data] | latin[:-1]
+    seen = _SEEN[data] | latin[:-1]
+    begins = _SEEN[data] | latin[1:]  # a Latin-1 letter's first byte has its second behind it
+    here, before = data[1:-1], slice(0, -2)
+    cut = (here == 0x20) & seen[before] & begins[2:]
+    cut |= (here == 0x0A) & seen[before]
+    cut |= _POINT[here] & letter[before]
+    return np.flatnonzero(cut) + 1
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, ascending, where each occurs, and each key's number among them; by sorting, which is quicker here than numpy's own."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    one = order[new]
+    return keys[one], one, which
 
 
 class Encoder:
     """Ids of texts as the library gives them; pieces that recur are encoded once.
 
-    Texts are cut in front of a single space between ASCII letters or digits: the library's
-    words never reach over such a place, nor do its special strings.
+    Pieces are told by 64-bit hashes. New ones are given to the library in one text, a line each: a line end
+    is a token of its own there, and parts what comes back. Those with white space inside or a special string go by themselves.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.known: dict[bytes, list[int]] = {}
-
-    def pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        out = [self.known.get(p) for p in pieces]
-        new = [k for k, ids in enumerate(out) if ids is None]
-        made = self.library.encode_batch_fast([pieces[k].decode("utf-8", "replace") for k in new], add_special_tokens=False)
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known.clear()
-        for k, e in zip(new, made, strict=True):
-            out[k] = e.ids
-            if len(pieces[k]) <= CACHE_BYTES:
-                self.known[pieces[k]] = out[k]
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.first, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+        lines, others = [], []
+        for k, p in enumerate(pieces):
+            own = p[1:] if p[0] == " " else p
+            plain = self.line is not None and own and own.isprintable() and " " not in own and "<|" not in own
+            (lines if plain else others).append(k)
+        for lo in range(0, len(lines), LINES):
+            part = lines[lo : lo + LINES]
+            (made,) = self.library.encode_batch_fast(["\n".join(pieces[k] for k in part) + "\n"], add_special_tokens=False)
+            ids = np.array(made.ids, np.int32)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer joins line ends with words")
+            for k, a, b in zip(part, np.concatenate(([0], ends[:-1] + 1)).tolist(), ends.tolist(), strict=True):
+                out[k] = ids[a:b]
+        for k, made in zip(others, self.library.encode_batch_fast([pieces[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = np.array(made.ids, np.int32)
         return out
 
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Keep the ids of new pieces; their keys ascend."""
+        made = self._encoded(pieces)
+        size = np.array([len(x) for x in made], np.int64)
+        at = np.searchsorted(self.keys, keys)
+        self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(size) - size)
+        self.size, self.keys = np.insert(self.size, at, size), np.insert(self.keys, at, keys)
+        self.flat = np.concatenate((self.flat, *made))
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and the number of each row's."""
         data, offsets = bytes_of(texts)
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        cut = np.flatnonzero((data[1:-1] == 0x20) & _WORD[data[:-2]] & _WORD[data[2:]]) + 1
-        at = np.unique(np.concatenate((cut, offsets)))
-        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-        coded = parts.dictionary_encode()
-        which = coded.indices.to_numpy()
-        own = self.pieces(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in own], np.int64)
-        flat = np.array([i for x in own for i in x], np.int32)
-        first, n = np.cumsum(size) - size, size[which]
-        ids = flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[which], n)]
-        row = np.searchsorted(offsets, at[:-1], "right") - 1
+        at = np.sort(np.concatenate((cut_places(data), offsets)))
+        at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+        start, end = at[:-1], at[1:]
+        keys, one, which = _distinct(hashes_of(data, start, end, AS_IS))
+        place = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        new[inside] = self.keys[place[inside]] != keys[inside]
+        if len(self.keys) + new.sum() > CACHE_PIECES:
+            self._clear()
+            new[:] = True
+        raw = data.tobytes()
+        pieces = [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)]
+        self._learn(keys[new], pieces)
+        place = np.searchsorted(self.keys, keys)
+        first, n = self.first[place][which], self.size[place][which]
+        ids = self.flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - first, n)]
+        row = np.searchsorted(offsets, start, "right") - 1
         return ids, np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
 
 

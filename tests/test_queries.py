@@ -1,6 +1,6 @@
 import pytest
 
-from millrace.plans import data_queries, environment_queries, function_queries, registry, rollout_queries, source_queries, text_queries  # noqa: F401
+from millrace.plans import data_queries, environment_queries, function_queries, registry, rollout_queries, source_queries, stream_queries, text_queries  # noqa: F401
 
 from oracle import assert_same
 

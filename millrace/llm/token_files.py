@@ -8,6 +8,8 @@ ids begins, so that blocks are decoded without each other.
 from __future__ import annotations
 
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from ._words import AS_IS, U64, bytes_of, hashes_of, slices
 IDS_PER_FILE, IDS_PER_TASK, MOST_TASKS = 1 << 21, 1 << 24, 1 << 16
 #: Ids of a block, and bits of a code at most.
 BLOCK, LIMIT = 128, 20
-#: A task keeps the ids of so many pieces of text, some 40 bytes for each; so many are given to the library in one text.
+#: A worker keeps the ids of so many pieces of text, some 40 bytes for each; so many are given to the library in one text.
 CACHE_PIECES, LINES = 1 << 20, 1 << 14
 #: File starts are broadcast up to this number, else joined.
 BROADCAST_FILES = 200_000
@@ -142,35 +144,53 @@ class Encoder:
         return ids, np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
 
 
-def encode(docs: DataFrame, spec: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): the ids of each text, then ``end_id``. ``spec`` is the text of a tokenizers .json file, a fixed size."""
+def _encoder(spec: str) -> Encoder:
+    """The encoder that this worker keeps from task to task: what it has learnt of one tokenizer stays."""
+    held = sys.modules.setdefault("_millrace_encoder", types.ModuleType("_millrace_encoder")).__dict__
+    if held.get("spec") != spec:
+        held.update(spec=spec, encoder=Encoder(spec))
+    return held["encoder"]
+
+
+def id_bytes(spec: str, end_id: int) -> str:
+    """The kind of number, of two bytes or four, that holds every id."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end_id, *Tokenizer.from_str(spec).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def encode(docs: DataFrame, spec: str, end_id: int, kind: str) -> DataFrame:
+    """(doc_id, n, ids): the number and the ids of each text with ``end_id`` behind, as bytes. ``spec`` is the text of a tokenizers .json file, a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, n = encoder.texts(part.column("text"))
-                ids = np.insert(ids, np.cumsum(n), np.int32(end_id))
-                at = np.concatenate(([0], np.cumsum(n + 1))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], ["doc_id", "ids"])
+                ids = np.insert(ids.astype(kind), np.cumsum(n), end_id)
+                at = (np.concatenate(([0], np.cumsum(n + 1))) * ids.itemsize).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(ids.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n + 1), packed], ["doc_id", "n", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All rows' numbers, and how many each row has."""
-    at = column.offsets.to_numpy()
-    return column.values.to_numpy()[at[0] : at[-1]], np.diff(at).astype(np.int64)
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' ids, and how many each row has."""
+    _, where, held = column.buffers()
+    at = np.frombuffer(where, np.int32, len(column) + 1, column.offset * 4)
+    ids = np.frombuffer(held, np.uint8)[at[0] : at[-1]].view(kind) if held is not None else np.zeros(0, kind)
+    return ids, np.diff(at).astype(np.int64) // np.dtype(kind).itemsize
 
 
-def _counts(encoded: DataFrame) -> np.ndarray:
+def _counts(encoded: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs in all documents. One row for each id of the vocabulary comes to the driver."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            own = np.bincount(_flat(batch.column("ids"))[0], minlength=len(total))
+            own = np.bincount(_flat(batch.column("ids"), kind)[0], minlength=len(total))
             own[: len(total)] += total
             total = own
         used = np.flatnonzero(total)
@@ -191,16 +211,16 @@ def _file(part: int, seq: int, ids: np.ndarray, doc_ids: pa.Array, n: np.ndarray
     return struct.pack(HEAD, MAGIC, part, seq, len(n), BLOCK, len(ids), len(code), len(words), zlib.crc32(body), len(body)) + body
 
 
-def _files(batches: Iterator[pa.RecordBatch], part: int, lengths: np.ndarray, codes: np.ndarray) -> Iterator[bytes]:
+def _files(batches: Iterator[pa.RecordBatch], part: int, kind: str, lengths: np.ndarray, codes: np.ndarray) -> Iterator[bytes]:
     """Files of whole documents, each of IDS_PER_FILE ids or little more."""
     held, total, seq = [], 0, 0
 
     def full() -> bytes:
-        ids, n = (np.concatenate(x) for x in zip(*[_flat(b.column("ids")) for b in held], strict=True))
+        ids, n = (np.concatenate(x) for x in zip(*[_flat(b.column("ids"), kind) for b in held], strict=True))
         return _file(part, seq, ids, pa.concat_arrays([b.column("doc_id") for b in held]), n, lengths, codes)
 
     for batch in batches:
-        lo, upto = 0, np.cumsum(_flat(batch.column("ids"))[1])
+        lo, upto = 0, np.cumsum(_flat(batch.column("ids"), kind)[1])
         while lo < batch.num_rows:
             before = int(upto[lo - 1]) if lo else 0
             hi = min(batch.num_rows, int(np.searchsorted(upto, before + IDS_PER_FILE - total)) + 1)
@@ -226,15 +246,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     with open(tokenizer, encoding="utf-8") as f:
         spec = f.read()
     store = Scratch(docs.sparkSession, "token_files")
-    encoded = store.keep(encode(docs, spec, end_id).withColumns({"n": F.size("ids"), "tie": F.xxhash64("ids"), "rid": F.monotonically_increasing_id()}), "encoded")
-    counts = _counts(encoded)
+    kind = id_bytes(spec, end_id)
+    encoded = store.keep(encode(docs, spec, end_id, kind).withColumns({"tie": F.xxhash64("ids"), "rid": F.monotonically_increasing_id()}), "encoded")
+    counts = _counts(encoded, kind)
     lengths = code_lengths(counts, limit)
     shared = docs.sparkSession.sparkContext.broadcast((lengths, canonical(lengths)[1]))
     tasks = int(min(MOST_TASKS, max(1, -(-int(counts.sum()) // IDS_PER_TASK))))
     order = [F.col("doc_id").asc_nulls_last(), "n", "tie", "rid"]
 
     def write(batches):
-        for file in _files(batches, TaskContext.get().partitionId(), *shared.value):
+        for file in _files(batches, TaskContext.get().partitionId(), kind, *shared.value):
             yield pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], ["value"])
 
     ordered = encoded.repartitionByRange(tasks, *order).sortWithinPartitions(*order)

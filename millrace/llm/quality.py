@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import Scratch
@@ -53,8 +53,8 @@ STEM_CELLS = 1 << (BITS - 1)
 STEM_WORDS = (2, 3)
 FAMILY_CELLS = STEM_CELLS // (len(STEM_SIZES) * len(STEM_WORDS))
 FAMILIES = (0, *range(STEM_CELLS, (1 << BITS) + 1, FAMILY_CELLS))
-#: Of a document that the scorers are fitted on, at most so many cells are used, those of least hash.
-FIT_CELLS = 1024
+#: Fitting is done on so many documents, with so many cells in all, at most: what one task holds.
+SAMPLE, SAMPLE_CELLS = 20_000, 8_000_000
 #: Shares of a text above which a quality labeller says yes, and below which no; for few words it is one minus the share of different words.
 BAD = (0.25, 0.15, 0.2, 0.85, 0.2)
 GOOD = (0.1, 0.08, 0.1, 0.7, 0.1)
@@ -119,9 +119,6 @@ class Features(NamedTuple):
     quality: np.ndarray
     toxic: np.ndarray
 
-    def each(self) -> list[np.ndarray]:
-        return [self.cells[a:b] for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
-
 
 def _per_row(first: np.ndarray, marks: np.ndarray) -> np.ndarray:
     """How many of each row's cells are marked."""
@@ -230,13 +227,29 @@ def fit_labellers(counts: dict[int, int], labellers: int, prior: float, given: i
     return out, chance
 
 
-def train_scorer(rows: list[np.ndarray], target: np.ndarray, passes: int = 3, rate: float = 0.1, sparse: float = 0.4) -> tuple[np.ndarray, float]:
-    """Logistic regression on sets of cells by per-coordinate gradient steps with an L1 pull to zero; weights and bias."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+class Scorer(NamedTuple):
+    """A linear scorer: the cells whose weights are not zero, their weights, and the bias."""
+
+    cells: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.cells] = self.weights
+        return out
+
+
+def train_scorer(rows: list[np.ndarray], target: np.ndarray, passes: int = 3, rate: float = 0.1, sparse: float = 0.4) -> Scorer:
+    """Logistic regression on sets of cells by per-coordinate gradient steps with an L1 pull to zero. State is held for the cells of the rows only."""
+    used = np.flatnonzero(_counts(rows))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    z, n = np.zeros(len(used)), np.zeros(len(used))
     bias, order = 0.0, np.random.Generator(np.random.PCG64(7))
     for _ in range(passes):
         for i in order.permutation(len(rows)):
-            x = rows[i]
+            x = place[rows[i]]
             zx, nx = z[x], np.sqrt(n[x])
             w = -(zx - np.sign(zx) * sparse) * rate / (1 + nx) * (np.abs(zx) > sparse)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -30, 30))) - target[i]
@@ -244,11 +257,9 @@ def train_scorer(rows: list[np.ndarray], target: np.ndarray, passes: int = 3, ra
             z[x] += g - step * w
             n[x] += g * g
             bias -= 0.01 * g
-    # most weights are zero: no further arrays of all cells
-    use = np.flatnonzero((z > sparse) | (z < -sparse))
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[use] = -(z[use] - np.sign(z[use]) * sparse) * rate / (1 + np.sqrt(n[use]))
-    return weights, bias
+    own = np.flatnonzero(np.abs(z) > sparse)
+    weights = -(z[own] - np.sign(z[own]) * sparse) * rate / (1 + np.sqrt(n[own]))
+    return Scorer(used[own], weights.astype(np.float32), bias)
 
 
 def _first_of_kind(rows: list[np.ndarray], alike: float = 0.8) -> np.ndarray:
@@ -257,7 +268,10 @@ def _first_of_kind(rows: list[np.ndarray], alike: float = 0.8) -> np.ndarray:
     salts = (np.arange(1, bands * each + 1, dtype=U64) << U64(40))[:, None]
     seen, out = {}, np.ones(len(rows), bool)
     for i, x in enumerate(rows):
-        least = mix(x.astype(U64)[None, :] + salts).min(axis=1).reshape(bands, each) if len(x) else np.zeros((bands, each), U64)
+        least = np.full(bands * each, np.iinfo(np.uint64).max, U64)
+        for lo in range(0, len(x), 1 << 14):
+            least = np.minimum(least, mix(x[lo : lo + (1 << 14)].astype(U64)[None, :] + salts).min(axis=1))
+        least = least.reshape(bands, each)
         keys = [(k, hash(band.tobytes())) for k, band in enumerate(least)]
         for j in sorted({j for key in keys for j in seen.get(key, ())}):
             both = len(np.intersect1d(x, rows[j], assume_unique=True))
@@ -312,19 +326,13 @@ def _given(labels: DataFrame, column: str, yes: int) -> Column:
     return F.when(n > 0, YES).when(n < 0, NO).otherwise(ABSTAIN)
 
 
-def _fit_cells(cells: np.ndarray) -> np.ndarray:
-    """At most FIT_CELLS of a row's cells, those of least hash; ascending."""
-    if len(cells) <= FIT_CELLS:
-        return cells
-    return np.sort(cells[np.argsort(mix(cells.astype(U64) + RUN[42]), kind="stable")[:FIT_CELLS]])
-
-
-def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[tuple[np.ndarray, float]] | None) -> DataFrame:
+def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[Scorer] | None) -> DataFrame:
     """(doc_id, text_key, quality, toxic, score_q, score_t): patterns without given labels, and scores as log-odds of bad."""
-    shared = docs.sparkSession.sparkContext.broadcast((learned, scorers or []))
+    shared = docs.sparkSession.sparkContext.broadcast((learned, [tuple(x) for x in scorers or []]))
 
     def vote(batches):
         learned, scorers = shared.value
+        scorers = [(Scorer(*x).dense(), x[2]) for x in scorers]
         for batch in batches:
             for part in slices(batch, "text"):
                 own = extract(part)
@@ -336,37 +344,101 @@ def _votes(docs: DataFrame, learned: np.ndarray, scorers: list[tuple[np.ndarray,
     return docs.select("doc_id", "text_key", "text").mapInArrow(vote, "doc_id long, text_key long, quality long, toxic long, score_q double, score_t double")
 
 
-class Sample:
-    """The rows that the scorers are fitted on, in the order of (doc_id, text_key): the same however the documents are partitioned."""
+def sample_table(docs: DataFrame, given: DataFrame, size: int, cells: int, store: Scratch) -> DataFrame:
+    """The rows that scorers are fitted on, in the order of ``place``: labelled ones first, then by hash; ``size`` rows and ``cells`` cells at most, or one row.
 
-    def __init__(self, docs: DataFrame, given: DataFrame, size: int, store: Scratch):
-        known = given.where(f"given_q <> {ABSTAIN} OR given_t <> {ABSTAIN}").withColumn("labelled", F.lit(1))
-        keys = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
-        picked = keys.join(known, "doc_id", "left").orderBy(F.col("labelled").desc_nulls_last(), F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(size)
-        picked = store.keep(picked.select("doc_id", "text_key", F.coalesce("given_q", F.lit(ABSTAIN)).alias("given_q"), F.coalesce("given_t", F.lit(ABSTAIN)).alias("given_t")), "picked")
+    Each has all its cells. The same documents give the same rows however they are partitioned.
+    """
+    known = given.where(f"given_q <> {ABSTAIN} OR given_t <> {ABSTAIN}").withColumn("labelled", F.lit(1))
+    keys = docs.where("doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
+    order = [F.col("labelled").desc_nulls_last(), F.xxhash64("doc_id", "text_key"), "doc_id", "text_key"]
+    picked = keys.join(known, "doc_id", "left").orderBy(*order).limit(size)
+    # numbered in one task: ``size`` rows of numbers
+    picked = picked.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    picked = store.keep(picked.select("place", "doc_id", "text_key", F.coalesce("given_q", F.lit(ABSTAIN)).alias("given_q"), F.coalesce("given_t", F.lit(ABSTAIN)).alias("given_t")), "picked")
+    names = ["place", "given_q", "given_t"]
+
+    def features(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own = extract(part)
+                lists = pa.ListArray.from_arrays(pa.array(own.first.astype(np.int32)), pa.array(own.cells.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(pattern_of(own.quality)), pa.array(pattern_of(own.toxic)), pa.array(own.words), lists], [*names, "quality", "toxic", "words", "cells"])
 
-        def features(batches):
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    own = extract(part)
-                    rows = [_fit_cells(x) for x in own.each()]
-                    at = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-                    names = ["doc_id", "text_key", "given_q", "given_t"]
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(pattern_of(own.quality)), pa.array(pattern_of(own.toxic)), pa.array(own.words), pa.ListArray.from_arrays(at, pa.array(np.concatenate(rows).astype(np.int32)))], [*names, "quality", "toxic", "words", "cells"])
+    # repeated rows go before they reach Python
+    own = docs.join(F.broadcast(picked), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    kept = store.keep(own.select("text", *names).mapInArrow(features, "place int, given_q int, given_t int, quality long, toxic long, words long, cells array<int>"), "features")
+    upto = kept.select("place", F.sum(F.size("cells").cast("long")).over(Window.orderBy("place")).alias("upto"))
+    last = upto.where((F.col("upto") <= cells) | (F.col("place") == 1)).agg(F.max("place")).first()[0]
+    return kept.where(F.col("place") <= (last or 0))
 
-        # repeated rows go before they reach Python; at most ``size`` rows of FIT_CELLS cells come to the driver
-        own = docs.join(F.broadcast(picked), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-        table = own.select("doc_id", "text_key", "text", "given_q", "given_t").mapInArrow(features, "doc_id long, text_key long, given_q int, given_t int, quality long, toxic long, words long, cells array<int>").toArrow()
-        order = np.lexsort((table.column("text_key").to_numpy(), table.column("doc_id").to_numpy()))
-        rows = _slices_of(table.column("cells"))
-        self.rows = [rows[i] for i in order]
-        self.given_q, self.given_t, self.quality, self.toxic, self.words = (table.column(c).to_numpy()[order] for c in ("given_q", "given_t", "quality", "toxic", "words"))
+
+class Sample(NamedTuple):
+    """The sample in the task that fits on it, by place."""
+
+    rows: list[np.ndarray]
+    given_q: np.ndarray
+    given_t: np.ndarray
+    quality: np.ndarray
+    toxic: np.ndarray
+    words: np.ndarray
+
+
+def _sampled(batches) -> Sample | None:
+    batches = list(batches)
+    table = pa.Table.from_batches(batches) if batches else None
+    if table is None or not table.num_rows:
+        return None
+    order = np.argsort(table.column("place").to_numpy())
+    rows = _slices_of(table.column("cells"))
+    return Sample([rows[i] for i in order], *(table.column(c).to_numpy()[order] for c in ("given_q", "given_t", "quality", "toxic", "words")))
+
+
+def learn_from(sample: DataFrame) -> np.ndarray:
+    """``learn_words`` on the sample, in one task; the learned cells come to the driver."""
+
+    def learn(batches):
+        own = _sampled(batches)
+        cells = learn_words(own.rows, own.given_t) if own else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64())], ["cell"])
+
+    return np.sort(sample.coalesce(1).mapInArrow(learn, "cell long").toArrow().column("cell").to_numpy())
+
+
+def train_on(sample: DataFrame, learned: np.ndarray, posts: list[np.ndarray]) -> list[Scorer]:
+    """Scorers for quality and for toxicity, each trained in a task; weights that are not zero come to the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast((learned, posts))
+
+    def trained(question: int):
+        def train(batches):
+            learned, posts = shared.value
+            own = _sampled(batches)
+            if own is None:
+                return
+            if question:
+                said = learned_votes(np.concatenate(own.rows), np.concatenate(([0], np.cumsum([len(x) for x in own.rows]))), own.words, learned)
+                pattern = own.toxic + said[:, 0] * 3**LEARNED_WORDS + said[:, 1] * 3**LEARNED_STEMS + own.given_t * 3**GIVEN_T
+            else:
+                pattern = own.quality + own.given_q * 3**GIVEN_Q
+            made = train_scorer(own.rows, posts[question][pattern])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(made.cells, -1)), pa.array(np.append(made.weights.astype(np.float64), made.bias))], ["cell", "weight"])
+
+        return train
+
+    out = []
+    for question in (0, 1):
+        rows = sample.coalesce(1).mapInArrow(trained(question), "cell long, weight double").toArrow()
+        cells, weights = rows.column("cell").to_numpy(), rows.column("weight").to_numpy()
+        own = np.argsort(cells)
+        own = own[cells[own] >= 0]
+        out.append(Scorer(cells[own], weights[own].astype(np.float32), float(weights[cells < 0].sum())))
+    return out
 
 
-def fit(docs: DataFrame, given: DataFrame, sample: int, store: Scratch) -> tuple[np.ndarray, list[np.ndarray], list[tuple[np.ndarray, float]], list[np.ndarray]]:
+def fit(docs: DataFrame, given: DataFrame, size: int, cells: int, store: Scratch) -> tuple[np.ndarray, list[np.ndarray], list[Scorer], list[np.ndarray]]:
     """The learned cells, the posteriors of all patterns, the scorers, and the labellers' chances, each for quality then toxicity."""
-    own = Sample(docs, given, sample, store)
-    learned = learn_words(own.rows, own.given_t)
+    sample = sample_table(docs, given, size, cells, store)
+    learned = learn_from(sample)
     votes = store.keep(with_given(_votes(docs, learned, None).select("doc_id", "quality", "toxic"), given).select("quality", "toxic"), "votes")
     posts, chances = [], []
     for column, labellers, prior, at in (("quality", len(QUALITY_LABELLERS), 0.2, GIVEN_Q), ("toxic", len(TOXIC_LABELLERS), 0.1, GIVEN_T)):
@@ -375,12 +447,9 @@ def fit(docs: DataFrame, given: DataFrame, sample: int, store: Scratch) -> tuple
         post, chance = fit_labellers(counts, labellers, prior, at)
         posts.append(post)
         chances.append(chance)
-    store.drop("votes", "picked")
-    if not own.rows:
-        return learned, posts, [(np.zeros(1 << BITS, np.float32), 0.0)] * 2, chances
-    said = learned_votes(np.concatenate(own.rows), np.concatenate(([0], np.cumsum([len(x) for x in own.rows]))), own.words, learned)
-    toxic = own.toxic + said[:, 0] * 3**LEARNED_WORDS + said[:, 1] * 3**LEARNED_STEMS + own.given_t * 3**GIVEN_T
-    return learned, posts, [train_scorer(own.rows, posts[0][own.quality + own.given_q * 3**GIVEN_Q]), train_scorer(own.rows, posts[1][toxic])], chances
+    scorers = train_on(sample, learned, posts)
+    store.drop("votes", "picked", "features")
+    return learned, posts, scorers, chances
 
 
 def with_given(votes: DataFrame, given: DataFrame) -> DataFrame:
@@ -389,12 +458,12 @@ def with_given(votes: DataFrame, given: DataFrame) -> DataFrame:
     return joined.withColumns({"quality": F.col("quality") + F.coalesce("given_q", F.lit(ABSTAIN)) * 3**GIVEN_Q, "toxic": F.col("toxic") + F.coalesce("given_t", F.lit(ABSTAIN)) * 3**GIVEN_T})
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cells: int = SAMPLE_CELLS) -> DataFrame:
     """Score every document and decide which to keep.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id, quality (1 good, 0 bad) and toxic (1, 0), for some
     documents; a document with several labels has the majority's. The scorers are
-    fitted on at most ``sample`` documents, labelled ones first, then by hash, and on FIT_CELLS features of each;
+    fitted on at most ``sample`` documents, labelled ones first, then by hash, as many as have ``cells`` features in all, each with all of its own;
     labeller statistics come from all documents. Returns a row per
     input row: doc_id, p_low_quality and p_toxic (the weak labels'
     posterior and the scorer's probability, averaged as log-odds; the posterior
@@ -408,8 +477,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
     store = Scratch(docs.sparkSession, "quality")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_key"))
     given = store.keep(labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(_given(labels, "quality", 0).alias("given_q"), _given(labels, "toxic", 1).alias("given_t")), "given")
-    learned, (post_q, post_t), scorers, _ = fit(docs, given, sample, store)
-    pa.default_memory_pool().release_unused()
+    learned, (post_q, post_t), scorers, _ = fit(docs, given, sample, cells, store)
     store.release()
     scored = with_given(_votes(docs, learned, scorers), given)
 
@@ -423,12 +491,12 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFr
     return out.select("doc_id", "p_low_quality", "p_toxic", ((F.col("p_low_quality") < 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"), "text_key")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cells: int = SAMPLE_CELLS) -> DataFrame:
     """The documents that ``classify`` keeps, with all their columns.
 
     Rows of one (doc_id, text) are scored alike, so all of them stay or none; null ids and null texts
     are compared as values. An empty table gives an empty result.
     """
-    bad = classify(docs, labels, sample).where("NOT keep").select(F.col("doc_id").cast("long").alias("__mr_id"), F.col("text_key").alias("__mr_key")).distinct()
+    bad = classify(docs, labels, sample, cells).where("NOT keep").select(F.col("doc_id").cast("long").alias("__mr_id"), F.col("text_key").alias("__mr_key")).distinct()
     keyed = docs.withColumn("__mr_key", F.xxhash64("text"))
     return keyed.join(bad, keyed["__mr_key"].eqNullSafe(bad["__mr_key"]) & keyed["doc_id"].eqNullSafe(bad["__mr_id"]), "left_anti").drop("__mr_key")

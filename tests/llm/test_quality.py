@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from millrace.llm.quality import ABSTAIN, BELIEF, NO, YES, _first_of_kind, believed, classify, fit_labellers, keep_good, learn_words
+from millrace.llm._store import Scratch
+from millrace.llm.quality import ABSTAIN, BELIEF, NO, YES, _first_of_kind, believed, classify, fit_labellers, keep_good, learn_words, sample_table, train_scorer
 
 
 def corpus(n=700):
@@ -155,3 +156,43 @@ def test_held_out_documents_of_the_tables(spark):
         assert 1 - share([i for i, r in truth.items() if r.toxic]) >= least
         assert 1 - share([i for i, r in truth.items() if not r.quality]) >= 0.95
         assert share([i for i, r in truth.items() if r.quality and not r.toxic]) >= 0.98
+
+
+def test_sampled_documents_keep_all_their_cells(spark):
+    long = " ".join(f"word{i}" for i in range(40_000))
+    docs = [(i, f"{long} own{i}" if i < 3 else f"short text number {i}") for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "xxhash64(text) AS text_key").repartition(3)
+    given = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, given_q int, given_t int")
+    got = lambda size, cells: sorted(len(r.cells) for r in sample_table(d, given, size, cells, Scratch(spark, "sample_test")).collect())
+    whole = got(40, 10**9)
+    assert len(whole) == 40 and whole[-3] > 35_000
+    assert len(got(40, 2 * whole[-1] + 10)) == 2
+    assert len(got(40, 1)) == 1 and len(got(5, 10**9)) == 5
+
+
+def plain_scorer(rows, target, passes=3, rate=0.1, sparse=0.4):
+    """The same steps cell by cell, over a dictionary."""
+    z, n, bias = {}, {}, 0.0
+    weight = lambda c: 0.0 if abs(z.get(c, 0.0)) <= sparse else -(z[c] - np.sign(z[c]) * sparse) * rate / (1 + np.sqrt(n[c]))
+    order = np.random.Generator(np.random.PCG64(7))
+    for _ in range(passes):
+        for i in order.permutation(len(rows)):
+            cells = rows[i].tolist()
+            w = {c: weight(c) for c in cells}
+            g = 1 / (1 + np.exp(-np.clip(sum(w.values()) + bias, -30, 30))) - target[i]
+            for c in cells:
+                step = (np.sqrt(n.get(c, 0.0) + g * g) - np.sqrt(n.get(c, 0.0))) / rate
+                z[c] = z.get(c, 0.0) + g - step * w[c]
+                n[c] = n.get(c, 0.0) + g * g
+            bias -= 0.01 * g
+    return {c: weight(c) for c in z if weight(c)}, bias
+
+
+def test_scorer_against_plain_steps():
+    r = np.random.Generator(np.random.PCG64(4))
+    rows = [np.unique(r.integers(0, 300, int(r.integers(1, 40)))) for _ in range(120)]
+    target = np.array([float(7 in x) * 0.9 for x in rows])
+    made = train_scorer(rows, target)
+    want, bias = plain_scorer(rows, target)
+    assert abs(made.bias - bias) < 1e-9 and made.cells.tolist() == sorted(want)
+    assert np.allclose(made.weights, [want[c] for c in made.cells.tolist()], atol=1e-6)

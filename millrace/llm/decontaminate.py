@@ -1,41 +1,35 @@
 """Benchmark decontamination (operator 3).
 
-Pairs of words that stand next to each other, or with one word between, are seeds.
-A passage that shares so many seeds with an item as any alignment of the wanted
-score must is aligned with it by Smith-Waterman over words; the score tells edited
-and paraphrased copies from chance. No seed is dropped, so none is missed.
+Rare word pairs seed the search. Of an item's pairs of words that stand next to each other, or with one word
+between, those that the fewest documents hold are seeds: so many that any alignment of the wanted score must
+hold some of them. Documents and items are joined on seeds; where enough seeds of an item stand close together, Smith-Waterman over words
+tells edited and paraphrased copies from chance.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import NamedTuple
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._bitmap import bitmap_words, held_in
+from ._skew import count_by, hot_keys, salted_join
+from ._store import Scratch
 from ._words import NOT_ALNUM, RUN, U64, Words, mix, slices, words_of
 
-#: Bytes of test items whose seeds are held at once, some 20 bytes for each; more items are done in so many passes.
-BYTES_AT_ONCE = 8 << 20
-#: Places of seeds that are looked at together, unless one document has more.
-HITS_AT_ONCE = 4_000_000
+#: Seeds of an item that must stand close together in a document before the two are aligned; fewer where an alignment need not have so many.
+SHARED = 4
+#: Items that a text is aligned with in one row; further ones are in further rows.
+ITEMS_AT_ONCE = 256
+#: Texts that are found are broadcast up to this number, else joined.
+BROADCAST_TEXTS = 500_000
+#: Bits of the bitmap of seeds for each seed, and at most (64 MB): the fuller, the more pairs are moved that are no seed.
+SPARE_BITS, MOST_BITS = 10, 29
 MATCH, MISMATCH, GAP = 2, -1, 1
 
 
-class Items(NamedTuple):
-    """Test items: ids, word hashes, and the sorted distinct seeds with their items."""
-
-    ids: list[int | None]
-    words: list[np.ndarray]
-    seeds: np.ndarray
-    first: np.ndarray  # of each seed, its first item
-    item: np.ndarray
-
-
 def _words(texts: pa.Array) -> Words:
     return words_of(pc.utf8_lower(texts), NOT_ALNUM)
 
@@ -51,16 +45,15 @@ def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(at)
 
 
-def load_items(rows: list[tuple[int | None, str | None]], n: int) -> Items:
-    """Items of fewer than n words have no seeds: they match nothing."""
-    w = _words(pa.array([t for _, t in rows], pa.string()))
-    words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(rows))]
-    pairs, at = _pairs(w)
-    item = w.row[at]
-    use = np.array([len(x) >= n for x in words], bool)[item]
-    own = np.unique(np.stack([pairs[use], item[use].astype(U64)]), axis=1)
-    seeds, first = np.unique(own[0], return_index=True)
-    return Items([i for i, _ in rows], words, seeds, np.append(first, own.shape[1]), own[1].astype(np.int64))
+def _whole(words: np.ndarray) -> int:
+    """A hash of a sequence of words."""
+    with np.errstate(over="ignore"):
+        place = np.arange(len(words), dtype=U64) * U64(2) + RUN[3]
+        return int(mix(np.add.reduce(mix(words + place * RUN[4]), keepdims=True))[0])
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
 
 def bounds(size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -87,67 +80,183 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def _passages(w: Words, items: Items, table: np.ndarray, fewest: np.ndarray, most: np.ndarray):
-    """(row, item, begin, end) of all stretches of words that hold enough seeds of an item close together; those that overlap are one."""
+def _items(benchmark: DataFrame, n: int, least: float) -> DataFrame:
+    """(item_id, item_key, words, seeds, fewest, most): an item's words; its pairs, or the hash of all words of one with fewer than n, as seeds; and its bounds.
+
+    ``item_key`` is equal for items of the same words. Items without words go.
+    """
+
+    def read(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = _words(part.column("text"))
+                pairs, at = _pairs(w)
+                order = np.argsort(at, kind="stable")
+                pairs, row = pairs[order], w.row[at[order]]
+                rows = []
+                for i in np.flatnonzero(np.diff(w.first)).tolist():
+                    own = w.hash[w.first[i] : w.first[i + 1]]
+                    fewest, most = (int(x[0]) for x in bounds(np.array([len(own)]), least))
+                    key = _whole(own)
+                    short = len(own) < n
+                    seeds = np.array([key], U64) if short else pairs[np.searchsorted(row, i) : np.searchsorted(row, i, "right")]
+                    rows.append((i, np.array([key], U64), own, seeds, 1 if short else fewest, most))
+                at = pa.array([r[0] for r in rows], pa.int64())
+                lists = [pa.array([_signed(r[k]) for r in rows], pa.list_(pa.int64())) for k in (2, 3)]
+                keys = pa.array([int(_signed(r[1])[0]) for r in rows], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("item_id").take(at), keys, *lists, *[pa.array([r[k] for r in rows], pa.int64()) for k in (4, 5)]], ["item_id", "item_key", "words", "seeds", "fewest", "most"])
+
+    return benchmark.select("item_id", "text").mapInArrow(read, "item_id long, item_key long, words array<long>, seeds array<long>, fewest long, most long")
+
+
+def _seeds_of(w: Words, held: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, word) of all pairs that may be in the bitmap, and of whole rows of fewer than n words."""
     pairs, at = _pairs(w)
-    near = np.flatnonzero(table[pairs >> U64(64 - int(len(table)).bit_length() + 1)])
-    pairs, at = pairs[near], at[near]
-    seed = np.minimum(np.searchsorted(items.seeds, pairs), len(items.seeds) - 1)
-    hit = np.flatnonzero(items.seeds[seed] == pairs)
-    hit = hit[np.argsort(at[hit], kind="stable")]
-    seed, at = seed[hit], at[hit]
-    times = items.first[seed + 1] - items.first[seed]
-    upto = np.cumsum(times)
-    lo = 0
-    while lo < len(at):
-        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + HITS_AT_ONCE, "right"))
-        if hi < len(at):  # back to the begin of a row, or else on to its end
-            row = w.row[at[hi]]
-            begin = int(np.searchsorted(at, w.first[row]))
-            hi = begin if begin > lo else int(np.searchsorted(at, w.first[row + 1]))
-        n, base = times[lo:hi], items.first[seed[lo:hi]]
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(base, n)
-        key = np.unique(items.item[place] * len(w.hash) + np.repeat(at[lo:hi], n))
-        item, word = np.divmod(key, len(w.hash))
-        last = np.arange(len(key)) + fewest[item] - 1
-        inside = last < len(key)
-        last = np.minimum(last, len(key) - 1)
-        k = np.flatnonzero(inside & (item[last] == item) & (w.row[word[last]] == w.row[word]) & (word[last] - word <= most[item]))
-        if len(k):
-            row, item = w.row[word[k]], item[k]
-            begin = np.maximum(word[last[k]] + 1 - most[item], w.first[row])
-            end = np.minimum(word[k] + most[item], w.first[row + 1])
-            new = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (begin[1:] > end[:-1]))))
-            yield from zip(row[new].tolist(), item[new].tolist(), begin[new].tolist(), end[np.append(new[1:], len(k)) - 1].tolist(), strict=True)
-        lo = hi
-
-
-def _aligned(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    """A row for each passage of a document whose alignment with an item reaches ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
+    own = held_in(held, pairs) if len(pairs) else np.zeros(0, bool)
+    short = np.flatnonzero((np.diff(w.first) > 0) & (np.diff(w.first) < n))
+    whole = np.array([_whole(w.hash[w.first[i] : w.first[i + 1]]) for i in short.tolist()], U64)
+    near = held_in(held, whole) if len(whole) else np.zeros(0, bool)
+    return np.concatenate((pairs[own], whole[near])), np.concatenate((at[own], w.first[short[near]]))
+
+
+def _documents_with(docs: DataFrame, held: np.ndarray, n: int) -> DataFrame:
+    """(seed, docs): in how many documents each pair of the bitmap stands; summed in each task first."""
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = _words(part.column("text"))
+                seed, at = _seeds_of(w, shared.value, n)
+                row = w.row[at]
+                order = np.lexsort((row, seed))
+                seed, row = seed[order], row[order]
+                new = np.ones(len(seed), bool)
+                new[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+                keys, times = np.unique(seed[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(times)], ["seed", "docs"])
+
+    return docs.select("text").mapInArrow(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs"))
+
+
+def _places(docs: DataFrame, held: np.ndarray, n: int) -> DataFrame:
+    """(text_key, seed, at): where in each text its seeds stand."""
+    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def find(batches):
-        items = Items(*shared.value)
-        fewest, most = bounds(np.array([len(x) for x in items.words]), least)
-        bits = min(26, max(16, len(items.seeds).bit_length() + 5))
-        table = np.zeros(1 << bits, bool)
-        table[items.seeds >> U64(64 - bits)] = True
+        for batch in batches:
+            for part in slices(batch, "text"):
+                w = _words(part.column("text"))
+                seed, at = _seeds_of(w, shared.value, n)
+                row = w.row[at]
+                yield pa.RecordBatch.from_arrays([part.column("text_key").take(pa.array(row)), pa.array(_signed(seed)), pa.array(at - w.first[row])], ["text_key", "seed", "at"])
+
+    return docs.select("text_key", "text").mapInArrow(find, "text_key long, seed long, at long")
+
+
+def passages(pairs: np.ndarray, at: np.ndarray, size: int, item: np.ndarray, fewest: int, most: int) -> list[tuple[int, int]]:
+    """(begin, end) of all stretches of a text's ``size`` words that hold enough pairs of an item close together; those that overlap are one.
+
+    ``pairs`` ascend, ``at`` is each one's first word; ``item`` holds the item's pairs.
+    """
+    item = np.unique(item)
+    lo, hi = np.searchsorted(pairs, item), np.searchsorted(pairs, item, "right")
+    word = np.unique(np.concatenate([at[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b] or [at[:0]]))
+    if len(word) < fewest:
+        return []
+    first, last = word[: len(word) - fewest + 1], word[fewest - 1 :]
+    close = last - first <= most
+    out: list[tuple[int, int]] = []
+    for a, b in zip(np.maximum(last[close] + 1 - most, 0).tolist(), np.minimum(first[close] + most, size).tolist(), strict=True):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _best(w: np.ndarray, pairs: np.ndarray, at: np.ndarray, words: np.ndarray, fewest: int, most: int, n: int, least: float) -> tuple[float, int] | None:
+    """The best score of an item in a text and the word where that alignment ends, the first of equal ones; None below ``least``."""
+    if len(words) < n:
+        return (1.0, len(w)) if len(w) == len(words) and (w == words).all() else None
+    with np.errstate(over="ignore"):
+        own = [mix(words[:-gap] * RUN[1] + words[gap:] * RUN[2]) for gap in (1, 2)]
+    best = None
+    for a, b in passages(pairs, at, len(w), np.concatenate(own), fewest, most):
+        score, end = alignment(words, w[a:b])
+        if score >= least and (best is None or score > best[0]):
+            best = (score, a + end)
+    return best
+
+
+def _aligned(texts: DataFrame, n: int, least: float) -> DataFrame:
+    """(text_key, item_key, score, end_word) of texts with the items they may hold."""
+
+    def align(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 w = _words(part.column("text"))
                 out = []
-                for r, i, a, b in _passages(w, items, table, fewest, most):
-                    score, end = alignment(items.words[i], w.hash[a:b])
-                    if score >= least:
-                        out.append((r, items.ids[i], score, a + end - int(w.first[r])))
-                row, ids, score, end = zip(*out, strict=True) if out else ([],) * 4
-                took = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(took), part.column("text_key").take(took), pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array(end, pa.int64())],
-                    ["doc_id", "text_key", "item_id", "score", "end_word"],
-                )
+                for r, (key, items) in enumerate(zip(part.column("text_key").to_pylist(), part.column("items").to_pylist(), strict=True)):
+                    own = Words(w.data, w.offsets, *(x[w.first[r] : w.first[r + 1]] for x in (w.start, w.end, w.row, w.hash)), w.first)
+                    pairs, at = _pairs(own) if len(own.hash) else (own.hash, own.row)
+                    order = np.argsort(pairs, kind="stable")
+                    for item in items:
+                        if hit := _best(own.hash, pairs[order], at[order], np.array(item["words"], np.int64).view(U64), item["fewest"], item["most"], n, least):
+                            out.append((key, item["item_key"], *hit))
+                columns = list(zip(*out, strict=True)) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["text_key", "item_key", "score", "end_word"])
+
+    return texts.select("text_key", "text", "items").mapInArrow(align, "text_key long, item_key long, score double, end_word long")
+
+
+def _few(df: DataFrame, rows: int, most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= most else df
 
-    return docs.mapInArrow(find, "doc_id long, text_key long, item_id long, score double, end_word long")
+
+def _texts_found(docs: DataFrame, benchmark: DataFrame, n: int, least: float, store: Scratch) -> DataFrame | None:
+    """(text_key, item_id, score, end_word), written, for every text and item of which it holds a copy; None where there are no items.
+
+    ``docs`` has text and text_key.
+    """
+    items = store.keep(_items(benchmark, n, least), "items")
+    each = store.keep(items.dropDuplicates(["item_key"]).select("item_key", "fewest", "most", F.size("seeds").alias("all"), F.explode("seeds").alias("seed")), "pairs")
+    if each.isEmpty():
+        return None
+
+    def held(seeds: DataFrame) -> np.ndarray:
+        # of counted size, MOST_BITS at most
+        return bitmap_words(seeds, "seed", min(MOST_BITS, max(16, seeds.count().bit_length() + SPARE_BITS)))
+
+    # the rarest of an item's pairs: were SHARED of them not in an alignment, it would have too few of all pairs
+    frequency = _documents_with(docs, held(each), n)
+    ranked = each.join(frequency, "seed", "left").withColumn("nth", F.row_number().over(Window.partitionBy("item_key").orderBy(F.coalesce("docs", F.lit(0)), "seed")))
+    ranked = ranked.withColumn("shared", F.least("fewest", F.lit(SHARED)))
+    rare = store.keep(ranked.where(F.col("nth") <= F.col("all") - F.col("fewest") + F.col("shared")).select("seed", "item_key", "most", "shared").distinct(), "rare")
+    places = store.keep(_places(docs, held(rare), n).distinct(), "places")
+    # a seed that many copies hold is dealt over tasks
+    counts = count_by(places, "seed")
+    joined = salted_join(places, rare, "seed", F.xxhash64("text_key", "at"), hot_keys(counts, "seed", places.count()))
+    joined = joined.select("text_key", "item_key", "at", "most", "shared").distinct()
+    w = Window.partitionBy("text_key", "item_key").orderBy("at")
+    before = F.when(F.col("shared") == 1, F.col("at"))
+    for k in range(2, SHARED + 1):
+        before = before.when(F.col("shared") == k, F.lag("at", k - 1).over(w))
+    near = joined.withColumn("before", before).where(F.col("at") - F.col("before") <= F.col("most")).select("text_key", "item_key").distinct()
+    near = store.keep(near, "near")
+    struct = items.dropDuplicates(["item_key"]).select("item_key", F.struct("item_key", "words", "fewest", "most").alias("item"))
+    lot = F.floor((F.row_number().over(Window.partitionBy("text_key").orderBy("item_key")) - 1) / ITEMS_AT_ONCE)
+    lists = near.withColumn("lot", lot).join(struct, "item_key").groupBy("text_key", "lot").agg(F.collect_list("item").alias("items"))
+    keys = near.select("text_key").distinct()
+    texts = docs.join(_few(keys, keys.count(), BROADCAST_TEXTS), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    found = _aligned(texts.join(lists, "text_key"), n, least)
+    out = store.keep(found.join(items.select("item_key", "item_id"), "item_key").select("text_key", "item_id", "score", "end_word"), "found")
+    store.drop("pairs", "rare", "places", "near", "items")
+    return out
+
+
+def _with_key(docs: DataFrame, key: str) -> DataFrame:
+    return docs.withColumn(key, F.xxhash64("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
@@ -159,27 +268,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float
     item's own, ``least`` at least), end_word (document word where that alignment
     ends) and text_key (equal for equal texts); a pair once for each distinct text.
 
-    Null and empty texts and items of fewer than n words match nothing. Repeated
+    An item of fewer than n words is found in documents that have just its words, in order: its score is 1. Null and empty texts and items without words match nothing. Repeated
     rows give their pairs once; null ids stay null. An empty table on either side
     gives an empty result. Very long texts are searched whole. Every pair that reaches ``least`` is found where
-    ``least`` times an item's words is above 1. Of items with equal id and text one counts. Items are held on the executors
-    BYTES_AT_ONCE of text at a time; further items take further passes. (Seeds are held there, not joined by a shuffle: none is dropped, so a
-    pair of common words would join most documents with most items.)
+    ``least`` times an item's words is above 1: of S pairs of an item at least K are in such an alignment, so of its S - K + SHARED
+    rarest at least SHARED are. Of items with equal id and text one counts; items of equal words are searched for once. The documents are read a fixed number of times however many items there are.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    docs = _with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text_key")
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    passes = max(1, -(-(benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // BYTES_AT_ONCE))
-    found = []
-    for k in range(passes):
-        items = load_items([tuple(r) for r in benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()], n)
-        if not len(items.seeds):
-            continue
-        found.append(_aligned(docs, items, least))
-    if not found:
+    found = _texts_found(docs, benchmark, n, least, Scratch(spark, "decontaminate"))
+    if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long, text_key long")
-    best = reduce(DataFrame.union, found).groupBy("doc_id", "item_id", "text_key").agg(F.max("score").alias("score"), F.max_by("end_word", "score").alias("end_word"))
-    return best.select("doc_id", "item_id", "score", "end_word", "text_key")
+    keys = found.select("text_key").distinct()
+    # copies of a text that many documents share are told apart by their ids before they are moved
+    holders = docs.join(_few(keys, keys.count(), BROADCAST_TEXTS), "text_key", "left_semi").select("doc_id", "text_key").distinct()
+    pairs = holders.join(_few(found, found.count(), BROADCAST_TEXTS), "text_key").distinct()
+    return pairs.select("doc_id", "item_id", "score", "end_word", "text_key")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: float = 0.5) -> DataFrame:
@@ -187,5 +292,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 4, least: floa
 
     Rows of one text stay or go together, whatever their ids; null and empty texts stay. Without documents or items nothing changes.
     """
-    bad = contaminated(docs, benchmark, n, least).select(F.col("text_key").alias("__mr_text_key")).distinct()
-    return docs.withColumn("__mr_text_key", F.xxhash64("text")).join(bad, "__mr_text_key", "left_anti").drop("__mr_text_key")
+    store = Scratch(docs.sparkSession, "decontaminate")
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    found = _texts_found(_with_key(docs.select("text"), "text_key"), benchmark, n, least, store)
+    if found is None:
+        return docs
+    bad = store.keep(found.select(F.col("text_key").alias("__mr_text_key")).distinct(), "bad")
+    keyed, rows = _with_key(docs, "__mr_text_key"), bad.count()
+    if rows <= BROADCAST_TEXTS:
+        return keyed.join(F.broadcast(bad), "__mr_text_key", "left_anti").drop("__mr_text_key")
+    counts = store.keep(count_by(keyed, "__mr_text_key"), "counts")
+    hot = hot_keys(counts, "__mr_text_key", counts.agg(F.sum("n")).first()[0] or 0)
+    marked = salted_join(keyed, bad.withColumn("__mr_bad", F.lit(True)), "__mr_text_key", F.monotonically_increasing_id(), hot, "left")
+    return marked.where("__mr_bad IS NULL").select(docs.columns)

@@ -1,7 +1,7 @@
 import random
 import re
 
-from millrace.llm.decontaminate import alignment, contaminated, decontaminate, load_items
+from millrace.llm.decontaminate import alignment, contaminated, decontaminate
 
 
 def score(item, passage):
@@ -61,15 +61,41 @@ def test_against_brute_force(spark):
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((i for i, t in docs if t not in bad), key=repr)
 
 
-def test_items_in_several_passes(spark, monkeypatch):
+def test_bounds_of_broadcasts_and_lists_do_not_change_results(spark, monkeypatch):
+    import millrace.llm._skew as skew
     import millrace.llm.decontaminate as m
 
     docs, items = corpus()
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    pairs = lambda: sorted((r.doc_id, r.item_id) for r in contaminated(d, b).collect())
-    whole = pairs()
-    monkeypatch.setattr(m, "BYTES_AT_ONCE", 700)
-    assert pairs() == whole
+    docs += [(1000 + k, docs[0][1]) for k in range(60)] + [(2000 + k, f"{docs[3][1]} end{k}") for k in range(60)]
+    items += [(100 + k, items[k][1]) for k in range(3)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda: sorted((r.doc_id, r.item_id, r.score, r.end_word) for r in contaminated(d, b).collect())
+    clean = lambda: sorted(r.doc_id for r in decontaminate(d, b).collect())
+    whole, left = pairs(), clean()
+    assert len(whole) > 150
+    for name, value in (("BROADCAST_TEXTS", 0), ("ITEMS_AT_ONCE", 1), ("MOST_BITS", 7)):
+        monkeypatch.setattr(m, name, value)
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    assert pairs() == whole and clean() == left
+
+
+def test_items_of_few_words_are_matched_whole(spark):
+    items = spark.createDataFrame([(1, "The of, and"), (2, "one"), (3, "two words"), (4, ""), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the OF and!"), (2, "the of and more"), (3, "one"), (4, "one one"), (5, "words two"), (6, "Two  words"), (None, "one"), (7, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.score, r.end_word) for r in contaminated(docs, items).collect()), key=repr)
+    assert got == [(1, 1, 1.0, 3), (3, 2, 1.0, 1), (6, 3, 1.0, 2), (None, 2, 1.0, 1)]
+    assert sorted(r.doc_id for r in decontaminate(docs, items).collect()) == [2, 4, 5, 7]
+
+
+def test_items_do_not_add_reads_of_the_documents(spark):
+    import millrace.llm.decontaminate as m
+
+    docs, items = corpus()
+    assert m.SHARED <= 8
+    many = items + [(100 + k, " ".join(f"own{k}x{i}" for i in range(30))) for k in range(300)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(many, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()}
+    assert got == {(r.doc_id, r.item_id) for r in contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
 
 
 def test_empty_tables(spark):
@@ -78,7 +104,6 @@ def test_empty_tables(spark):
     assert contaminated(docs, none).count() == 0 and decontaminate(docs, none).count() == 1
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contaminated(docs.limit(0), items).count() == 0
-    assert len(load_items([(1, "a b c")], 4).seeds) == 0
 
 
 def test_evenly_edited_copies_are_found(spark):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
+from ._skew import hot_keys, salted_join
 from ._store import Scratch
 
 #: Vectors are held in filters of about this many on average.
@@ -161,10 +162,16 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, seed: int
     links = edges.groupBy("key").agg(F.sum("links").alias("links"))
     found = components(edges.select(F.col("key").alias("u"), F.col("root").alias("v")), store, "cc")
     named = classes.select("key", "copies", "least").join(links, "key", "left").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "key").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    # a component, or the copies of one vector, may be a large part of the rows: dealt over tasks; vectors that aren't compared are not joined
+    named = store.keep(named, "named")
+    roots = store.keep(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"), F.sum("copies").alias("rows")), "roots")
+    total = roots.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    named = salted_join(named, roots.select("root", "component_id"), "root", F.xxhash64("key"), hot_keys(roots, "root", total["n"]))
+    named = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    hot = hot_keys(classes.select("key", F.col("copies").alias("n")), "key", total["rows"])
+    out = salted_join(rows.where("key IS NOT NULL").select("vec_id", "key"), named, "key", F.xxhash64("vec_id"), hot).select("vec_id", "n_links", "component_id")
+    out = out.union(rows.where("key IS NULL").select("vec_id", F.lit(0), "vec_id"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _links(classes: DataFrame, blocks: list[np.ndarray], threshold: float, kind: str, least: float, store: Scratch, name: str) -> DataFrame:

@@ -234,11 +234,18 @@ def _pairs_of_two(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.where(apart <= F.col("na") + F.col("nb") - 2 * needed_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
+def _by_gram(rows: DataFrame, grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows with what ``grams`` has of their gram; those of a gram that very many texts share are dealt over tasks. ``counts`` has gram and n."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return salted_join(rows, grams, "gram", F.xxhash64("rid"), hot_keys(counts, "gram", total))
+
+
+def _mixed(rows: DataFrame, found: DataFrame, store: Scratch, name: str) -> DataFrame:
     """Rows of grams that texts of several components share, with root and c, the gram's texts."""
     rows = rows.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     grams = rows.groupBy("gram").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    return rows.join(grams.select("gram", "c"), "gram")
+    grams = store.keep(grams.select("gram", "c"), f"grams{name}")
+    return _by_gram(rows, grams, grams.select("gram", F.col("c").alias("n")))
 
 
 def _candidates(x: DataFrame, y: DataFrame, on: list[str], percent: int, once: Column) -> DataFrame:
@@ -249,17 +256,18 @@ def _candidates(x: DataFrame, y: DataFrame, on: list[str], percent: int, once: C
     return met.select(F.least("x_rid", "y_rid").alias("a"), F.greatest("x_rid", "y_rid").alias("b")).distinct()
 
 
-def _some_across(rows: DataFrame, k: int, percent: int) -> DataFrame:
+def _some_across(rows: DataFrame, k: int, percent: int, store: Scratch) -> DataFrame:
     """Pairs within buckets of about BUCKET texts, dealt by the text, anew each round."""
     buckets = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("c") / F.lit(BUCKET), F.lit(1.0))))).cast("long")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rid", F.lit(k)), buckets))
     return _candidates(rows, rows, ["gram", "bucket"], percent, F.col("x_rid") < F.col("y_rid"))
 
 
-def _all_across(rows: DataFrame, k: int, percent: int) -> DataFrame:
+def _all_across(rows: DataFrame, k: int, percent: int, store: Scratch) -> DataFrame:
     """All pairs, from all but the largest component under each gram; a gram's texts are dealt over tasks by BLOCK."""
-    main = rows.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    rows = rows.join(main, "gram").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    main = rows.groupBy("gram", "root").count().groupBy("gram").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"))
+    main = store.keep(main, f"main{k}")
+    rows = _by_gram(rows, main.select("gram", "main"), main.select("gram", "n")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     x = rows.where("root <> main").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     y = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return _candidates(x, y, ["gram", "block"], percent, (F.col("y_root") == F.col("y_main")) | (F.col("x_rid") < F.col("y_rid")))
@@ -297,13 +305,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     store.release()
     # most grams are in one text only: a bitmap of fixed size keeps their rows from being moved again
     some = each.join(F.broadcast(bitmap(shared, "gram", BITMAP_BITS)), in_bitmap("gram", BITMAP_BITS)).drop("words")
-    slim = store.keep(some.join(shared, "gram"), "slim")
+    slim = store.keep(_by_gram(some, shared, shared.select("gram", F.col("c").alias("n"))), "slim")
     store.release()
     places = slim.where("c > 2").groupBy("rid").agg(F.collect_list("i").alias("shared"))
     rows = store.keep(_shared_rows(texts.join(places, "rid")), "rows")
 
-    # texts that many documents have
-    hot = hot_keys(texts.select("rid", F.col("copies").alias("n")), "rid", texts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0])
+    # texts that many documents have, those without words among them
+    hot = hot_keys(count_by(feats, "rid"), "rid", feats.count())
     check = lambda pairs, k: _verify(pairs, docs, hot, n, percent, store, str(k))
 
     # under a gram of two texts these two; under others every text with the gram's pivot
@@ -318,9 +326,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     # then pairs across components: those that fall in one bucket under a gram, anew each round while that finds links, and in the end all
     for k in range(1, ROUNDS + 1):
-        rows = store.keep(_mixed(rows, found), f"mixed{k}")
+        rows = store.keep(_mixed(rows, found, store, str(k)), f"mixed{k}")
         last = k == ROUNDS or not links.head(1)
-        pairs = (_all_across if last else _some_across)(rows, k, percent).join(checked, ["a", "b"], "left_anti")
+        pairs = (_all_across if last else _some_across)(rows, k, percent, store).join(checked, ["a", "b"], "left_anti")
         pairs = store.keep(pairs, f"pairs{k}")
         links = check(pairs, k)
         if links.head(1):
@@ -337,6 +345,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     named = salted_join(named, roots.select("root", "component_id"), "root", F.xxhash64("rid"), hot_keys(roots, "root", texts.count()))
     named = store.keep(named.select("rid", "root", "component_id"), "named")
     # the result below reads the documents' rows and named only
-    store.drop("texts", "rows", "star", "links0", "roots", *[f"{x}{j}" for j in range(k + 1) for x in ("mixed", "pairs", "links", "found")])
+    store.drop("texts", "rows", "star", "links0", "roots", *[f"{x}{j}" for j in range(k + 1) for x in ("mixed", "grams", "main", "pairs", "links", "found")])
     out = salted_join(feats.select("doc_id", "rid", "n"), named, "rid", F.xxhash64("doc_id"), hot, "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("rid").alias("text_key"), F.coalesce("root", F.xxhash64(F.lit("alone"), "doc_id", "rid")).alias("group_key"))

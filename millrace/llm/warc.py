@@ -18,10 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._skew import hot_keys, salted_join
+from ._store import Scratch
+
 EOL = "\r\n"
 VERSION = "WARC/1.1"
-#: Records after which an archive is closed and the next one begun.
-RECORDS_PER_FILE = 3_000
+#: An archive is closed by the record that brings it to so many bytes.
+ARCHIVE_BYTES = 64 << 20
+#: Digests of payloads that occur again are broadcast up to this number, else joined.
+BROADCAST_DIGESTS = 100_000
+#: A gzip member of nothing, as text: what stands at the end of each archive where Spark's writer puts a line end.
+_NOTHING = gzip.compress(b"", mtime=0).decode("latin-1")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LAST = 2**63 - 1
 #: Revisits of one response are dealt over so many parts.
@@ -49,7 +56,7 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0) -> None:
-    """Write three records per row of (page_id, url, html) as gzipped archives under ``path``.
+    """Write three records per row of (page_id, url, html) as archives (.warc.gz, a gzip member for each record) under ``path``.
 
     Of payloads that are equal and of ``least_bytes`` or more, the one with the
     smallest page_id is a response and the others are revisits of it. Null html is
@@ -60,8 +67,14 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), base32_sha1(html.cast("binary")).alias("digest"))
     order = F.struct(F.coalesce("page_id", F.lit(_LAST)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"))
-    first = rows.groupBy("digest").agg(F.min(order).alias("first"))
-    rows = rows.join(first, "digest")
+    # only payloads that occur again are looked up: their digests are broadcast while they are few, and no page is moved; else those of one payload are dealt over tasks
+    store = Scratch(pages.sparkSession, "warc_first")
+    first = store.keep(rows.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    few = first.count()
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = first.select("digest", "first")
+    rows = rows.join(F.broadcast(found), "digest", "left") if few <= BROADCAST_DIGESTS else salted_join(rows, found, "digest", F.xxhash64("page_id", "url"), hot_keys(first, "digest", total), "left")
+    rows = rows.withColumn("first", F.coalesce("first", order))
     again = (order != F.col("first")) & (F.octet_length("html") >= least_bytes)
     page, link = order["page_id"], order["url"]
     own, earlier = _urn("response", page, link, F.col("digest")), _urn("response", F.col("first.page_id"), F.col("first.url"), F.col("digest"))
@@ -75,7 +88,38 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     revisit = _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, digest, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", earlier), ("Content-Type", "application/http;msgtype=response")], http)
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", page, link, F.col("digest"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(EOL)))
     records = rows.select(F.explode(F.array(request, F.when(again, revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", EOL + EOL).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
+    def archives(batches):
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column("value"):
+                held.append(gzip.compress(record.as_buffer().to_pybytes() + 2 * EOL.encode(), 6, mtime=0))
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+
+    # Spark's text writer puts the bytes as they are, a file for each row
+    files = records.mapInArrow(archives, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", _NOTHING).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
+    store.drop("first")
+    _named(pages.sparkSession, path)
+
+
+def _named(spark: SparkSession, path: str) -> None:
+    """Give archives the ending of their kind; files of tasks without records go. One call to the store for each archive."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        own = status.getPath()
+        if own.getName().endswith(".txt"):
+            if status.getLen():
+                store.rename(own, jvm.org.apache.hadoop.fs.Path(folder, own.getName().removesuffix(".txt") + ".warc.gz"))
+            else:
+                store.delete(own, False)
 
 
 def parse_warc(stream) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import zlib
 
 import pytest
 
@@ -44,12 +45,19 @@ def test_round_trip(spark, tmp_path, least):
 
 def test_archives_are_plain_warc(spark, tmp_path):
     write_warc(spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
-    n = 0
-    for path in (tmp_path / "w").glob("*.gz"):
+    n = members = 0
+    assert list((tmp_path / "w").glob("part-*")) == list((tmp_path / "w").glob("part-*.warc.gz"))
+    for path in (tmp_path / "w").glob("*.warc.gz"):
+        rest = path.read_bytes()
+        while rest:  # a member for each record, and an empty one
+            one = zlib.decompressobj(31)
+            text = one.decompress(rest)
+            assert text == b"" or text.startswith(b"WARC/1.1") and len(list(parse_warc(io.BytesIO(text)))) == 1
+            members, rest = members + (text != b""), one.unused_data
         for headers, block in parse_warc(io.BytesIO(gzip.decompress(path.read_bytes()))):
             assert headers["warc-record-id"].startswith("<urn:uuid:") and len(block) == int(headers["content-length"])
             n += 1
-    assert n == 3 * len(PAGES)
+    assert n == members == 3 * len(PAGES)
 
 
 def test_captures_without_a_part(spark):

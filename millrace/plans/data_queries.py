@@ -55,10 +55,10 @@ def uniform_sample(t):
 _MEMBER = "SELECT doc_id, CAST({i} AS INT) AS dataset_idx, (row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':1'), doc_id) - 1) // {b} AS batch_idx, count(*) OVER () // {b} AS n FROM documents WHERE lang = '{l}'"
 
 
-@query(f"WITH m AS ({_MEMBER.format(i=0, b=8, l='en')} UNION ALL {_MEMBER.format(i=1, b=4, l='fr')} UNION ALL {_MEMBER.format(i=2, b=4, l='de')}) SELECT doc_id, dataset_idx, CAST(batch_idx AS INT) AS batch_idx FROM m WHERE batch_idx < (SELECT min(n) FROM m)")
+@query(f"WITH m AS ({_MEMBER.format(i=0, b=8, l='en')} UNION ALL {_MEMBER.format(i=1, b=4, l='fr')} UNION ALL {_MEMBER.format(i=2, b=4, l='de')} UNION ALL {_MEMBER.format(i=3, b=4, l='es')}) SELECT doc_id, dataset_idx, CAST(batch_idx AS INT) AS batch_idx FROM m WHERE batch_idx < (SELECT min(n) FROM m)")
 def composite_batches(t):
     docs = t.documents.select("doc_id", "lang")
-    return dataset.composite_batches([docs.where(F.col("lang") == x) for x in ("en", "fr", "de")], [8, 4, 4], "doc_id", 1).drop("rn").transform(_numbered, "doc_id", "dataset_idx")
+    return dataset.composite_batches([docs.where(F.col("lang") == x) for x in ("en", "fr", "de", "es")], [8, 4, 4, 4], "doc_id", 1).drop("rn").transform(_numbered, "doc_id", "dataset_idx")
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text)")

@@ -63,16 +63,20 @@ def text_lines(t):
     return readers.read_lines(t.spark, folder).groupBy("value").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(batch AS BIGINT) AS batch_idx, 16 AS n, TRUE AS sound FROM range(25) r(batch)")
+@query("SELECT p_partkey, p_partkey // 16 AS batch_idx, TRUE AS sound FROM part WHERE p_partkey // 16 < (SELECT count(*) FROM part) // 16")
 def arithmetic_batches(t):
-    sums = readers.arithmetic_problems(t.spark, 25, 16)
+    """A generated problem for every part, in batches of 16; parts that fill no batch get none."""
+    sums = readers.arithmetic_problems(t.spark, t.part.count() // 16, 16)
     ok = F.col("x").between(0, 100) & F.col("y").between(0, 100) & (F.col("answer") == (F.col("x") + F.col("y")).cast("string")) & F.col("question").startswith("What is ")
-    return sums.groupBy("batch_idx").agg(F.count("*").cast("int").alias("n"), F.bool_and(ok).alias("sound"))
+    own = sums.select((F.col("batch_idx") * 16 + F.col("pos")).alias("p_partkey"), "batch_idx", ok.alias("sound"))
+    return t.part.select("p_partkey").join(own, "p_partkey")
 
 
-@query("SELECT number, CASE WHEN row_number() OVER (ORDER BY md5(CAST(number AS VARCHAR) || ':0'), number) <= 921 THEN 'train' ELSE 'test' END AS split FROM range(1024) r(number)")
+@query("WITH n AS (SELECT number, CASE WHEN row_number() OVER (ORDER BY md5(CAST(number AS VARCHAR) || ':0'), number) <= 921 THEN 'train' ELSE 'test' END AS split FROM range(1024) r(number)) SELECT event_id, number, split FROM events JOIN n ON number = event_id % 1024")
 def guess_number_split(t):
-    return readers.guess_numbers(t.spark).select("number", "split")
+    """Every event's number to guess, and which split that number is in."""
+    asked = t.events.select("event_id", (F.col("event_id") % 1024).alias("number"))
+    return asked.join(F.broadcast(readers.guess_numbers(t.spark).select("number", "split")), "number").select("event_id", "number", "split")
 
 
 @query("SELECT max(o_orderkey) AS name, count(*) AS n_valid, max(o_orderkey) % 7 AS epoch, max(o_orderkey) % 11 AS batch, 0 AS missing FROM orders WHERE o_orderkey % 2 = 0")
@@ -146,14 +150,15 @@ def trace_log(t):
     return readers.read_trace(t.spark, folder).groupBy("pid", "tid", "ph").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT count(*) AS n, min(ts) AS first, max(ts) AS last, CAST(count(*) AS BIGINT) AS in_order FROM ({_TRACE})")
+@query(f"SELECT pid, tid, ph, name, ts, CAST(sum(CASE WHEN event_id % 5 = 0 OR event_id = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n, CAST(1 AS BIGINT) AS opens, CAST(1 AS BIGINT) AS closes FROM ({_TRACE}) GROUP BY pid, tid, ph, name, ts")
 def trace_document(t):
-    """The log as one JSON array: its lines put together are read as one document."""
-    lines = writers.trace_array(_trace(t).withColumn("ts", F.col("ts")))
-    kind = "array<struct<ts:double,ph:string,name:string,pid:bigint,tid:bigint>>"
-    document = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("value").startswith("["), 0).when(F.col("value") == "]", 2).otherwise(1).alias("k"), "value"))), lambda x: x["value"]), "").alias("d"))
-    events = document.select(F.from_json("d", kind).alias("e"))
-    return events.select(F.size("e").cast("bigint").alias("n"), F.array_min(F.transform("e", lambda x: x["ts"])).alias("first"), F.array_max(F.transform("e", lambda x: x["ts"])).alias("last"), F.size(F.filter("e", lambda x: x["ph"].isNotNull())).cast("bigint").alias("in_order"))
+    """The log as one JSON array, a fifth of its events twice: every event is read back from its line, and the array opens and closes once."""
+    events = _trace(t)
+    lines = writers.trace_array(events.union(events.where("line_no % 5 = 0")))
+    ends = lines.agg(F.sum(F.col("value").startswith("[").cast("long")).alias("opens"), F.sum(F.col("value").endswith("]").cast("long")).alias("closes"))
+    kind = "ts double, ph string, name string, pid bigint, tid bigint"
+    read = lines.where("value <> ']'").select(F.from_json(F.col("value").substr(F.lit(2), F.length("value")), kind, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    return read.groupBy("pid", "tid", "ph", "name", "ts").agg(F.count("*").alias("n")).join(F.broadcast(ends), F.lit(True))
 
 
 @query("SELECT 'user' AS first_role, source AS question, lang AS answer, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL")
@@ -285,10 +290,14 @@ def checked_embeddings(t):
     return datasets.checked_embeddings(rows, 64, of="text").select("vec_id", F.size("embedding").alias("size"))
 
 
-@query("SELECT name, templates, size FROM (VALUES ('Qwen/Qwen3-8B', 'qwen3,qwen3_disable_thinking', '8B'), ('meta-llama/Llama-3.1-8B', 'role_colon', '8B'), ('openai/gpt-oss-20b', 'gpt_oss_no_sysprompt,gpt_oss_medium_reasoning', '21B-A3.6B'), ('other/model', NULL, NULL)) v(name, templates, size)")
+_MODELS = ["Qwen/Qwen3-8B", "meta-llama/Llama-3.1-8B", "openai/gpt-oss-20b", "other/model"]
+
+
+@query("SELECT doc_id, name, templates, size FROM documents JOIN (VALUES (0, 'Qwen/Qwen3-8B', 'qwen3,qwen3_disable_thinking', '8B'), (1, 'meta-llama/Llama-3.1-8B', 'role_colon', '8B'), (2, 'openai/gpt-oss-20b', 'gpt_oss_no_sysprompt,gpt_oss_medium_reasoning', '21B-A3.6B'), (3, 'other/model', NULL, NULL)) v(k, name, templates, size) ON doc_id % 4 = k")
 def model_lookup(t):
-    names = datasets.literal(t.spark, [("Qwen/Qwen3-8B",), ("meta-llama/Llama-3.1-8B",), ("openai/gpt-oss-20b",), ("other/model",)], "model_name string")
-    return accounting.with_models(names).select(F.col("model_name").alias("name"), F.array_join("templates", ",").alias("templates"), "size")
+    """Documents with the attributes of the model that each is meant for; a model that isn't known has none."""
+    names = t.documents.select("doc_id", F.element_at(F.array(*map(F.lit, _MODELS)), (F.col("doc_id") % 4 + 1).cast("int")).alias("model_name"))
+    return accounting.with_models(names).select("doc_id", F.col("model_name").alias("name"), F.array_join("templates", ",").alias("templates"), "size")
 
 
 @query("SELECT n_name FROM nation WHERE NOT contains(n_name, '1') AND NOT contains(n_name, '03')")

@@ -96,6 +96,8 @@ def test_trace_document_of_no_and_some_events(spark):
     assert json.loads(text([])) == []
     got = json.loads(text([("b", "E", 1, 1, 2.0), ("a", "B", 1, 1, 1.0), ("c", "i", 2, 1, 3.0)]))
     assert [e["name"] for e in got] == ["a", "b", "c"]
+    again = [("a", "B", 1, 1, 1.0)] * 3 + [("z", None, None, 1, None)] * 2 + [("c", "i", 2, 1, 3.0)]
+    assert sorted(e.get("name") for e in json.loads(text(again))) == ["a", "a", "a", "c", "z", "z"]
 
 
 def test_tensor_headers_by_uri(spark, tmp_path):

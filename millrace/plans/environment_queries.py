@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import environment, evaluation, logprob, preference, render, runlog, trajectory
+from ..operators import environment, evaluation, logprob, preference, render, rollout, runlog, trajectory
 from ..sources import datasets
+from ..sources.scratch import scratch_folder
 from ..streaming import streams
 from . import pipelines, protocols
-from .registry import query
+from .registry import ORACLES, query
 from .rollout_queries import _TOK, _rollouts, _streamed, _tokens
 
 _EXAMPLE = "'User: How many r''s are in strawberry? Write your answer in \\boxed{} format.' || chr(10) || chr(10) || 'Assistant: Let''s spell the word out and number all the letters: 1) s 2) t 3) r 4) a 5) w 6) b 7) e 8) r 9) r 10) y. We have r''s at positions 3, 8, and 9. \\boxed{3}' || chr(10) || chr(10)"
@@ -327,7 +328,6 @@ def stale_and_fresh(t):
 def stream_shuffled_batches(t):
     """Batches of a stream, shuffled as they come; rows that fill no batch wait, and are dropped at the end."""
     from ..sources.readers import table_stream
-    from ..sources.scratch import scratch_folder
 
     folder = scratch_folder(t.spark, "shuffled_batches")
     sink = streams.ShuffledBatches(folder, "event_id", 64, seed=3)
@@ -395,3 +395,46 @@ def gold_matches(t):
     said = F.when(even, F.concat(F.lit("the "), "n_name")).otherwise("x")
     given = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("Answer: "), "n_name", F.lit("\n"))).otherwise("nothing")
     return t.nation.select(F.col("n_nationkey"), F.coalesce(text.single_answer(given), F.lit("no answer")).alias("extracted"), said.alias("said"), text.matches_any(said, F.array(F.lit("other"), F.concat(F.lower("n_name"), F.lit("!")))).alias("matches"))
+
+
+@query("""WITH m AS (SELECT *, role || ': ' || text || chr(10) AS line FROM conversations), p AS (SELECT *, '#' || conv_id || chr(10) || coalesce(string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || 'assistant: ' AS prompt FROM m)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS step, md5(prompt) AS prompt_md5, length(text) + 1 AS n_said, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS done FROM p WHERE role = 'assistant'""")
+def rolled_out_conversations(t):
+    """Conversations rolled out turn by turn: each prompt is looked up among completions, what users say next is the observation."""
+    line = lambda m: F.concat(m["role"], F.lit(": "), m["content"], F.lit("\n"))
+    joined = lambda a, n: F.array_join(F.transform(F.slice("messages", a, n), line), "")
+    c = render.conversations(t.conversations).withColumn("at", F.filter(F.sequence(F.lit(1), F.size("messages")), lambda i: F.element_at("messages", i)["role"] == "assistant")).where(F.size("at") > 0)
+    each = c.select("*", F.posexplode("at").alias("turn", "i")).withColumn("following", F.try_element_at("at", F.col("turn") + 2))
+    head = F.concat(F.lit("#"), F.col("conv_id").cast("string"), F.lit("\n"))
+    known = each.select(F.concat(head, joined(F.lit(1), F.col("i") - 1), F.lit("assistant: ")).alias("prompt"), F.concat(F.element_at("messages", F.col("i"))["content"], F.lit("\n")).alias("completion"))
+    replies = each.select("conv_id", "turn", F.concat(joined(F.col("i") + 1, F.col("following") - F.col("i") - 1), F.lit("assistant: ")).alias("observation"), F.col("following").isNull().alias("last"))
+    episodes = c.select("conv_id", F.concat(head, joined(F.lit(1), F.col("at")[0] - 1), F.lit("assistant: ")).alias("prompt"))
+    loop = rollout.TurnRollouts(scratch_folder(t.spark, "rolled_out"), rollout.completed_from(known, ["prompt"]), rollout.ConversationTurns(replies, ["conv_id"]))
+    return loop.run(episodes).select("conv_id", F.col("turn").cast("long").alias("step"), F.md5("prompt").alias("prompt_md5"), F.length("completion").alias("n_said"), "done")
+
+
+@query(ORACLES["guessing_games"])
+def guessing_rollouts(t):
+    """The guessing games rolled out turn by turn: what the replay of whole logs gives, from a loop that sees one turn at a time."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    said = F.when(F.col("event_id") % 7 == 6, "no guess").otherwise(F.concat(F.lit("Guess: "), (F.col("event_id") % 7).cast("string")))
+    known = t.events.select("user_id", (F.row_number().over(w) - 1).alias("turn"), said.alias("completion"))
+    loop = rollout.TurnRollouts(scratch_folder(t.spark, "guessing"), rollout.completed_from(known, ["user_id", "turn"]), rollout.NumberGame())
+    steps = loop.run(t.events.select("user_id").distinct().withColumn("gold", F.lit(3))).where("NOT unanswered")
+    return steps.groupBy("user_id").agg(F.count("*").cast("int").alias("turns"), (F.max("reward") == 1.0).alias("won"), F.sum("reward").alias("reward"))
+
+
+@query(ORACLES["search_replay"])
+def search_rollouts(t):
+    """The search episodes rolled out turn by turn: queries meet a table of results, and an episode ends with an answer or a failure."""
+    k = F.col("o_custkey") % 5
+    episodes = t.orders.select("o_custkey").distinct().withColumns({"question": F.concat(F.lit("q"), F.col("o_custkey").cast("string")), "gold": F.array(F.lit("x"), F.lit("tower"))})
+    turns = episodes.select("o_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("turn"))
+    answers = ((k == 0) & (F.col("turn") >= 2)) | ((k == 4) & (F.col("turn") >= 1))
+    query_of = F.concat((k.cast("string")), F.lit("-"), F.col("turn").cast("string"))
+    known = turns.withColumns({"completion": F.when(k == 0, "Answer: The Tower!").otherwise("I don't know"), "tools": F.when(~answers, F.when(k == 1, F.array(F.lit("other"))).otherwise(F.array(F.lit("search")))), "query": query_of, "parsed": F.lit(True)})
+    results = known.select("query").distinct().withColumn("documents", F.array(F.when(F.col("query") == "3-1", F.repeat(F.lit("d"), 40_000)).otherwise("found")))
+    loop = rollout.TurnRollouts(scratch_folder(t.spark, "searching"), rollout.completed_from(known, ["o_custkey", "turn"]), rollout.SearchTurns(results))
+    steps = loop.run(episodes)
+    own = steps.groupBy("o_custkey").agg(F.count("*").cast("int").alias("turns"), F.max("calls").alias("calls"), F.max("failed").alias("failed"), F.max("format").alias("format"), F.max("correct").alias("correct"), F.round(F.sum("reward"), 6).alias("reward"))
+    return own

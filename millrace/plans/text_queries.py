@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dataset, preference, render
+from ..operators import dataset, preference, render, tokenize
 from .registry import query
 
 _ROLE = "(upper(left(role,1)) || lower(substr(role,2)))"
@@ -134,3 +134,19 @@ def comparison_conversation(t):
     shown = pairs.select("conv_id", preference.comparison_conversation().alias("m"))
     last = F.element_at("m", -1)
     return shown.select("conv_id", F.size("m").cast("bigint").alias("n_messages"), F.concat_ws(": ", last["role"], last["content"]).alias("before_label"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5, octet_length(encode(text)) AS n_bytes FROM documents")
+def token_round_trip(t):
+    """Whole texts as ids of a byte-level vocabulary, and back again."""
+    path = tokenize.vocabulary_path("byte_bpe_50k.json")
+    ids = tokenize.token_ids(t.documents.select("doc_id", "text"), path).drop("text")
+    return tokenize.token_texts(ids, path).select("doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query()
+def sft_token_stats_bpe(t):
+    """Token statistics of rendered conversations by a byte-level vocabulary; held against the library in tests."""
+    c = render.conversations(t.conversations)
+    pieces = c.select("conv_id", render.pieces(c, "role_colon", "all_assistant_messages").alias("pieces"))
+    return tokenize.token_stats(pieces, "conv_id", tokenize.vocabulary_path("byte_bpe_50k.json"), 2048)

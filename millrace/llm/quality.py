@@ -462,7 +462,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cells: in
     """Score every document and decide which to keep.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id, quality (1 good, 0 bad) and toxic (1, 0), for some
-    documents; a document with several labels has the majority's. The scorers are
+    documents; other columns of either are ignored and not returned. A document with several labels has the majority's. The scorers are
     fitted on at most ``sample`` documents, labelled ones first, then by hash, as many as have ``cells`` features in all, each with all of its own;
     labeller statistics come from all documents. Returns a row per
     input row: doc_id, p_low_quality and p_toxic (the weak labels'

@@ -153,7 +153,7 @@ def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated:
 def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_content: bool = True) -> DataFrame:
     """Remove sentences that a repeated run of sentences covers, other than where it first occurs.
 
-    ``docs`` needs a long ``doc_id`` and a string ``text``. A run is ``run``
+    ``docs`` needs a long ``doc_id`` and a string ``text``; other columns are ignored and not returned. A run is ``run``
     consecutive sentences, A-Z lower-cased and white space aside. First is the
     smallest doc_id, and the earliest place within it. Every covered stretch goes, unless a caller
     wants those of fewer than ``least_words`` words to stay. A sentence of

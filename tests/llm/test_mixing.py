@@ -65,3 +65,11 @@ def test_null_ids_do_not_share_a_place(spark):
     df = spark.createDataFrame([(None, "a", f"t{i}") for i in range(400)], "doc_id long, source string, text string")
     out = mix_sources(df, {"a": 1.0}, seed=9, size=1200).collect()
     assert len({r.shuffle_key for r in out}) == len(out) > 0
+
+
+def test_very_long_and_empty_texts_are_repeated_whole(spark):
+    long = "word " * 300_000
+    rows = [(i, "a", text) for i, text in enumerate([long, "", None, "x"] * 5)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), {"a": 1.0}, size=60).collect()
+    texts = {i: t for i, _, t in rows}
+    assert len(out) > 20 and all(r.text == texts[r.doc_id] for r in out) and long in {r.text for r in out}

@@ -91,3 +91,18 @@ def test_the_documents_table_by_brute_force(spark, data):
     rest = brute_capacity([sizes[k] for k in sorted(sizes) if k not in alone], 24 - len(alone))
     assert sorted(load.values())[-1 - len(alone)] <= rest and sorted(load.values(), reverse=True)[: len(alone)] == sorted((sizes[k] for k in alone), reverse=True)
     assert max(v for k, v in load.items() if k >= len(alone)) == rest
+
+
+def test_columns_of_clashing_names_are_replaced_or_stay(spark):
+    from millrace.llm.sharding import shard_documents
+
+    rows = [(i if i % 5 else None, f"text {i % 17} " * (i % 9)) for i in range(120)] + [(1, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    odd = df.selectExpr("*", "'x' AS shard", "'y' AS slot", "1 AS key", "2 AS n", "3 AS rows", "'z' AS law")
+    out = shard_documents(odd, shards=4)
+    assert out.columns == ["doc_id", "text", "key", "n", "rows", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    named = lambda d: sorted(str((r.doc_id, r.text, r["size"], r.shard)) for r in d.collect())
+    assert named(out) == named(shard_documents(df, shards=4))
+    for k in range(4):
+        slots = sorted(r.slot for r in out.where(f"shard = {k}").collect())
+        assert slots == list(range(len(slots)))

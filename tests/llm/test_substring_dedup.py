@@ -118,3 +118,12 @@ def test_frequent_runs_are_joined_as_well(spark, monkeypatch):
     monkeypatch.setattr(m, "BROADCAST_RUNS", 0)
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
     assert rows_of() == whole and sum(n for _, _, n, _ in whole) >= 119 * 5
+
+
+def test_other_columns_are_ignored_whatever_their_names(spark):
+    rows = [(1, f"{P} One tail."), (2, f"{P} Two tail."), (2, f"{P} Two tail."), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    odd = df.selectExpr("*", "1 AS run", "'x' AS place", "2 AS key", "3 AS first", "4 AS n_removed", "array(5) AS removed", "6 AS words")
+    out, plain = substring_dedup(odd), substring_dedup(df)
+    assert out.columns == plain.columns == ["doc_id", "text", "n_sentences", "n_removed", "removed", "first_in"]
+    assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect())) and out.agg({"n_removed": "max"}).first()[0] > 0

@@ -59,3 +59,13 @@ def test_empty_table(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     with pytest.raises((ValueError, KeyError)):
         load_merges(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_all_documents_of_the_table_against_the_library(spark, data):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(PATH)
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = token_counts(docs, PATH).collect()
+    assert len(rows) == docs.count()
+    for row in rows:
+        assert row.n_tokens == len(library.encode(row.text or "", add_special_tokens=False).ids)

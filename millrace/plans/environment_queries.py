@@ -14,6 +14,7 @@ from . import pipelines, protocols
 from .registry import ORACLES, query
 from .rollout_queries import _TOK, _rollouts, _streamed, _tokens
 
+#: The example that comes before a problem, as the SQL expects it. A fixed value.
 _EXAMPLE = "'User: How many r''s are in strawberry? Write your answer in \\boxed{} format.' || chr(10) || chr(10) || 'Assistant: Let''s spell the word out and number all the letters: 1) s 2) t 3) r 4) a 5) w 6) b 7) e 8) r 9) r 10) y. We have r''s at positions 3, 8, and 9. \\boxed{3}' || chr(10) || chr(10)"
 
 

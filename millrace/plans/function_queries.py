@@ -65,6 +65,7 @@ def number_functions(t):
     )
 
 
+#: The coding prompt as the SQL expects it. Fixed values.
 _PROMPT = "You are an expert Python programmer. You will be given a question (problem specification) and will generate a correct Python program that matches the specification and passes all tests."
 _STARTER = "You will use the following starter code to write the solution to the problem and enclose your code within delimiters."
 _NO_STARTER = "Read the inputs from stdin solve the problem and write the answer to stdout (do not directly test on the sample inputs). Enclose your code within delimiters as follows. Ensure that when the python program runs, it reads the inputs, runs the algorithm and writes output to STDOUT."
@@ -141,17 +142,35 @@ _GRADES = [("1,000", "1000", True), (r"50\%", "50", True), ("2+2", "4", False),
 _sql = lambda rows: ", ".join("(" + ", ".join(str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
 
 
-@query(f"SELECT r_regionkey, answer, competition, lenient FROM region, (VALUES {_sql(_FORMS)}) f(answer, competition, lenient)")
+@query(f"SELECT p_partkey, f.answer, f.competition, f.lenient FROM part JOIN (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_sql(_FORMS)}) v(answer, competition, lenient)) f ON p_partkey % {len(_FORMS)} = k")
 def answer_forms(t):
-    rows = t.region.select("r_regionkey", F.explode(F.array(*[F.lit(a) for a, _, _ in _FORMS])).alias("answer"))
-    return rows.select("r_regionkey", "answer", grade.normal_form("answer").alias("competition"), grade.lenient_answer("answer").alias("lenient"))
+    """Answers of all kinds, one for each part, in either normal form."""
+    answers = F.array(*[F.lit(a) for a, _, _ in _FORMS])
+    rows = t.part.select("p_partkey", F.element_at(answers, (F.col("p_partkey") % len(_FORMS) + 1).cast("int")).alias("answer"))
+    return rows.select("p_partkey", "answer", grade.normal_form("answer").alias("competition"), grade.lenient_answer("answer").alias("lenient"))
 
 
-@query(f"SELECT r_regionkey, given, truth, correct FROM region, (VALUES {_sql(_GRADES)}) f(given, truth, correct)")
+@query(f"SELECT p_partkey, f.given, f.truth, f.correct FROM part JOIN (SELECT *, row_number() OVER () - 1 AS k FROM (VALUES {_sql(_GRADES)}) v(given, truth, correct)) f ON p_partkey % {len(_GRADES)} = k")
 def graded_pairs(t):
+    """A given answer and the truth for each part, graded."""
     pairs = F.array(*[F.struct(F.lit(a).alias("given"), F.lit(b).alias("truth")) for a, b, _ in _GRADES])
-    rows = t.region.select("r_regionkey", F.inline(pairs))
-    return rows.select("r_regionkey", "given", "truth", grade.grade_answer("given", "truth").alias("correct"))
+    rows = t.part.select("p_partkey", F.element_at(pairs, (F.col("p_partkey") % len(_GRADES) + 1).cast("int")).alias("p"))
+    return rows.select("p_partkey", "p.given", "p.truth", grade.grade_answer("p.given", "p.truth").alias("correct"))
+
+
+@query("SELECT p_partkey, CAST(k AS INT) AS spelling, k <> 3 AS same, k = 5 AS gated FROM part, range(6) r(k)")
+def algebra_grade(t):
+    """Expressions in each part's size, told equal by algebra: expanded squares, fractions, roots, products in another order; one is another number, one is spelled alike."""
+    n = F.col("p_size").cast("string")
+    two, square, next_n = (x.cast("string") for x in (F.col("p_size") * 2, F.col("p_size") * F.col("p_size"), F.col("p_size") + 1))
+    pair = lambda *parts: F.struct(F.concat(*parts[0]).alias("given"), F.concat(*parts[1]).alias("truth"))
+    lit = F.lit
+    pairs = F.array(
+        pair([lit("(x+"), n, lit(")^2")], [lit("x^2+"), two, lit("x+"), square]), pair([lit("\\frac{"), n, lit("}{2}x")], [n, lit("x/2")]), pair([lit("\\sqrt{"), square, lit("}+y")], [lit("y+"), n]),
+        pair([next_n, lit("x")], [n, lit("x")]), pair([n, lit("ab")], [lit("b"), n, lit("a")]), pair([n], [n, lit(".0")]),
+    )
+    rows = t.part.select("p_partkey", F.posexplode(pairs).alias("spelling", "p"))
+    return rows.select("p_partkey", "spelling", grade.grade_answer_by_algebra("p.given", "p.truth").alias("same"), grade.grade_answer("p.given", "p.truth").alias("gated"))
 
 
 _N = "CAST(p_size AS VARCHAR)"

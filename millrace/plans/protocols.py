@@ -53,6 +53,12 @@ class Logger(Protocol):
 
     def log_config(self, config: Any) -> None: ...
 
+    def log_long_text(self, key: str, texts: DataFrame) -> None: ...
+
+    def sync(self) -> None: ...
+
+    def location(self) -> str: ...
+
     def close(self) -> None: ...
 
 
@@ -81,16 +87,22 @@ class TableTool:
 
 
 class FileLogger:
-    """A logger that appends metrics to a folder of JSON lines."""
+    """A logger that appends metrics to a folder of JSON lines, and long texts beside them.
 
-    def __init__(self, path: str):
-        self.path, self.config, self.open = path, None, True
+    ``run`` names the run among those that log to the folder. Its texts are numbered: a run that is started again and logs them again leaves one copy of each.
+    """
 
-    def log_metrics(self, metrics: DataFrame) -> None:
-        from ..sources.writers import write_metrics
+    def __init__(self, path: str, run: str = "run"):
+        self.path, self.run, self.config, self.open, self.texts_logged = path, run, None, True, 0
 
+    def _check(self) -> None:
         if not self.open:
             raise ValueError("the logger is closed")
+
+    def log_metrics(self, metrics: DataFrame) -> None:
+        from ..sources.writers import write_metrics
+
+        self._check()
         write_metrics(metrics, self.path)
 
     def log_config(self, config: Any) -> None:
@@ -98,6 +110,28 @@ class FileLogger:
 
         self.config = config_json(config)
 
+    def log_long_text(self, key: str, texts: DataFrame) -> None:
+        """Append rows (step, text) under a key."""
+        from ..sources.appended import append_once
+
+        self._check()
+        append_once(texts.select(F.lit(key).alias("key"), "step", "text"), f"{self.path}/_texts", f"{self.run}-{self.texts_logged:09d}")
+        self.texts_logged += 1
+
+    def long_texts(self, spark) -> DataFrame:
+        """(key, step, text) of all runs."""
+        from ..sources.appended import read_appended
+
+        return read_appended(spark, f"{self.path}/_texts", "key string, step long, text string").drop("batch")
+
+    def sync(self) -> None:
+        """Everything logged is written when a call returns: nothing waits."""
+        self._check()
+
+    def location(self) -> str:
+        """Where the logs can be looked at."""
+        return self.path
+
     def close(self) -> None:
         self.open = False
 

@@ -140,6 +140,21 @@ def test_file_logger(spark, tmp_path):
         log.log_metrics(spark.range(1))
 
 
+def test_long_texts_are_logged_once(spark, tmp_path):
+    for _ in range(2):  # a run, and the same run started again
+        log = protocols.FileLogger(str(tmp_path / "log"), "first")
+        log.log_metrics(spark.createDataFrame([("r", 1, "loss", 0.5)], "run_id string, step long, key string, value double"))
+        log.log_long_text("sample", spark.createDataFrame([(1, "a\nb"), (2, "c" * 10_000)], "step long, text string"))
+        log.log_long_text("other", spark.createDataFrame([(1, None)], "step long, text string"))
+        log.sync()
+    assert sorted((r.key, r.step, r.text) for r in log.long_texts(spark).collect()) == [("other", 1, None), ("sample", 1, "a\nb"), ("sample", 2, "c" * 10_000)]
+    assert log.location() == str(tmp_path / "log") and spark.read.json(log.location()).count() == 2
+    log.close()
+    for call in (log.sync, lambda: log.log_long_text("x", spark.range(1))):
+        with pytest.raises(ValueError, match="closed"):
+            call()
+
+
 def test_coloured_text_is_the_text(spark):
     import re
 

@@ -20,8 +20,10 @@ from ._store import Scratch
 
 #: Vectors are held in filters of about this many on average.
 FILTER_ROWS = 256
-#: Filters that a vector is in on average, and at least.
-FILTERS, FILTERS_LEAST = 32, 8
+#: Filters that a vector is in on average to begin with, and at least; they are doubled up to so many until the wanted share of links is found.
+FILTERS, FILTERS_LEAST, FILTERS_MOST = 32, 8, 512
+#: Pairs just at the threshold on which that share is measured.
+TRIALS = 400
 #: Vectors on which the threshold is fitted, those of least hash.
 SAMPLE = 4096
 #: Larger filters are compared block by block.
@@ -78,6 +80,30 @@ def fit_threshold(sample: np.ndarray, blocks: list[np.ndarray], filters: int) ->
     return hi
 
 
+def share_found(unit: np.ndarray, blocks: list[np.ndarray], threshold: float, least: float, seed: int) -> float:
+    """Of pairs of vectors whose cosine is ``least`` just so, the share that have a filter in common: vectors of the data, each with one made at that angle."""
+    rng = np.random.Generator(np.random.PCG64([seed, 1]))
+    x = unit[rng.integers(0, len(unit), TRIALS)]
+    away = rng.standard_normal(x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(away, axis=1, keepdims=True)
+    y = least * x + np.sqrt(1 - least * least) * away / np.where(size > 0, size, 1)
+    return float(np.mean([len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(filters_of(x, blocks, threshold), filters_of(y, blocks, threshold), strict=True)]))
+
+
+def fitted(sample: np.ndarray, count: int, least: float, recall: float, seed: int) -> tuple[list[np.ndarray], float, float]:
+    """Directions and threshold for ``count`` vectors of which these are some: as many filters as find a share ``recall`` of links at the threshold; and that share."""
+    filters = FILTERS
+    while True:
+        codes = max(2, int(np.ceil(np.sqrt(filters * count / FILTER_ROWS))))
+        blocks = directions(sample.shape[1], codes, seed)
+        threshold = fit_threshold(sample, blocks, filters)
+        share = share_found(sample, blocks, threshold, least, seed)
+        if share >= recall or filters >= FILTERS_MOST:
+            return blocks, threshold, share
+        filters *= 2
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
@@ -119,7 +145,7 @@ def _compare(keys: np.ndarray, copies: np.ndarray, unit: np.ndarray, lists, bloc
     return links, root
 
 
-def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, seed: int = 1) -> DataFrame:
+def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, seed: int = 1, recall: float = 0.97) -> DataFrame:
     """Links between vectors of cosine ``least`` or more, and the components they make.
 
     ``vectors`` needs a long ``vec_id`` and an ``embedding`` array of floats or doubles;
@@ -131,7 +157,8 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, seed: int
     with nothing. Vectors of different length don't link. Equal vectors are compared
     once and each counts. Repeated rows are rows of their own; null ids link but name no
     component. An empty table gives an empty result. Links found are exact; a link
-    is missed only if its vectors share no filter.
+    is missed only if its vectors share no filter; the number of filters is chosen so that a share ``recall`` of
+    pairs just at the threshold, made from SAMPLE of the vectors, share one (closer ones do so more often), FILTERS_MOST at most.
     """
     spark = vectors.sparkSession
     store = Scratch(spark, "embedding_dedup")
@@ -145,12 +172,10 @@ def embedding_near_duplicates(vectors: DataFrame, least: float = 0.95, seed: int
 
     parts = []
     for row in classes.groupBy("dim").count().orderBy("dim").collect():
-        dim, codes = row["dim"], max(2, int(np.ceil(np.sqrt(FILTERS * row["count"] / FILTER_ROWS))))
-        blocks = directions(dim, codes, seed)
-        own = classes.where(F.col("dim") == dim)
+        own = classes.where(F.col("dim") == row["dim"])
         sample = own.orderBy(F.xxhash64("key")).limit(SAMPLE).select("embedding").toArrow()
-        threshold = fit_threshold(_unit(_matrix(sample.column("embedding").combine_chunks())), blocks, FILTERS)
-        parts.append(_links(own, blocks, threshold, kind, least, store, str(dim)))
+        blocks, threshold, _ = fitted(_unit(_matrix(sample.column("embedding").combine_chunks())), row["count"], least, recall, seed)
+        parts.append(_links(own, blocks, threshold, kind, least, store, str(row["dim"])))
     edges = None
     for p in parts:
         edges = p if edges is None else edges.union(p)

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+
 
 from millrace.llm.embedding_dedup import directions, embedding_near_duplicates, list_decode
 
@@ -88,3 +90,16 @@ def test_a_vector_has_the_same_products_in_any_company():
         for which in ([0], [7, 3], list(range(5, 40, 3)), list(range(40))):
             for a, b in zip(whole, _block_products(unit[which], blocks), strict=True):
                 assert (a[which] == b).all()
+
+
+@pytest.mark.parametrize(("dim", "count"), [(64, 10_000), (64, 10_000_000), (384, 10_000_000)])
+def test_filters_follow_from_the_wanted_recall(dim, count):
+    from millrace.llm.embedding_dedup import fitted, share_found
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    unit = rng.standard_normal((300, dim))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    blocks, threshold, share = fitted(unit, count, 0.95, 0.97, 1)
+    assert share >= 0.97
+    # other pairs at the threshold do nearly as well, closer ones better
+    assert share_found(unit, blocks, threshold, 0.95, 9) >= 0.93 and share_found(unit, blocks, threshold, 0.98, 9) >= 0.97

@@ -6,8 +6,12 @@ and trajectories(group_id, traj_idx, final_reward, metrics) are the tables.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.arrays import inputs, is_prefix, targets
 
@@ -147,3 +151,36 @@ def mean_length(rows: DataFrame, text: str) -> DataFrame:
     """Mean length of the texts that are there, in characters."""
     return rows.agg(F.avg(F.length(text)).alias("mean_length"))
 
+
+def scanned(x: np.ndarray, begins: np.ndarray, gamma: float, carry: float) -> np.ndarray:
+    """y[t] = x[t] + gamma * y[t - 1] within stretches that begin where ``begins`` is true; ``carry`` is y before the first row. In steps of doubling reach."""
+    stretch, y, reach = np.cumsum(begins), x.astype(np.float64), 1
+    if len(y) and not begins[0]:
+        y[0] += gamma * carry
+    while reach < len(y) and gamma**reach > 0:
+        y[reach:] = y[reach:] + np.where(stretch[reach:] == stretch[:-reach], gamma**reach * y[:-reach], 0.0)
+        reach *= 2
+    return y
+
+
+def discounted_rows(steps: DataFrame, by: str, step: str, reward: str, gamma: float, name: str = "future") -> DataFrame:
+    """Add ``name``: each step's reward and what follows it in its trajectory, discounted by gamma a step; a row for each step, in no array. Null rewards count as 0.
+
+    A trajectory's steps lie in one partition, last ones first; what follows a batch's rows is carried from batch to batch.
+    """
+    rows = steps.drop(name).repartition(by).sortWithinPartitions(by, F.col(step).desc())
+    names = rows.columns
+
+    def add(batches):
+        last, carry, seen = None, 0.0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(by).dictionary_encode()
+            code = key.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            begins = np.concatenate(([not seen or batch.column(by)[0].as_py() != last], code[1:] != code[:-1]))
+            y = scanned(pc.fill_null(batch.column(reward).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False), begins, gamma, carry)
+            last, carry, seen = batch.column(by)[batch.num_rows - 1].as_py(), float(y[-1]), True
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y)], [*names, name])
+
+    return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField(name, DoubleType())]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -89,20 +88,7 @@ def discounted_return(t):
     """Trajectories are all events of a user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = t.events.select("user_id", (F.row_number().over(w) - 1).alias("step"), "value")
-    # a user's events stay in one partition, last ones first; what follows a row is carried from batch to batch
-    rows = e.sortWithinPartitions("user_id", F.col("step").desc())
-
-    def add(batches):
-        last, future = None, 0.0
-        for batch in batches:
-            out = []
-            for user, x in zip(batch.column("user_id").to_pylist(), batch.column("value").to_pylist(), strict=True):
-                future = (x or 0.0) + (0.9 * future if user == last else 0.0)
-                last = user
-                out.append(future)
-            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("step"), pa.array(out, pa.float64())], ["user_id", "step", "future"])
-
-    return rows.mapInArrow(add, "user_id long, step int, future double").withColumn("future", F.round(F.col("future") + 1e-9, 4))
+    return trajectory.discounted_rows(e, "user_id", "step", "value", 0.9).select("user_id", "step", F.round(F.col("future") + 1e-9, 4).alias("future"))
 
 
 @query("WITH w AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) SELECT user_id, CAST(min(turn) FILTER (event_type = 'purchase') AS INT) AS won_at, CASE WHEN min(turn) FILTER (event_type = 'purchase') IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS reward, CAST(coalesce(min(turn) FILTER (event_type = 'purchase'), max(turn)) AS INT) AS turns FROM w WHERE turn <= 10 GROUP BY user_id")

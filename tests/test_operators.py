@@ -209,3 +209,21 @@ def test_stream_batches_count_invalid_items(spark, tmp_path):
         return sorted(sum(r.batch_idx == b for r in rows) for b in {r.batch_idx for r in rows})
 
     assert sum(run()) == 9 and run(valid_only=True) == [4, 4]
+
+
+def test_discounted_rows_by_plain_loops(spark):
+    import random
+
+    from millrace.operators.trajectory import discounted_rows
+
+    r = random.Random(9)
+    rows = [(k if k else None, s, r.choice([None, 1.0, -0.5, r.random()])) for k in range(5) for s in range([0, 1, 7, 300, 25_000][k])]
+    want = {}
+    for k in {k for k, _, _ in rows}:
+        future = 0.0
+        for _, s, x in sorted((x for x in rows if x[0] == k), key=lambda x: -x[1]):
+            want[k, s] = future = (x or 0.0) + 0.99 * future
+    shuffled = spark.createDataFrame(r.sample(rows, len(rows)), "who long, step int, reward double").selectExpr("*", "'x' AS future")
+    got = {(x.who, x.step): x.future for x in discounted_rows(shuffled, "who", "step", "reward", 0.99).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert discounted_rows(shuffled.limit(0), "who", "step", "reward", 0.99).count() == 0

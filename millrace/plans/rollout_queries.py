@@ -231,15 +231,20 @@ def _minibatched(t, build):
         t.spark.conf.unset(setting) if before is None else t.spark.conf.set(setting, before)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS lane, (row_number() OVER (ORDER BY event_id) - 1) // 64 AS batch_idx, event_id AS item FROM events QUALIFY (row_number() OVER (ORDER BY event_id) - 1) // 64 < (SELECT count(*) FROM events) // 64")
+_LANES = 4
+_FILLED = "WITH v AS (SELECT event_id % {lanes} AS lane, event_id, row_number() OVER (PARTITION BY event_id % {lanes} ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY event_id % {lanes}) AS n FROM events WHERE {valid}) SELECT lane, k // 64 AS batch_idx, event_id AS item FROM v WHERE k // 64 < n // 64"
+
+
+@query(_FILLED.format(lanes=_LANES, valid="TRUE"))
 def stream_minibatch(t):
-    return _minibatched(t, lambda s: streams.minibatches(s, "event_id", 64))
+    """Four lanes of batches side by side."""
+    return _minibatched(t, lambda s: streams.minibatches(s, "event_id", 64, lane=F.col("event_id") % _LANES))
 
 
-@query("WITH v AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k, count(*) OVER () AS n FROM events WHERE event_id % 4 <> 0) SELECT CAST(0 AS BIGINT) AS lane, k // 64 AS batch_idx, event_id AS item FROM v WHERE k // 64 < n // 64")
+@query(_FILLED.format(lanes=_LANES, valid="event_id % 5 <> 0"))
 def stream_valid_minibatch(t):
     """A batch is full with so many valid items; the others don't count."""
-    return _minibatched(t, lambda s: streams.minibatches(s.withColumn("ok", F.col("event_id") % 4 != 0), "event_id", 64, valid="ok", valid_only=True))
+    return _minibatched(t, lambda s: streams.minibatches(s.withColumn("ok", F.col("event_id") % 5 != 0), "event_id", 64, valid="ok", valid_only=True, lane=F.col("event_id") % _LANES))
 
 
 @query("WITH e AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, value, max(ts) OVER () AS last FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM e WHERE start + INTERVAL 1 hour <= last - INTERVAL 10 minute GROUP BY start, event_type")

@@ -20,7 +20,7 @@ from ._store import Scratch
 from ._words import ASCII_SPACE, LOWER_AZ, RUN, U64, Words, mix, slices, words_of
 
 #: A sentence longer than this counts as several, cut after so many words or where its words say.
-SENTENCE_WORDS = 12
+SENTENCE_WORDS, MOST_SENTENCE_WORDS = 12, 22
 #: Where words say: at the least hash of two words in any so many places.
 CUT_WINDOW = 6
 #: A run with part of a sentence has so many words at least.
@@ -46,10 +46,10 @@ class Sentences(NamedTuple):
     opens: np.ndarray  # False for what goes on with the sentence before, by content
 
 
-def _content_cuts(w: Words, begin: np.ndarray) -> np.ndarray:
+def _content_cuts(w: Words, begin: np.ndarray, sentence_words: int) -> np.ndarray:
     """Words inside long sentences at which a new part begins, decided by the words around: equal passages have equal cuts but for some words at their ends."""
     n, size = len(w.hash), np.diff(np.append(begin, len(w.hash)))
-    end = np.repeat(np.where(size > SENTENCE_WORDS, begin + size, 0), size)
+    end = np.repeat(np.where(size > sentence_words, begin + size, 0), size)
     inner = np.ones(n, bool)
     inner[begin] = False
     at = np.flatnonzero(inner & (np.arange(n) + CUT_WINDOW <= end))
@@ -62,10 +62,16 @@ def _content_cuts(w: Words, begin: np.ndarray) -> np.ndarray:
         other = two[at + j]
         less = other <= best
         best[less], place[less] = other[less], at[less] + j
-    return np.unique(place)
+    return _ascending(place)
 
 
-def sentences_of(w: Words, by_content: bool = False) -> Sentences:
+def _ascending(x: np.ndarray) -> np.ndarray:
+    """The different numbers, ascending; by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def sentences_of(w: Words, by_content: bool = False, sentence_words: int = SENTENCE_WORDS) -> Sentences:
     """Sentences end at a line break, or at a word ending in a full stop, '!' or '?'."""
     n = len(w.hash)
     if not n:
@@ -77,23 +83,23 @@ def sentences_of(w: Words, by_content: bool = False) -> Sentences:
     begin = np.concatenate(([0], np.flatnonzero(last[:-1]) + 1))
     opens = np.ones(n, bool)
     if by_content:
-        cuts = _content_cuts(w, begin)
+        cuts = _content_cuts(w, begin, sentence_words)
         opens[cuts] = False
-        begin = np.union1d(begin, cuts)
+        begin = _ascending(np.concatenate((begin, cuts)))
     place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    begin = np.flatnonzero(place % SENTENCE_WORDS == 0)
+    begin = np.flatnonzero(place % sentence_words == 0)
     with np.errstate(over="ignore"):
-        h = mix(np.add.reduceat(w.hash * RUN[1 + place % SENTENCE_WORDS], begin))
+        h = mix(np.add.reduceat(w.hash * RUN[1 + place % sentence_words], begin))
     row = w.row[begin]
     stop = np.append(w.start[begin[1:]], len(w.data))
     stop = np.minimum(stop, w.offsets[row + 1])
     return Sentences(w.start[begin], stop, np.diff(np.append(begin, n)), h, np.searchsorted(row, np.arange(len(w.offsets))), opens[begin])
 
 
-def runs_of(s: Sentences, row: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(s: Sentences, row: int, length: int, part_words: int = PART_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A row's runs: hashes, and the parts at which each begins and ends.
 
-    Runs of so many sentences; and from every part runs of so many parts and PART_WORDS words, if
+    Runs of so many sentences; and from every part runs of so many parts and ``part_words`` words, if
     a sentence cut by content is among them.
     """
     lo, n = s.first[row], s.first[row + 1] - s.first[row]
@@ -113,7 +119,7 @@ def runs_of(s: Sentences, row: int, length: int) -> tuple[np.ndarray, np.ndarray
         if len(bound) - 1 == n:
             return out, start, stop
         words = np.append(0, np.cumsum(s.words[lo : lo + n]))
-        end = np.maximum(np.searchsorted(words, words[:-1] + PART_WORDS), np.arange(n) + length)
+        end = np.maximum(np.searchsorted(words, words[:-1] + part_words), np.arange(n) + length)
         cut = ~opens
         cut[:-1] |= cut[1:]  # the part that opens a cut sentence too
         cuts = np.append(0, np.cumsum(cut))
@@ -125,9 +131,9 @@ def runs_of(s: Sentences, row: int, length: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate((out, mix(more + RUN[63]))), np.concatenate((start, at)), np.concatenate((stop, end[at]))
 
 
-def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated: np.ndarray, least_words: int) -> tuple[bytes, list[bytes], int, np.ndarray]:
+def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated: np.ndarray, least_words: int, part_words: int = PART_WORDS) -> tuple[bytes, list[bytes], int, np.ndarray]:
     """The text without covered sentences, what went, how many sentences went, and the runs that made them go."""
-    runs, start, stop = runs_of(s, row, length)
+    runs, start, stop = runs_of(s, row, length, part_words)
     lo, n = s.first[row], s.first[row + 1] - s.first[row]
     again = np.ones(len(runs), bool)
     again[np.unique(runs, return_index=True)[1]] = False
@@ -150,16 +156,16 @@ def _clean(text: bytes, at: int, s: Sentences, row: int, length: int, repeated:
     return b"".join([*kept, text[pos:]]), gone, count, runs[by]
 
 
-def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_content: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_content: bool = True, sentence_words: int = SENTENCE_WORDS, part_words: int = PART_WORDS) -> DataFrame:
     """Remove sentences that a repeated run of sentences covers, other than where it first occurs.
 
     ``docs`` needs a long ``doc_id`` and a string ``text``; other columns are ignored and not returned. A run is ``run``
     consecutive sentences, A-Z lower-cased and white space aside. First is the
     smallest doc_id, and the earliest place within it. Every covered stretch goes, unless a caller
     wants those of fewer than ``least_words`` words to stay. A sentence of
-    over SENTENCE_WORDS words counts as several: its words decide the cuts, so that a passage of over
+    over ``sentence_words`` words (MOST_SENTENCE_WORDS at most) counts as several: its words decide the cuts, so that a passage of over
     50 words is found wherever it begins in a sentence, and a run with part of a
-    sentence has PART_WORDS words at least; without ``by_content`` it is cut after so many words from its begin. Returns a row
+    sentence has ``part_words`` words at least; without ``by_content`` it is cut after so many words from its begin. Returns a row
     per input row: doc_id, text (what is left), n_sentences, n_removed, removed
     (the stretches), first_in (doc_ids that keep them, ascending; null ids aren't told).
 
@@ -169,6 +175,8 @@ def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_cont
     others (ids are below 2**62) and among themselves in the order of a hash of the text; equal ones count as repeated rows. Very long texts are treated whole. An empty table gives an empty result. Runs are
     told apart by a 64-bit hash.
     """
+    if not 1 <= sentence_words <= MOST_SENTENCE_WORDS:
+        raise ValueError(f"sentence_words must be 1 to {MOST_SENTENCE_WORDS}")
     store = Scratch(docs.sparkSession, "substring_dedup")
     key = F.xxhash64("text")
     # a document's place in the order: its id, and for those without one a number from NO_ID on that the text decides
@@ -178,8 +186,8 @@ def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_cont
     def emit(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                s = sentences_of(words_of(part.column("text"), ASCII_SPACE, LOWER_AZ), by_content)
-                each = [np.unique(runs_of(s, r, run)[0]) for r in range(part.num_rows)]
+                s = sentences_of(words_of(part.column("text"), ASCII_SPACE, LOWER_AZ), by_content, sentence_words)
+                each = [_ascending(runs_of(s, r, run, part_words)[0]) for r in range(part.num_rows)]
                 back = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in each]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), part.column("place").take(back), part.column("key").take(back)], ["run", "place", "key"])
 
@@ -204,13 +212,13 @@ def substring_dedup(docs: DataFrame, run: int = 3, least_words: int = 0, by_cont
         for batch in batches:
             for part in slices(batch, "text"):
                 w = words_of(part.column("text"), ASCII_SPACE, LOWER_AZ)
-                s, data = sentences_of(w, by_content), w.data.tobytes()
+                s, data = sentences_of(w, by_content, sentence_words), w.data.tobytes()
                 texts, gone, counts, firsts = [], [], [], []
                 for r in range(part.num_rows):
                     at, end = int(w.offsets[r]), int(w.offsets[r + 1])
                     own = part.column("run")[r].values
                     known = own.to_numpy().view(U64) if own is not None else np.zeros(0, U64)
-                    left, out, n, by = _clean(data[at:end], at, s, r, run, known, least_words)
+                    left, out, n, by = _clean(data[at:end], at, s, r, run, known, least_words, part_words)
                     texts.append(left if part.column("text")[r].is_valid else None)
                     gone.append(out)
                     counts.append(n)

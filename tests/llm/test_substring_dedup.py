@@ -127,3 +127,21 @@ def test_other_columns_are_ignored_whatever_their_names(spark):
     out, plain = substring_dedup(odd), substring_dedup(df)
     assert out.columns == plain.columns == ["doc_id", "text", "n_sentences", "n_removed", "removed", "first_in"]
     assert sorted(map(str, out.collect())) == sorted(map(str, plain.collect())) and out.agg({"n_removed": "max"}).first()[0] > 0
+
+
+def test_sizes_of_sentences_and_parts_are_the_callers(spark):
+    import random
+
+    import pytest
+
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(r.choice(words) for _ in range(60))
+    rows = [(i, f"{' '.join(r.choice(words) for _ in range(5 + i))} {passage} {' '.join(r.choice(words) for _ in range(5))}.") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = lambda **options: sum(len(" ".join(x.removed).split()) for x in substring_dedup(df, **options).collect())
+    plain, longer, coarse = gone(), gone(part_words=45), gone(sentence_words=20)
+    assert plain > 11 * 35 and longer <= plain and gone(part_words=100) == 0 and coarse > 0
+    for bad in (0, 23):
+        with pytest.raises(ValueError, match="sentence_words"):
+            substring_dedup(df, sentence_words=bad)

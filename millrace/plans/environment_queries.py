@@ -411,7 +411,7 @@ def rolled_out_conversations(t):
     replies = each.select("conv_id", "turn", F.concat(joined(F.col("i") + 1, F.col("following") - F.col("i") - 1), F.lit("assistant: ")).alias("observation"), F.col("following").isNull().alias("last"))
     episodes = c.select("conv_id", F.concat(head, joined(F.lit(1), F.col("at")[0] - 1), F.lit("assistant: ")).alias("prompt"))
     loop = rollout.TurnRollouts(scratch_folder(t.spark, "rolled_out"), rollout.completed_from(known, ["prompt"]), rollout.ConversationTurns(replies, ["conv_id"]))
-    return loop.run(episodes).select("conv_id", F.col("turn").cast("long").alias("step"), F.md5("prompt").alias("prompt_md5"), F.length("completion").alias("n_said"), "done")
+    return loop.run(episodes).select("conv_id", F.col("turn").cast("long").alias("step"), F.md5("prompt").alias("prompt_md5"), F.length("completion").cast("long").alias("n_said"), "done")
 
 
 @query(ORACLES["guessing_games"])

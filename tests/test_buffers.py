@@ -100,3 +100,31 @@ def test_stale_groups_come_back_until_they_are_trained(spark, tmp_path):
         queue.put(spark.createDataFrame([(i, 10**6, i, 0) for i in more], WorkQueue.SCHEMA), name)
         queue.run(spark)
     assert queue.trained(spark).count() == 204
+
+
+def test_rounds_of_stale_groups_take_few_micro_batches(spark, tmp_path):
+    groups = [(k, k // 5 + k % 3) for k in range(600)]
+    queue, fresh, back = [*groups], [], []
+    for item, sampled in queue:
+        step = len(fresh) // 4
+        if step - sampled > 2:
+            back.append((step, item))
+            queue.append((item, step))
+        else:
+            fresh.append(item)
+    own = WorkQueue(str(tmp_path / "q"), 4, 2)
+    own.put(spark.createDataFrame([(i, s, i, 0) for i, s in groups], WorkQueue.SCHEMA), "first")
+    own.run(spark)
+    # the queue goes round ten times; a micro-batch for each round took minutes on larger tables
+    assert max(sum(i == item for _, i in back) for item, _ in groups) >= 10
+    assert len(list((tmp_path / "q" / "trained").glob("batch=*"))) == 1
+    assert {(r.step, r.place): r.item for r in own.trained(spark).collect()} == {(k // 4, k % 4): x for k, x in enumerate(fresh)}
+    assert sorted((r.step, r.item) for r in own.stale(spark).collect()) == sorted(back)
+    assert {r.item: r.times for r in own.times_stale(spark).collect()} == {i: n for i, n in simulate(groups, 4, 2)[1].items() if n}
+    # groups that a function samples anew go by way of the folder, with the same result where it changes nothing
+    other = WorkQueue(str(tmp_path / "r"), 4, 2, lambda rows: rows)
+    other.put(spark.createDataFrame([(i, s, i, 0) for i, s in groups[:60]], WorkQueue.SCHEMA), "first")
+    other.run(spark)
+    want, times = simulate(groups[:60], 4, 2)
+    assert {r.item: r.step for r in other.trained(spark).collect()} == want
+    assert {r.item: r.times for r in other.times_stale(spark).collect()} == {i: n for i, n in times.items() if n}

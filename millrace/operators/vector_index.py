@@ -26,6 +26,8 @@ ENTRIES = 256
 #: A list with more vectors, or more queries, than this is compared in several tasks.
 CELL_ROWS, CELL_QUERIES = 8192, 512
 _ROWS_AT_ONCE = 4096
+#: Distances of a block of vectors to centroids or codes, and rows with a vector that are handed back, held at once.
+_CELLS, _PAIRS = 1 << 20, 1 << 13
 _FIT_ROUNDS = 12
 
 
@@ -35,8 +37,9 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     out = np.empty(len(x), np.int64)
-    for lo in range(0, len(x), _ROWS_AT_ONCE):
-        out[lo : lo + _ROWS_AT_ONCE] = _squared(x[lo : lo + _ROWS_AT_ONCE], centroids).argmin(axis=1)
+    rows = max(1, _CELLS // max(1, len(centroids)))
+    for lo in range(0, len(x), rows):
+        out[lo : lo + rows] = _squared(x[lo : lo + rows], centroids).argmin(axis=1)
     return out
 
 
@@ -53,6 +56,16 @@ def _averages(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centroids
 
 
+def _least(counts: list[tuple[int, int]], wanted: float) -> int | None:
+    """The least place up to which ``wanted`` of the counts (place, n) lie, in order of places; None if fewer do."""
+    seen = 0
+    for place, n in counts:
+        seen += n
+        if seen >= wanted:
+            return place
+    return None
+
+
 class Meta(NamedTuple):
     metric: str
     dim: int
@@ -157,12 +170,16 @@ class VectorIndex:
             centroids, rows = shared.value
             filled = np.flatnonzero(rows)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
+                step = max(1, _CELLS // max(1, len(filled)))
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
                     near = np.argsort(_squared(meta.placed(_matrix(part.column("vector")), True), centroids[filled]), axis=1, kind="stable")[:, :probes]
-                    row = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
+                    row = np.repeat(np.arange(part.num_rows), near.shape[1])
                     nth = np.tile(np.arange(near.shape[1], dtype=np.int32), part.num_rows)
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(row), part.column("vector").take(row), pa.array(filled[near].ravel().astype(np.int32)), pa.array(nth)], ["key", "vector", "list", "nth"])
+                    which = filled[near].ravel().astype(np.int32)
+                    for a in range(0, len(row), _PAIRS):
+                        own = pa.array(row[a : a + _PAIRS])
+                        yield pa.RecordBatch.from_arrays([part.column("key").take(own), part.column("vector").take(own), pa.array(which[a : a + _PAIRS]), pa.array(nth[a : a + _PAIRS])], ["key", "vector", "list", "nth"])
 
         return queries.mapInArrow(probe, "key long, vector array<double>, list int, nth int")
 
@@ -176,16 +193,35 @@ class VectorIndex:
         ranked = self._probed(self._queries(queries, key, vector), len(self.rows)).select(F.col("key").alias("query_id"), "list", "nth")
         nth = exact.join(where, "neighbour_id").join(ranked, ["query_id", "list"]).groupBy("query_id", "neighbour_id").agg(F.min("nth").alias("nth"))
         # a row for each list at most
-        counts = sorted(map(tuple, nth.groupBy("nth").count().collect()))
-        total, seen = sum(n for _, n in counts), 0
-        for place, n in counts:
-            seen += n
-            if seen >= recall * total:
-                return place + 1
-        return max(1, len(self.rows))
+        counts = sorted((place + 1, n) for place, n in nth.groupBy("nth").count().collect())
+        return _least(counts, recall * sum(n for _, n in counts)) or max(1, len(self.rows))
+
+    def refine_for(self, corpus: DataFrame, queries: DataFrame, probes: int, recall: float = 0.98, k: int = 3, others_only: bool = False, key: str = "vec_id", vector: str = "embedding") -> int:
+        """The least number of candidates to compare exactly that hold a share ``recall`` of those true neighbours of some queries which lie in the probed lists.
+
+        The denser the vectors lie, the more of them are as near by their codes as the true neighbours. One pass over the corpus for the exact search, and
+        one over the codes for each eightfold number of candidates that is tried.
+        """
+        exact = top_k(queries, corpus.where(_usable(vector, self.meta.metric)), k, self.meta.metric, key, vector, others_only).select("query_id", F.col("neighbour_id").alias("key")).persist()
+        asked, most, rows = self._queries(queries, key, vector), max(256, 8 * k), int(self.rows.sum())
+        try:
+            probed = self._probed(asked, probes).select(F.col("key").alias("query_id"), "list")
+            wanted = exact.join(self.entries.select("key", "list").distinct(), "key").join(probed, ["query_id", "list"]).count() * recall
+            while True:
+                # a row for each place at most
+                counts = sorted(map(tuple, self._ranked(asked, probes, most).join(exact, ["query_id", "key"]).groupBy("n").count().collect()))
+                if (found := _least(counts, wanted)) or most >= rows:
+                    return found or max(1, rows)
+                most *= 8
+        finally:
+            exact.unpersist()
 
     def candidates(self, queries: DataFrame, probes: int, most: int) -> DataFrame:
         """(query_id, key): of each query the ``most`` vectors nearest by their codes in the probed lists. ``queries`` has key and vector."""
+        return self._ranked(queries, probes, most).select("query_id", "key").distinct()
+
+    def _ranked(self, queries: DataFrame, probes: int, most: int) -> DataFrame:
+        """(query_id, key, far, n): the candidates, with their place n from 1."""
         probed = self._probed(queries, probes)
         # a row for each list, MOST_LISTS at most, comes to the driver and goes to the executors
         asked = [(int(k), -(-int(self.rows[k]) // CELL_ROWS), -(-int(n) // CELL_QUERIES)) for k, n in probed.groupBy("list").count().collect()]
@@ -201,15 +237,19 @@ class VectorIndex:
             asked, held = asked.combine_chunks(), held.combine_chunks()
             code = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(held.num_rows, -1)
             near = np.hstack([book[code[:, p]] for p, book in enumerate(books)]) + centroids[held.column("list")[0].as_py()]
-            far = _squared(meta.placed(_matrix(asked.column("vector").combine_chunks()), True), near)
-            take = min(most, far.shape[1])
-            best = np.argpartition(far, take - 1, axis=1)[:, :take]
-            row = np.repeat(np.arange(len(far)), take)
-            return pa.table({"query_id": asked.column("key").to_numpy()[row], "key": held.column("key").to_numpy()[best.ravel()], "far": far[row, best.ravel()]})
+            own = meta.placed(_matrix(asked.column("vector").combine_chunks()), True)
+            take = min(most, len(near))
+            found, step = [], max(1, _CELLS // len(near))
+            for lo in range(0, len(own), step):
+                far = _squared(own[lo : lo + step], near)
+                best = np.argpartition(far, take - 1, axis=1)[:, :take]
+                found.append((best, np.take_along_axis(far, best, axis=1)))
+            best, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.table({"query_id": np.repeat(asked.column("key").to_numpy(), take), "key": held.column("key").to_numpy()[best.ravel()], "far": far.ravel()})
 
         found = left.groupBy("list", "i", "j").cogroup(right.groupBy("list", "i", "j")).applyInArrow(compare, "query_id long, key long, far double")
         w = Window.partitionBy("query_id").orderBy("far", "key")
-        return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("query_id", "key").distinct()
+        return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
 
     def search(self, queries: DataFrame, corpus: DataFrame, k: int = 3, probes: int = 8, refine: int | None = None, key: str = "vec_id", vector: str = "embedding", others_only: bool = False) -> DataFrame:
         """The k nearest vectors of each query among those found: query_id, neighbour_id, rank, distance (exact, as ``top_k`` gives it).

@@ -82,3 +82,29 @@ def test_the_corpus_is_read_once_however_many_queries(spark, tmp_path, data, mon
     # the queries are read for their lists and for the last comparison, the corpus once
     assert len(scans) == 3
     assert VectorIndex(spark, path).search(corpus, corpus, 3).select("query_id").distinct().count() == corpus.count()
+
+
+def test_candidates_follow_from_a_wanted_recall(spark, tmp_path):
+    x = np.random.Generator(np.random.PCG64(5)).standard_normal((6000, 64))
+    corpus = table(spark, x)
+    path = str(tmp_path / "index")
+    build_index(corpus, path, lists=20, parts=8)
+    queries = corpus.where("vec_id % 40 = 0")
+    index, exact = VectorIndex(spark, path), top_k(queries, corpus, 3, others_only=True)
+    found = lambda refine: recall(index.search(queries, corpus, 3, 20, refine, others_only=True), exact).first()["recall"]
+    refine = index.refine_for(corpus, queries, 20, 0.98, 3, others_only=True)
+    assert found(None) < 0.8 and found(refine) >= 0.97 and refine < 6000
+
+
+def test_memory_does_not_grow_with_lists():
+    import tracemalloc
+
+    x = np.random.Generator(np.random.PCG64(6)).standard_normal((4096, 4))
+    want = np.array([((v - x) ** 2).sum(axis=1).argmin() for v in x[:50]])
+    tracemalloc.start()
+    try:
+        own = vector_index._nearest(x, x)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (own[:50] == want).all() and most < 64 << 20

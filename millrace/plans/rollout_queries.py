@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import accounting, evaluation, logprob, runlog, trajectory
 from ..sources.readers import table_stream
 from ..sources.scratch import scratch_folder
-from ..streaming import streams
+from ..streaming import buffers, streams
 from .registry import query
 
 _REWARD = "(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END)::DOUBLE"
@@ -221,14 +221,9 @@ def _streamed(t, build, name, files: int | None = 1):
 
 
 def _minibatched(t, build):
-    """A stream that keeps state in the store that it needs; the session's setting is put back."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = t.spark.conf.get(setting, None)
-    t.spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        return _streamed(t, build, "minibatch")
-    finally:
-        t.spark.conf.unset(setting) if before is None else t.spark.conf.set(setting, before)
+    """A stream of the events in the order of their ids."""
+    given = buffers.Stretches(t.events.select("event_id"), "event_id", scratch_folder(t.spark, "minibatch_events"))
+    return given.run(build, scratch_folder(t.spark, "minibatch"))
 
 
 _LANES = 4

@@ -4,7 +4,11 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.streaming.buffers import WorkQueue, keyed_state, shuffle_buffer
+from millrace.plans import registry, rollout_queries, stream_queries  # noqa: F401
+from millrace.streaming import streams
+from millrace.streaming.buffers import Stretches, WorkQueue, keyed_state, shuffle_buffer
+
+from oracle import assert_same
 
 
 def number(*parts):
@@ -128,3 +132,52 @@ def test_rounds_of_stale_groups_take_few_micro_batches(spark, tmp_path):
     want, times = simulate(groups[:60], 4, 2)
     assert {r.item: r.step for r in other.trained(spark).collect()} == want
     assert {r.item: r.times for r in other.times_stale(spark).collect()} == {i: n for i, n in times.items() if n}
+
+
+@pytest.fixture()
+def small_frames(spark):
+    """Rows reach Python in frames of seven."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 7)
+    yield
+    spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize("valid_only", [False, True])
+def test_minibatches_are_in_order_over_several_frames(spark, tmp_path, small_frames, valid_only):
+    rows = [((k * 37) % 101, (k * 37) % 101 % 3 > 0) for k in range(101)]
+    spark.createDataFrame(rows, "item long, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    with keyed_state(spark):
+        stream = spark.readStream.schema("item long, ok boolean").parquet(str(tmp_path / "in"))
+        made = streams.minibatches(stream, "item", 8, valid="ok", valid_only=valid_only)
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    want, batch, number, count = [], [], 0, 0
+    for item in range(101):
+        batch.append(item)
+        count += item % 3 > 0 or not valid_only
+        if count == 8:
+            want += [(number, x) for x in batch if x % 3]
+            number, batch, count = number + 1, [], 0
+    assert sorted((r.batch_idx, r.item) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == want
+
+
+@pytest.mark.parametrize("name", ["stream_minibatch", "stream_valid_minibatch", "stream_shuffle_buffer"])
+def test_files_in_another_order_than_their_rows(spark, data, tmp_path, small_frames, name):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    # the later half arrives first, and neither lies in order
+    for part, which in (("b", "event_id >= 500"), ("a", "event_id < 500")):
+        events.where(which).orderBy(F.xxhash64("event_id")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{part}")
+    spark.read.parquet(f"{tmp_path}/b").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.read.parquet(f"{tmp_path}/a").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    own = registry.QUERIES[name](spark, str(tmp_path))
+    assert_same(own, registry.ORACLES[name], data)
+
+
+def test_stretches_come_one_by_one_and_again(spark, tmp_path):
+    given = Stretches(spark.range(1000).select((999 - F.col("id")).alias("item")).repartition(5), "item", str(tmp_path / "rows"), 300)
+    for k in range(2):
+        made = given.run(lambda s: streams.minibatches(s, "item", 10), str(tmp_path / f"out{k}"))
+        assert sorted((r.batch_idx, r.item) for r in made.collect()) == [(i // 10, i) for i in range(1000)]
+        # a micro-batch for each of four files
+        assert len(list((tmp_path / f"out{k}" / "state" / "commits").glob("[0-9]*"))) == 4

@@ -2,6 +2,8 @@ import base64
 import json
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from millrace.operators import render
@@ -80,3 +82,19 @@ def test_statistics_of_rendered_conversations(spark, data):
     for row in pieces.collect():
         weights = [w for p in row.pieces for w in [p["w"]] * len(own.encode(p["text"], add_special_tokens=False).ids)][:200]
         assert got[row.conv_id] == (len(weights) - 1, sum(w > 0 for w in weights[1:]))
+
+
+def test_rows_are_worked_on_in_bounded_parts(spark, tmp_path, monkeypatch):
+    from millrace.operators import tokenize
+
+    texts = [None if k % 7 == 0 else "word " * (k % 40) for k in range(200)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = list(tokenize._parts(batch, pc.binary_length(batch.column("text")), 300))
+    sizes = [[len(t or "") for t in p.column("text").to_pylist()] for p in parts]
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts and len(parts) > 50
+    assert all(sum(s) <= 300 or len(s) == 1 for s in sizes)
+    monkeypatch.setattr(tokenize, "_BYTES_AT_ONCE", 300)
+    monkeypatch.setattr(tokenize, "_IDS_AT_ONCE", 50)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    back = token_texts(token_ids(rows, JSON).drop("text"), JSON).collect()
+    assert {r.k: r.text for r in back} == dict(enumerate(texts))

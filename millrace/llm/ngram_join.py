@@ -39,6 +39,8 @@ SKETCH_LONGS = 4
 SKETCH = [f"sketch{k}" for k in range(SKETCH_LONGS)]
 #: A row carries so many of its text's first shared grams, to tell under which one a pair is formed.
 FIRSTS = 32
+#: Rows of shared grams that a task makes at once, if a text has no more.
+PLACES = 1 << 14
 #: Rounds of looking for links between components; the last one tries all pairs.
 ROUNDS = 3
 #: Texts that meet at once in the other rounds.
@@ -128,6 +130,15 @@ def needed_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9)).cast("int")
 
 
+def _by_places(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with PLACES shared grams in all, or one text: each becomes a row with a list of FIRSTS grams."""
+    upto, lo = batch.column("shared").offsets.to_numpy(), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PLACES, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _shared_rows(texts: DataFrame) -> DataFrame:
     """(gram, rid, n, i, sketches, firsts): a row for each prefix gram that three texts share, with the sketch of what follows it.
 
@@ -136,9 +147,9 @@ def _shared_rows(texts: DataFrame) -> DataFrame:
     """
 
     def emit(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_places(whole)):
             prefix, shared = batch.column("prefix"), batch.column("shared")
-            grams, begin = prefix.values.to_numpy().view(U64), prefix.offsets.to_numpy()
+            grams, begin = prefix.flatten().to_numpy().view(U64), prefix.offsets.to_numpy() - prefix.offsets[0].as_py()
             row = np.repeat(np.arange(batch.num_rows), np.diff(shared.offsets.to_numpy()))
             place = shared.flatten().to_numpy()
             order = np.lexsort((place, row))

@@ -94,3 +94,14 @@ def test_pipeline_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame([(1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, text.upper(), "en", "t", 1), (4, None, "en", "t", 0), (5, "", None, None, 0), (6, "something else altogether", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.ngram_join(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
+
+
+def test_shared_rows_are_the_same_in_parts(spark, monkeypatch):
+    from millrace.llm import ngram_join
+
+    rows = [(k, 40, k * 11, k * 13, -k, k << 40, [k * 1000003 + j * 7919 for j in range(12)], list(range(k % 12))) for k in range(30)]
+    schema = f"rid long, n int, {', '.join(f'{c} long' for c in ngram_join.SKETCH)}, prefix array<long>, shared array<int>"
+    texts = spark.createDataFrame(rows, schema).coalesce(1)
+    whole = sorted(map(str, ngram_join._shared_rows(texts).collect()))
+    monkeypatch.setattr(ngram_join, "PLACES", 5)
+    assert len(whole) == sum(k % 12 for k in range(30)) and sorted(map(str, ngram_join._shared_rows(texts).collect())) == whole
